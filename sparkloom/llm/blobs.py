@@ -17,8 +17,15 @@ def write_blob(uri: str, *parts: bytes) -> int:
     filesystem, path = fs.FileSystem.from_uri(uri)
     filesystem.create_dir(path.rpartition("/")[0], recursive=True)
     attempt = f"{path}.{uuid.uuid4().hex}.tmp"
-    with filesystem.open_output_stream(attempt) as out:
+    with filesystem.open_output_stream(attempt, compression=None) as out:
         for part in parts:
             out.write(part)
     filesystem.move(attempt, path)
     return sum(len(part) for part in parts)
+
+
+def read_blob(uri: str) -> bytes:
+    """A file's stored bytes, whatever its name ends with."""
+    filesystem, path = fs.FileSystem.from_uri(uri)
+    with filesystem.open_input_stream(path, compression=None) as f:
+        return f.read()

@@ -16,6 +16,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.media import documents_as_media
+
+    return documents_as_media(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.packing import pack
     from sparkloom.llm.tokenize import public_tokenizer
@@ -23,6 +29,13 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizer(TOKENIZER), END_ID)
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.warc import read_archives, write_archives
+
+    manifest = write_archives(_table(spark, sf_dir, "pages"), new_folder(spark, "warc"))
+    return read_archives(manifest).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "offset", "length")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.tokenids import documents_through_files
     from sparkloom.llm.tokenize import public_tokenizer
@@ -31,7 +44,9 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_media": op1_media,
     "op7_packing": op7_packing,
+    "op8_warc": op8_warc,
     "op10_token_ids": op10_token_ids,
 }
 

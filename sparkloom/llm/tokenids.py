@@ -25,12 +25,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.blobs import write_blob
+from sparkloom.llm.blobs import read_blob, write_blob
 from sparkloom.llm.tokenize import encoder, slices
 from sparkloom.storage import written
 
@@ -163,10 +162,9 @@ def read_ids(manifest: DataFrame, keep_ids: bool = False) -> DataFrame:
         of_rank = None
         for batch in batches:
             for path, start in zip(*(batch.column(c).to_pylist() for c in ("path", "start")), strict=True):
-                filesystem, name = fs.FileSystem.from_uri(path)
                 if of_rank is None:
-                    of_rank = np.frombuffer(_read(filesystem, name.rpartition("/")[0] + "/ranks.bin"), "<u4")
-                docs, lengths, ids = parse(_read(filesystem, name), of_rank)
+                    of_rank = np.frombuffer(read_blob(path.rpartition("/")[0] + "/ranks.bin"), "<u4")
+                docs, lengths, ids = parse(read_blob(path), of_rank)
                 ends = np.cumsum(lengths)
                 crc = [zlib.crc32(ids[b - n : b]) for b, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                 columns = {"doc_id": pa.array(docs, pa.int64()), "start": pa.array(start + ends - lengths), "n_tokens": pa.array(lengths), "ids_crc32": pa.array(crc, pa.int64())}
@@ -192,11 +190,6 @@ def parse(data: bytes, of_rank: np.ndarray) -> tuple[list[int | None], np.ndarra
     return [None if z else d for d, z in zip(docs, null, strict=True)], lengths, np.ascontiguousarray(of_rank[ranks])
 
 
-def _read(filesystem: fs.FileSystem, path: str) -> bytes:
-    with filesystem.open_input_stream(path) as f:
-        return f.read()
-
-
 def documents_through_files(spark: SparkSession, docs: DataFrame, folder: str, tokenizer: str, end_id: int) -> DataFrame:
     """Every document as read back from the files that this writes."""
     return read_ids(written(write_ids(docs, folder, tokenizer, end_id), "manifest"))
