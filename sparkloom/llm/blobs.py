@@ -10,6 +10,7 @@ from __future__ import annotations
 import uuid
 
 from pyarrow import fs
+from pyspark.sql import DataFrame
 
 
 def write_blob(uri: str, *parts: bytes) -> int:
@@ -29,3 +30,8 @@ def read_blob(uri: str) -> bytes:
     filesystem, path = fs.FileSystem.from_uri(uri)
     with filesystem.open_input_stream(path, compression=None) as f:
         return f.read()
+
+
+def spread_files(manifest: DataFrame, most: int = 20_000) -> DataFrame:
+    """The rows of a written manifest, dealt so that about one file falls to a task."""
+    return manifest.repartition(max(1, min(most, manifest.count())), "path")

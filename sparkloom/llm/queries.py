@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sparkloom.storage import new_folder
 
@@ -22,6 +23,15 @@ def op1_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_as_media(_table(spark, sf_dir, "documents"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.folds import remainder
+    from sparkloom.llm.quality import quality
+
+    fold = remainder(F.col("doc_id"), 4)
+    scored = quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "quality", fold != 2)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.packing import pack
     from sparkloom.llm.tokenize import public_tokenizer
@@ -36,6 +46,15 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archives(manifest).where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "offset", "length")
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.folds import remainder
+    from sparkloom.llm.toxicity import toxicity
+
+    fold = remainder(F.col("doc_id"), 5)
+    scored = toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), "toxic", fold != 0)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
 def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.tokenids import documents_through_files
     from sparkloom.llm.tokenize import public_tokenizer
@@ -45,8 +64,10 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
+    "op2_quality": op2_quality,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
+    "op9_toxicity": op9_toxicity,
     "op10_token_ids": op10_token_ids,
 }
 

@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.llm.blobs import read_blob, write_blob
+from sparkloom.llm.blobs import read_blob, spread_files, write_blob
 from sparkloom.llm.tokenize import encoder, slices
 from sparkloom.storage import written
 
@@ -173,7 +173,7 @@ def read_ids(manifest: DataFrame, keep_ids: bool = False) -> DataFrame:
                 yield pa.RecordBatch.from_pydict(columns)
 
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * keep_ids
-    return manifest.select("path", "start").repartitionByRange("start").mapInArrow(run, schema)
+    return spread_files(manifest).select("path", "start").mapInArrow(run, schema)
 
 
 def parse(data: bytes, of_rank: np.ndarray) -> tuple[list[int | None], np.ndarray, np.ndarray]:

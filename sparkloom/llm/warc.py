@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.blobs import read_blob, write_blob
+from sparkloom.llm.blobs import read_blob, spread_files, write_blob
 from sparkloom.storage import written
 
 VERSION, MAGIC = b"WARC/1.", b"\x1f\x8b\x08"
@@ -207,7 +207,7 @@ def read_archives(manifest: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 yield _batch(list(_rows(path, read_blob(path))))
 
-    return manifest.select("path").repartitionByRange("path").mapInArrow(run, READ)
+    return spread_files(manifest).select("path").mapInArrow(run, READ)
 
 
 def read_binary(files: DataFrame) -> DataFrame:
