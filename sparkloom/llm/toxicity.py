@@ -98,7 +98,7 @@ def present(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
     return both // n, both % n
 
 
-def regression(rows: np.ndarray, features: np.ndarray, values: np.ndarray, labels: np.ndarray, penalty: float = 1e-3, rounds: int = 400) -> tuple[np.ndarray, float]:
+def regression(rows: np.ndarray, features: np.ndarray, values: np.ndarray, labels: np.ndarray, penalty: float = 1e-4, rounds: int = 1000) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression with a quadratic penalty, by accelerated gradient steps."""
     n, m = len(labels), len(values)
     x = values[features]
