@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.secret_scan import spans_sql
 from sparkloom.storage import new_folder
 
 TOKENIZER = "word_bpe_49k.json"
@@ -32,6 +33,13 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
 
 
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.secret_scan import report, scan
+
+    versions = _table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) path", "text")
+    return report(scan(versions, new_folder(spark, "ledger"))).withColumnRenamed("path", "doc_id")
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.packing import pack
     from sparkloom.llm.tokenize import public_tokenizer
@@ -65,10 +73,13 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_quality": op2_quality,
+    "op4_secrets": op4_secrets,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_token_ids": op10_token_ids,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op4_secrets": spans_sql(),
+}
