@@ -40,6 +40,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(scan(versions, new_folder(spark, "ledger"))).withColumnRenamed("path", "doc_id")
 
 
+def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.jaccard import jaccard_join
+
+    return jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.packing import pack
     from sparkloom.llm.tokenize import public_tokenizer
@@ -74,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_quality": op2_quality,
     "op4_secrets": op4_secrets,
+    "op6_jaccard": op6_jaccard,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,

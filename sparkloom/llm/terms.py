@@ -18,6 +18,7 @@ _KIND[ord("a") : ord("z") + 1] = 1
 _KIND[ord("A") : ord("Z") + 1] = 2
 _KIND[ord("0") : ord("9") + 1] = 4
 _KIND[128:] = 16
+_PLACES = np.random.default_rng(20).integers(1, 2**63, 4096).astype(np.uint64)
 
 
 def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -46,8 +47,8 @@ def shape_pairs(data: np.ndarray) -> np.ndarray:
     lengths = np.diff(np.append(starts, len(data)))
     place = np.arange(starts[0], len(data)) - np.repeat(starts, lengths)
     # white space after a word counts nothing in its hash
-    value = data[starts[0] :].astype(np.uint64) * inside[starts[0] :]
-    words = np.add.reduceat(value * (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD6E8FEB86659FD93)), starts - starts[0])
+    value = data[starts[0] :] * inside[starts[0] :]
+    words = np.add.reduceat(value * _PLACES[place & 4095], starts - starts[0])
     same = words[1:] == words[:-1]
     return TRIGRAMS + (same * 1024 + shape[:-1] * 32 + shape[1:])
 
