@@ -34,6 +34,8 @@ SIZES = (4, 5, 6, 7, 8)
 BUCKETS = 1 << 20
 #: A bucket or n-gram counts if so many labelled documents have it.
 LEAST = 3
+#: Bytes of text whose n-grams are in memory at once.
+SLICE = 1 << 21
 #: Features that are kept at most.
 FEATURES = 1 << 14
 
@@ -125,7 +127,7 @@ def train(sample: DataFrame) -> Model:
 
     def by_bucket(batch: pa.RecordBatch) -> np.ndarray:
         out = np.zeros((2, BUCKETS + 1))
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", SLICE):
             label = part.column("label").to_numpy()
             data, bounds = text_bytes(part.column("text"))
             keys = [row * BUCKETS + _bucket(h) for h, row in hashed(data, bounds)]
@@ -145,7 +147,7 @@ def train(sample: DataFrame) -> Model:
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 label = part.column("label").to_numpy()
                 data, bounds = text_bytes(part.column("text"))
                 for h, row in hashed(data, bounds):
@@ -192,7 +194,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column,
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 s = scores(part.column("text"), model)
                 yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
 
