@@ -67,7 +67,7 @@ def prefix_depth(threshold: float, recall: float) -> int:
 def _signed(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 21):
                 texts = part.column("text")
                 keys, signatures = [], []
                 for i, (words, shingles) in enumerate(shingle_sets(texts)):
@@ -83,7 +83,7 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 1 << 21):
                 keys, kept, sets = part.column("key").to_pylist(), [], []
                 for i, (words, shingles) in enumerate(shingle_sets(part.column("text"))):
                     if class_key(words, "") == keys[i]:  # another row may repeat the representative's number

@@ -33,6 +33,15 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold == 2).alias("held_out"), "score", "predicted")
 
 
+def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.ctw import score
+    from sparkloom.llm.folds import remainder
+
+    fold = remainder(F.col("doc_id"), 7)
+    scored = score(_table(spark, sf_dir, "documents"), fold != 2)
+    return scored.select("doc_id", (fold == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "n_bytes", "bits_per_byte")
+
+
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.secret_scan import report, scan
 
@@ -79,6 +88,7 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_quality": op2_quality,
+    "op3_ctw": op3_ctw,
     "op4_secrets": op4_secrets,
     "op6_jaccard": op6_jaccard,
     "op7_packing": op7_packing,
