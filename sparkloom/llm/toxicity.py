@@ -126,7 +126,7 @@ def train(sample: DataFrame) -> Model:
     """The classifier of a bounded table doc_id, text, label."""
 
     def by_bucket(batch: pa.RecordBatch) -> np.ndarray:
-        out = np.zeros((2, BUCKETS + 1))
+        out = np.zeros((2, BUCKETS + 1), np.float32)
         for part in slices(batch, "text", SLICE):
             label = part.column("label").to_numpy()
             data, bounds = text_bytes(part.column("text"))
@@ -188,7 +188,7 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
 
 def toxicity(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, most: int = 12_288, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, predicted and the columns ``keep`` of every document; ``may_learn`` is on the labels' doc_id."""
-    model = train(spread(written(labelled_sample(docs, labels, label, may_learn, most), "labelled"), most))
+    model = train(spread(written(labelled_sample(docs, labels, label, may_learn, most), "labelled"), most, 2048))
     names = list(dict.fromkeys(["doc_id", *keep]))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in names if c not in ("doc_id", "text")))
 
