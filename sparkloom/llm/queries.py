@@ -49,6 +49,12 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(scan(versions, new_folder(spark, "ledger"))).withColumnRenamed("path", "doc_id")
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.decontaminate import leaks
+
+    return leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.jaccard import jaccard_join
 
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_ctw": op3_ctw,
     "op4_secrets": op4_secrets,
+    "op5_decontaminate": op5_decontaminate,
     "op6_jaccard": op6_jaccard,
     "op7_packing": op7_packing,
     "op8_warc": op8_warc,
