@@ -1,15 +1,77 @@
-"""A corpus from raw documents to packed sequences; each stage is written as Parquet and read by the next."""
+"""A corpus from raw documents to packed sequences.
+
+Stages, each written as Parquet and read by the next: toxic documents go; of each
+group of near copies the one with the least doc_id stays; documents that leak a
+benchmark item go; secrets are redacted; what is left is packed. A null doc_id is
+kept by every stage that its text does not fail; rows that repeat a doc_id are
+copies of each other for the second stage only if their texts are.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from sparkloom.llm.decontaminate import leaks
+from sparkloom.llm.jaccard import jaccard_join
+from sparkloom.llm.packing import pack
+from sparkloom.llm.secret_scan import redacted, scan_blobs
+from sparkloom.llm.tokenize import public_tokenizer
+from sparkloom.llm.toxicity import toxicity
+from sparkloom.storage import new_folder, written
+
+TOKENIZER, END_ID = "word_bpe_49k.json", 1
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return toxicity(docs, labels, "toxic", F.lit(True), keep=tuple(docs.columns)).where("predicted = 0").select(*docs.columns)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    groups = jaccard_join(docs)
+    stays = groups.where("doc_id = class_id").select("doc_id").distinct()
+    known = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return known.select(*docs.columns).union(docs.where("doc_id is null"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    # by text, so that rows without a number count too
+    leaked = leaks(docs.select(F.xxhash64("text").alias("doc_id"), "text"), benchmark).select(F.col("doc_id").alias("text_hash")).distinct()
+    kept = docs.withColumn("text_hash", F.xxhash64("text")).join(written(leaked, "leaked"), "text_hash", "left_anti")
+    return kept.select(*docs.columns)
+
+
+def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    findings = scan_blobs(docs.select(F.col("doc_id").alias("path"), "text"), new_folder(spark, "ledger")).withColumnRenamed("blob", "text_name")
+    joined = docs.withColumn("text_name", F.sha2("text", 256)).join(findings, "text_name", "left")
+    clean = F.when(F.col("spans").isNotNull(), redacted(F.col("text"), F.col("spans"))).otherwise(F.col("text"))
+    changed = joined.withColumn("text", clean)
+    if "n_chars" in docs.columns:
+        changed = changed.withColumn("n_chars", F.when(F.col("spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return changed.select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack(docs, public_tokenizer(TOKENIZER), END_ID)
+
 
-STAGES: list = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("toxicity", drop_toxic),
+    ("near copies", drop_near_copies),
+    ("benchmark leaks", drop_leaks),
+    ("secrets", redact_secrets),
+    ("packing", pack_sequences),
+]
+#: The stages' classifiers, hashes and tokenizer have no SQL form.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

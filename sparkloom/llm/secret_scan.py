@@ -23,7 +23,7 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.storage import new_folder
+from sparkloom.storage import written
 
 
 class Rule(NamedTuple):
@@ -75,12 +75,11 @@ def rule_spans(text: Column, rule: Rule, place: int) -> Column:
     return F.when(F.rlike(text, pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """path, blob and all sorted spans of every row of ``versions`` (path, text); the ledger at ``ledger`` grows by what is new."""
+def scan_blobs(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and sorted spans of every blob with findings among those of ``versions`` (path, text) and earlier ones; the ledger grows by what is new."""
     spark, names = versions.sparkSession, F.array(*[F.lit(r.name) for r in rules])
-    named = versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
     old = read_ledger(spark, ledger)
-    blobs = named.groupBy("blob").agg(F.any_value("text").alias("text"))
+    blobs = named(versions).groupBy("blob").agg(F.any_value("text").alias("text"))
     if old is None:
         pairs = blobs.withColumn("done", names)
     else:
@@ -93,11 +92,18 @@ def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> D
     current = read_ledger(spark, ledger).where(F.size("spans") > 0)
     kinds = [r.kind for r in rules]
     findings = current.select("blob", F.explode("spans").alias("s")).where(F.col("s.kind").isin(kinds))
-    findings = findings.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
-    found = new_folder(spark, "findings")
-    findings.write.parquet(found)
-    findings = spark.read.parquet(found)
-    return named.select("path", "blob").join(findings, "blob", "left").select("path", "blob", F.coalesce("spans", nothing).alias("spans"))
+    return written(findings.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans")), "findings")
+
+
+def named(versions: DataFrame) -> DataFrame:
+    """path, text (null: empty) and the blob's name."""
+    return versions.select("path", F.coalesce("text", F.lit("")).alias("text")).withColumn("blob", F.sha2("text", 256))
+
+
+def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """path, blob and all sorted spans of every row of ``versions`` (path, text)."""
+    found = named(versions).select("path", "blob").join(scan_blobs(versions, ledger, rules), "blob", "left")
+    return found.select("path", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
 
 def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
