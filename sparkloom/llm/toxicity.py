@@ -35,7 +35,7 @@ BUCKETS = 1 << 20
 #: A bucket or n-gram counts if so many labelled documents have it.
 LEAST = 3
 #: Bytes of text whose n-grams are in memory at once.
-SLICE = 1 << 21
+SLICE = 1 << 20
 #: Features that are kept at most.
 FEATURES = 1 << 14
 
@@ -130,11 +130,11 @@ def train(sample: DataFrame) -> Model:
         for part in slices(batch, "text", SLICE):
             label = part.column("label").to_numpy()
             data, bounds = text_bytes(part.column("text"))
-            keys = [row * BUCKETS + _bucket(h) for h, row in hashed(data, bounds)]
-            both = np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.int64)
-            for y in (0, 1):
-                out[y, :BUCKETS] += np.bincount((both % BUCKETS)[label[both // BUCKETS] == y], minlength=BUCKETS)
-                out[y, BUCKETS] += (label == y).sum()
+            for h, row in hashed(data, bounds):
+                both = np.unique(row * BUCKETS + _bucket(h))
+                for y in (0, 1):
+                    out[y, :BUCKETS] += np.bincount((both % BUCKETS)[label[both // BUCKETS] == y], minlength=BUCKETS)
+            out[:, BUCKETS] += (label == 0).sum(), (label == 1).sum()
         return out.ravel()
 
     q, p = column_sum(sample, by_bucket, 2 * (BUCKETS + 1)).reshape(2, -1)
