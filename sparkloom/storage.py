@@ -6,6 +6,7 @@ executor then costs a re-read, never a recomputation from the source.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -35,3 +36,9 @@ def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     path = new_folder(spark, tag)
     df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete what finished jobs shuffled: it does so when the driver's collector finds their plans unused."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
