@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.storage import written
+from sparkloom.storage import release, written
 
 #: Bytes of context.
-DEPTH = 5
-BLOCK_BYTES = 1 << 25
+DEPTH = 4
+BLOCK_BYTES = 1 << 24
 #: The end token in the table of words, where no word is empty.
 END = b""
-_GRAMS_AT_ONCE = 1 << 22
+_GRAMS_AT_ONCE = 1 << 20
 
 
 def lowered(text: str | None) -> bytes:
@@ -186,9 +186,12 @@ def score(docs: DataFrame, may_learn: Column, block_bytes: int = BLOCK_BYTES) ->
     counted = dealt.groupBy("block").applyInPandas(_counts, "block int, gram long, word binary, n long")
     # one row for each gram or word, with the blocks that it goes back to
     items = written(counted.groupBy("gram", "word").agg(F.sum("n").alias("n"), F.collect_list("block").alias("blocks")), "items")
+    release(docs.sparkSession)
     of_words, of_grams = items.where("word is not null"), items.where("word is null")
     trained, different = of_words.where("n > 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    worth = of_grams.join(gram_scores(of_grams.select("gram", "n")), "gram")
+    scores = written(gram_scores(of_grams.select("gram", "n")), "gram-scores")
+    release(docs.sparkSession)
+    worth = of_grams.join(scores, "gram")
     no = F.lit(None)
     values = worth.select(F.explode("blocks").alias("block"), "gram", no.cast("binary").alias("word"), "logp", "n").union(
         of_words.select(F.explode("blocks").alias("block"), "gram", "word", no.cast("double").alias("logp"), "n")
