@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sparkloom.llm.folds import labelled_sample
 from sparkloom.llm.lsa import column_sum, spread
@@ -189,15 +190,12 @@ def scores(texts: pa.Array, model: Model) -> np.ndarray:
 def toxicity(docs: DataFrame, labels: DataFrame, label: str, may_learn: Column, most: int = 12_288, threshold: float = 0.5, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, score, predicted and the columns ``keep`` of every document; ``may_learn`` is on the labels' doc_id."""
     model = train(spread(written(labelled_sample(docs, labels, label, may_learn, most), "labelled"), most, 2048))
-    names = list(dict.fromkeys(["doc_id", *keep]))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(c for c in names if c not in ("doc_id", "text")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text", SLICE):
-                s = scores(part.column("text"), model)
-                yield pa.RecordBatch.from_arrays([*map(part.column, names), pa.array(s, pa.float64()), pa.array((s >= threshold).astype(np.int32))], [*names, "score", "predicted"])
+    @F.arrow_udf(DoubleType())
+    def score(texts: pa.Array) -> pa.Array:
+        parts = slices(pa.RecordBatch.from_arrays([texts], ["text"]), "text", SLICE)
+        return pa.array(np.concatenate([np.zeros(0), *(scores(p.column("text"), model) for p in parts)]), pa.float64())
 
-    kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in names)
-    return rows.mapInArrow(run, f"{schema}, score double, predicted int")
+    others = [c for c in dict.fromkeys(keep) if c != "doc_id"]
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *others, score(F.col("text")).alias("score"))  # only scores come back from Python
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
