@@ -74,13 +74,13 @@ c AS (SELECT *, doc_id || '_' || chunk_id AS vector_id, {_sql_terms('text')} AS
 _STATED = "q AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{x}')" for i, x in STATED) + ") AS v(query_id, query))"
 _QT = f"qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT query_id, unnest({_sql_terms('query')}) AS term FROM q) GROUP BY ALL)"
 _HITS = "h AS (SELECT vector_id, dl, term, count(*) AS tf FROM (SELECT vector_id, len(terms) AS dl, unnest(terms) AS term FROM c) GROUP BY ALL)"
-_OVERLAP = f"sc AS (SELECT query_id, vector_id, count(*) + CAST(sum(tf) AS DOUBLE) / min(dl) AS score FROM h JOIN qt USING (term) GROUP BY ALL)"
+_OVERLAP = f"sc AS (SELECT query_id, vector_id, round(count(*) + CAST(sum(tf) AS DOUBLE) / min(dl), 9) AS score FROM h JOIN qt USING (term) GROUP BY ALL)"
 _BM25 = f"""n AS (SELECT count(*) AS n, avg(len(terms)) AS a FROM c),
 f AS (SELECT term, count(*) AS df FROM h GROUP BY term),
 i AS (SELECT term, ln(n.n - df + 0.5) - ln(df + 0.5) AS idf FROM f, n),
 m AS (SELECT avg(idf) AS mean FROM i),
 g AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * mean ELSE idf END AS idf FROM i, m),
-sc AS (SELECT query_id, vector_id, sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / n.a))) AS score FROM h JOIN qt USING (term) JOIN g USING (term), n GROUP BY ALL HAVING score > 0)"""
+sc AS (SELECT query_id, vector_id, round(sum(times * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / n.a))), 9) AS score FROM h JOIN qt USING (term) JOIN g USING (term), n GROUP BY ALL HAVING score > 0)"""
 
 
 def _sql_top(k: int, scores: str = "sc") -> str:
@@ -112,11 +112,11 @@ def rejected_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_CLEAN},
 l AS (SELECT doc_id, t, string_split(t, chr(10)) AS lines FROM cl WHERE length(t) > 0),
 e AS (SELECT doc_id, i, lines[i] AS line, i > 1 AND regexp_matches(array_to_string(lines[i:i+3], chr(10)), '^(\\d+\\.\\s+[A-Z]|[A-Z][A-Z\\s]{{3,}}|#+\\s+)') AS cut,
-  CASE WHEN i = 1 THEN 0 ELSE length(array_to_string(lines[1:i-1], chr(10))) + 1 END AS at
+  CASE WHEN i = 1 THEN 0 ELSE length(array_to_string(lines[1:i-1], chr(10))) + 1 END AS pos
   FROM (SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS i FROM l)),
 g AS (SELECT *, sum(CASE WHEN cut THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS part FROM e),
-p AS (SELECT doc_id, part, min(at) AS at, string_agg(line, chr(10) ORDER BY i) AS p FROM g GROUP BY doc_id, part),
-k AS (SELECT doc_id, at + length(p) - length(regexp_replace(p, '^\\s+', '')) AS start, regexp_replace(p, '^\\s+|\\s+$', '', 'g') AS content FROM p)
+p AS (SELECT doc_id, part, min(pos) AS pos, string_agg(line, chr(10) ORDER BY i) AS p FROM g GROUP BY doc_id, part),
+k AS (SELECT doc_id, pos + length(p) - length(regexp_replace(p, '^\\s+', '')) AS start, regexp_replace(p, '^\\s+|\\s+$', '', 'g') AS content FROM p)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1 AS INTEGER) AS section_id, substr(regexp_replace(string_split(content, chr(10))[1], '\\s+$', ''), 1, 100) AS title, content, CAST(start AS INTEGER) AS start FROM k WHERE length(content) > 0""")
 def structural_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.sections(documents(spark, sf_dir))

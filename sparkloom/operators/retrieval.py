@@ -49,7 +49,7 @@ def overlap_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
     """Distinct shared terms plus the share of the chunk's terms that the query has; rows above 0."""
     wanted = query_terms(queries)
     joined = _hits(chunks, wanted).join(wanted, "term")
-    return joined.groupBy("query_id", "vector_id").agg((F.count("*") + F.sum("tf") / F.first("dl")).alias("score"))
+    return joined.groupBy("query_id", "vector_id").agg(F.round(F.count("*") + F.sum("tf") / F.first("dl"), 9).alias("score"))
 
 
 def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
@@ -65,7 +65,7 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float
     of_term = hits.groupBy("term").agg(F.count("*").alias("df")).select("term", F.when(idf < 0, F.lit(floor * mean)).otherwise(idf).alias("idf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average)))
     joined = hits.join(F.broadcast(wanted.join(of_term, "term")) if wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS else wanted.join(of_term, "term"), "term")
-    return joined.groupBy("query_id", "vector_id").agg(F.sum(part).alias("score")).where("score > 0")
+    return joined.groupBy("query_id", "vector_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")  # sums in another order still tie
 
 
 def filtered(scored: DataFrame, chunks: DataFrame, filters: dict[str, Any] | None) -> DataFrame:

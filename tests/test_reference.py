@@ -245,7 +245,7 @@ def test_files(spark, tmp_path):
     page = "<html><title>T</title><nav>no</nav><h1>Head <b>ing</b></h1><p>Text</p><ul><li>one</li></ul><table><tr><td>a</td><td>b</td></tr></table><script>x</script></html>"
     docx = archive([("word/document.xml", f'<w:document xmlns:w="{formats._W[1:-1]}"><w:body><w:p><w:pPr><w:pStyle w:val="Heading2"/></w:pPr><w:r><w:t>Top</w:t></w:r></w:p><w:tbl><w:tr><w:tc><w:p><w:r><w:t>x</w:t></w:r></w:p></w:tc><w:tc><w:p><w:r><w:t>y</w:t></w:r></w:p></w:tc></w:tr></w:tbl><w:p><w:r><w:t>Body</w:t></w:r></w:p></w:body></w:document>')])
     files = {
-        "a.html": page.encode(), "b.csv": b"Name;Role\nAda;Engineer\nBo;\n", "c.md": b"# T\n**bold** [l](u) ![i](u) `c`\n> q", "d.txt": b"caf\xe9", "e.xyz": b"", "f.docx": docx, "g.tsv": b"a\tb\n1\t2", "i.zip": b"bad",
+        "a.html": page.encode(), "b.csv": b"Name;Role\nAda;Engineer\nBo;\n", "c.md": b"# T\n**bold** [l](u) ![i](u) `c`\n> q", "d.txt": b"caf\xe9", "e.xyz": b"?", "f.docx": docx, "g.tsv": b"a\tb\n1\t2", "i.zip": b"bad",
         "h.zip": archive([("Page 0123456789abcdef0123456789abcdef.md", "hello"), ("__MACOSX/x.md", "no"), ("t.csv", "n,v\n1,2"), ("p.png", "x"), (".hid/x.txt", "no")]),
     }
     for name, data in files.items():
