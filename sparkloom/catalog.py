@@ -50,6 +50,10 @@ def window_chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.chunks(documents(spark, sf_dir), structural=False, keep=("lang", "source"))
 
 
+def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.indexed(window_chunks_of(spark, sf_dir).select("vector_id", "text", "lang", "source"))
+
+
 # SQL parts. Cleaning; whole-document windows of 600 characters every 525; search terms.
 def _sql_clean(x: str) -> str:
     out = f"coalesce({x}, '')"
@@ -145,17 +149,17 @@ def tokenize_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CHUNKS}, {_STATED}, {_QT}, {_HITS}, {_OVERLAP} SELECT {_SHOWN} FROM ({_sql_top(20)})")
 def keyword_overlap_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(R.top(R.overlap_scores(window_chunks_of(spark, sf_dir), stated(spark)), 20))
+    return _shown(R.top(R.overlap_scores(index_of(spark, sf_dir), stated(spark)), 20))
 
 
 @query(f"WITH {_CHUNKS}, {_STATED}, {_QT}, {_HITS}, {_BM25} SELECT {_SHOWN} FROM ({_sql_top(20)})")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(R.top(R.bm25_scores(window_chunks_of(spark, sf_dir), stated(spark)), 20))
+    return _shown(R.top(R.bm25_scores(index_of(spark, sf_dir), stated(spark)), 20))
 
 
 @query(f"WITH {_CHUNKS}, {_STATED}, {_QT}, {_HITS}, {_BM25}, fs AS (SELECT * FROM sc WHERE vector_id IN (SELECT vector_id FROM c WHERE lang IN ('en', 'fr'))) SELECT {_SHOWN} FROM ({_sql_top(20, 'fs')})")
 def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    chunks = window_chunks_of(spark, sf_dir)
+    chunks = index_of(spark, sf_dir)
     return _shown(R.top(R.filtered(R.bm25_scores(chunks, stated(spark)), chunks, FILTERS), 20))
 
 
@@ -172,7 +176,7 @@ def char_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_CHUNKS}, {_STATED}, {_EMBEDDED}, sc AS (SELECT query_id, vector_id, round(score, 9) AS score FROM ds) SELECT {_SHOWN} FROM ({_sql_top(20)})")
 def dense_topk_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = R.dense_scores(window_chunks_of(spark, sf_dir), stated(spark)).withColumn("score", F.round("score", 9))
+    scores = R.dense_scores(index_of(spark, sf_dir), stated(spark)).withColumn("score", F.round("score", 9))
     return _shown(R.top(scores, 20))
 
 
@@ -185,7 +189,7 @@ hy AS (SELECT * FROM (SELECT query_id, vector_id, score, source, row_number() OV
 
 @query(f"WITH {_CHUNKS}, {_STATED}, {_QT}, {_HITS}, {_BM25}, {_EMBEDDED}, {_FUSED} SELECT query_id, vector_id, round(score, 6) AS score, rank, source FROM hy")
 def hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = ask.retrieve(window_chunks_of(spark, sf_dir), stated(spark), mode="hybrid", limit=20)
+    found = ask.retrieve(index_of(spark, sf_dir), stated(spark), mode="hybrid", limit=20)
     return found.select("query_id", "vector_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "source")
 
 
@@ -198,7 +202,7 @@ _ASKED = f"WITH {_CHUNKS}, {_STATED}, {_QT}, {_HITS}, {_BM25}, {_EMBEDDED}, {_FU
 
 @query(f"{_ASKED} SELECT {_SHOWN} FROM rr")
 def rerank_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _shown(ask.matches(window_chunks_of(spark, sf_dir), stated(spark)))
+    return _shown(ask.matches(index_of(spark, sf_dir), stated(spark)))
 
 
 _CONTEXT = """c1 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id, regexp_replace(text, '\\s+', ' ', 'g') ORDER BY rank) AS again FROM rr) WHERE again = 1),
@@ -208,13 +212,13 @@ cx AS (SELECT * FROM c2 WHERE used <= 10000 OR citation_id = 1)"""
 
 @query(f"{_ASKED}, {_CONTEXT} SELECT query_id, citation_id, vector_id FROM cx")
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = Q.context(ask.matches(window_chunks_of(spark, sf_dir), stated(spark)))
+    found = Q.context(ask.matches(index_of(spark, sf_dir), stated(spark)))
     return found.select("query_id", F.col("citation_id").cast("long").alias("citation_id"), "vector_id")
 
 
 @query(f"{_ASKED}, {_CONTEXT} SELECT query_id, string_agg('[' || citation_id || '] ' || text, chr(10) || chr(10) ORDER BY citation_id) AS context FROM cx GROUP BY query_id")
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.context_text(Q.context(ask.matches(window_chunks_of(spark, sf_dir), stated(spark))))
+    return Q.context_text(Q.context(ask.matches(index_of(spark, sf_dir), stated(spark))))
 
 
 _ANSWERS = f"""an AS (SELECT query_id, string_agg(substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 500) || ' [' || citation_id || ']', ' ' ORDER BY citation_id) AS made FROM cx WHERE citation_id <= 3 GROUP BY query_id)"""
@@ -222,7 +226,7 @@ _ANSWERS = f"""an AS (SELECT query_id, string_agg(substr(regexp_replace(text, '\
 
 @query(f"{_ASKED}, {_CONTEXT}, {_ANSWERS} SELECT q.query_id, coalesce(made, '{Q.NO_CONTEXT}') AS answer FROM q LEFT JOIN an USING (query_id)")
 def extractive_answer(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q.extractive_answers(stated(spark), Q.context(ask.matches(window_chunks_of(spark, sf_dir), stated(spark))))
+    return Q.extractive_answers(stated(spark), Q.context(ask.matches(index_of(spark, sf_dir), stated(spark))))
 
 
 def _sql_any(words: tuple[str, ...]) -> str:
@@ -274,7 +278,7 @@ def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT us.query_id, CASE WHEN best IS NULL THEN 'local_llm' WHEN best >= 0.9 AND intent IN ('lookup', 'question_answering') THEN 'direct' WHEN complexity >= 0.7 THEN 'online_llm' ELSE 'local_llm' END AS route, round(coalesce(best, 0), 6) AS confidence FROM us LEFT JOIN bs USING (query_id)"
 )
 def route_decision(spark: SparkSession, sf_dir: str) -> DataFrame:
-    selected = Q.context(ask.matches(window_chunks_of(spark, sf_dir), stated(spark)))
+    selected = Q.context(ask.matches(index_of(spark, sf_dir), stated(spark)))
     return Q.routed(Q.understood(stated(spark)), selected).select("query_id", "route", F.round("confidence", 6).alias("confidence"))
 
 

@@ -18,6 +18,7 @@ from pyspark.sql.types import ArrayType, DoubleType
 
 from sparkloom.functions import text as T
 from sparkloom.functions.filters import predicate
+from sparkloom.storage import written
 
 #: A query's terms are sent to every task if there are so few; else joined.
 FEW_TERMS = 10_000
@@ -34,9 +35,18 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def indexed(chunks: DataFrame) -> DataFrame:
+    """The chunks with their terms, written once for all that reads them."""
+    return written(chunks.withColumn("terms", T.terms(F.col("text"))), "index")
+
+
+def _terms(chunks: DataFrame) -> Column:
+    return F.col("terms") if "terms" in chunks.columns else T.terms(F.col("text"))
+
+
 def _hits(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """vector_id, dl, term, tf of the terms that any query has."""
-    rows = chunks.select("vector_id", T.terms(F.col("text")).alias("terms")).withColumn("dl", F.size("terms"))
+    rows = chunks.select("vector_id", _terms(chunks).alias("terms")).withColumn("dl", F.size("terms"))
     few = [r.term for r in wanted.select("term").distinct().limit(FEW_TERMS + 1).collect()]
     if len(few) <= FEW_TERMS:
         own = F.array(*map(F.lit, few)) if few else F.array().cast("array<string>")
@@ -55,11 +65,11 @@ def overlap_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """BM25 over all chunks: query terms count as often as they occur; a negative idf becomes ``floor`` times the mean idf. Rows above 0."""
     wanted = query_terms(queries)
-    lengths = chunks.select(F.size(T.terms(F.col("text"))).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    lengths = chunks.select(F.size(_terms(chunks)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, average = lengths.n, lengths.avgdl or 1.0
     idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     # the mean is over every term of the corpus, by its document frequency
-    every = chunks.select(F.explode(T.term_set(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    every = chunks.select(F.explode(F.array_distinct(_terms(chunks))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     mean = every.groupBy("df").agg(F.count("*").alias("m")).agg((F.sum(F.col("m") * idf) / F.sum("m"))).first()[0] or 0.0
     hits = _hits(chunks, wanted)
     of_term = hits.groupBy("term").agg(F.count("*").alias("df")).select("term", F.when(idf < 0, F.lit(floor * mean)).otherwise(idf).alias("idf"))

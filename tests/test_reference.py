@@ -185,40 +185,46 @@ def test_graph_from_contributions(spark):
     assert {(x.measure, x.key): x.n for x in G.stats(nodes, edges, e).collect()}["relationships", "REPORTS_TO"] == 1
 
 
-def tokens(spark, sentence, parse):
-    """A parse by hand: for each word its lemma, part of speech, dependency and head, and its entity's label."""
-    rows = []
-    for i, (word, (lemma, pos, dep, head, label)) in enumerate(zip(sentence.split(), parse, strict=True)):
-        rows.append(("d", 0, i, word, word.lower(), lemma, pos, "WP" if word in ("who", "which") else "", dep, head, label, i if label else None, i * 10))
-    return spark.createDataFrame(rows, "document_id string, sent_id int, i long, text string, lower string, lemma string, pos string, tag string, dep string, head long, ent_label string, ent_id long, start_char int")
-
-
-def triples(frame):
-    return {(r.source, r.type, r.target, r.polarity) for r in K.extracted(frame).collect()}
-
-
-def test_relations_active_relative_and_negated(spark):
-    works = tokens(spark, "Priya works in Finance", [("Priya", "PROPN", "nsubj", 1, "PERSON"), ("work", "VERB", "ROOT", 1, ""), ("in", "ADP", "prep", 1, ""), ("Finance", "PROPN", "pobj", 2, "ORG")])
-    assert triples(works) == {("Priya", "WORKS_IN", "Finance", "positive")}
-    assert K.extracted(works).first().confidence == pytest.approx(0.95)
-    chain = tokens(
-        spark, "Priya reports to the Head of Finance who reports to Ada",
+#: Parses by hand. For each word: lemma, part of speech, dependency, head, its entity's label. What is extracted.
+PARSES = {
+    "Priya works in Finance": (
+        [("Priya", "PROPN", "nsubj", 1, "PERSON"), ("work", "VERB", "ROOT", 1, ""), ("in", "ADP", "prep", 1, ""), ("Finance", "PROPN", "pobj", 2, "ORG")],
+        {("Priya", "WORKS_IN", "Finance", "positive", 0.95)},
+    ),
+    "Priya reports to the Head of Finance who reports to Ada": (
         [("Priya", "PROPN", "nsubj", 1, "PERSON"), ("report", "VERB", "ROOT", 1, ""), ("to", "ADP", "prep", 1, ""), ("the", "DET", "det", 4, ""), ("head", "NOUN", "pobj", 2, ""), ("of", "ADP", "prep", 4, ""), ("Finance", "PROPN", "pobj", 5, "ORG"), ("who", "PRON", "nsubj", 8, ""), ("report", "VERB", "relcl", 4, ""), ("to", "ADP", "prep", 8, ""), ("Ada", "PROPN", "pobj", 9, "PERSON")],
-    )
-    assert triples(chain) == {("Priya", "REPORTS_TO", "Head of Finance", "positive"), ("Head of Finance", "REPORTS_TO", "Ada", "positive")}
-    never = tokens(spark, "Priya never manages Finance", [("Priya", "PROPN", "nsubj", 2, "PERSON"), ("never", "ADV", "neg", 2, ""), ("manage", "VERB", "ROOT", 2, ""), ("Finance", "PROPN", "dobj", 2, "ORG")])
-    assert triples(never) == {("Priya", "MANAGES", "Finance", "negative")}
-    nobody = tokens(spark, "nobody manages Finance", [("nobody", "PRON", "nsubj", 1, ""), ("manage", "VERB", "ROOT", 1, ""), ("Finance", "PROPN", "dobj", 1, "ORG")])
-    assert triples(nobody) == set()
-
-
-def test_relations_passive_copular_and_conjoined(spark):
-    used = tokens(spark, "Helios is used by Engineering", [("Helios", "PROPN", "nsubjpass", 2, "PRODUCT"), ("be", "AUX", "auxpass", 2, ""), ("use", "VERB", "ROOT", 2, ""), ("by", "ADP", "agent", 2, ""), ("Engineering", "PROPN", "pobj", 3, "ORG")])
-    assert triples(used) == {("Engineering", "USES", "Helios", "positive")}
-    managed = tokens(spark, "Finance is managed by Priya", [("Finance", "PROPN", "nsubjpass", 2, "ORG"), ("be", "AUX", "auxpass", 2, ""), ("manage", "VERB", "ROOT", 2, ""), ("by", "ADP", "agent", 2, ""), ("Priya", "PROPN", "pobj", 3, "PERSON")])
-    assert triples(managed) == {("Finance", "MANAGED_BY", "Priya", "positive")}
-    part = tokens(spark, "Payroll is part of Finance and Treasury", [("Payroll", "PROPN", "nsubj", 1, "ORG"), ("be", "AUX", "ROOT", 1, ""), ("part", "NOUN", "attr", 1, ""), ("of", "ADP", "prep", 2, ""), ("Finance", "PROPN", "pobj", 3, "ORG"), ("and", "CCONJ", "cc", 4, ""), ("Treasury", "PROPN", "conj", 4, "ORG")])
-    assert triples(part) == {("Payroll", "PART_OF", "Finance", "positive")}
+        {("Priya", "REPORTS_TO", "Head of Finance", "positive", 0.95), ("Head of Finance", "REPORTS_TO", "Ada", "positive", 0.9)},
+    ),
+    "Priya never manages Finance": (
+        [("Priya", "PROPN", "nsubj", 2, "PERSON"), ("never", "ADV", "neg", 2, ""), ("manage", "VERB", "ROOT", 2, ""), ("Finance", "PROPN", "dobj", 2, "ORG")],
+        {("Priya", "MANAGES", "Finance", "negative", 1.0)},
+    ),
+    "nobody manages Finance": ([("nobody", "PRON", "nsubj", 1, ""), ("manage", "VERB", "ROOT", 1, ""), ("Finance", "PROPN", "dobj", 1, "ORG")], set()),
+    "Helios is used by Engineering": (
+        [("Helios", "PROPN", "nsubjpass", 2, "PRODUCT"), ("be", "AUX", "auxpass", 2, ""), ("use", "VERB", "ROOT", 2, ""), ("by", "ADP", "agent", 2, ""), ("Engineering", "PROPN", "pobj", 3, "ORG")],
+        {("Engineering", "USES", "Helios", "positive", 0.95)},
+    ),
+    "Finance is managed by Priya": (
+        [("Finance", "PROPN", "nsubjpass", 2, "ORG"), ("be", "AUX", "auxpass", 2, ""), ("manage", "VERB", "ROOT", 2, ""), ("by", "ADP", "agent", 2, ""), ("Priya", "PROPN", "pobj", 3, "PERSON")],
+        {("Finance", "MANAGED_BY", "Priya", "positive", 0.9)},
+    ),
+    "Payroll is part of Finance": (
+        [("Payroll", "PROPN", "nsubj", 1, "ORG"), ("be", "AUX", "ROOT", 1, ""), ("part", "NOUN", "attr", 1, ""), ("of", "ADP", "prep", 2, ""), ("Finance", "PROPN", "pobj", 3, "ORG")],
+        {("Payroll", "PART_OF", "Finance", "positive", 0.95)},
+    ),
+}
+
+
+def test_relations_of_hand_parses(spark):
+    rows = []
+    for sentence, (parse, _) in PARSES.items():
+        for i, (word, (lemma, pos, dep, head, label)) in enumerate(zip(sentence.split(), parse, strict=True)):
+            rows.append((sentence, 0, i, word, word.lower(), lemma, pos, "WP" if word == "who" else "", dep, head, label, i if label else None, i * 10))
+    frame = spark.createDataFrame(rows, "document_id string, sent_id int, i long, text string, lower string, lemma string, pos string, tag string, dep string, head long, ent_label string, ent_id long, start_char int")
+    got = {s: set() for s in PARSES}
+    for r in K.extracted(frame).collect():
+        got[r.document_id].add((r.source, r.type, r.target, r.polarity, r.confidence))
+    assert got == {s: want for s, (_, want) in PARSES.items()}
 
 
 def test_headings_become_sentences(spark):
