@@ -15,13 +15,21 @@ from pyspark.sql import DataFrame, SparkSession
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
+#: The temporary folder of an application for which none is named.
+_TEMPORARY: dict[str, str] = {}
+
+
 def shared_root(spark: SparkSession) -> str:
     """The cluster's shared folder; a temporary one only where none is named (tests)."""
-    root = spark.sparkContext.getConf().get(CHECKPOINT_KEY) or spark.conf.get(CHECKPOINT_KEY, None)
+    root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
-        spark.conf.set(CHECKPOINT_KEY, root)
-        spark.sparkContext.setCheckpointDir(root)
+        name = spark.sparkContext.applicationId
+        if name not in _TEMPORARY:
+            _TEMPORARY[name] = "file://" + tempfile.mkdtemp(prefix="sparkloom-")
+        root = _TEMPORARY[name]
+    if ":" not in root:  # a path of the cluster's default file system; tasks that write files need it in full
+        path = spark._jvm.org.apache.hadoop.fs.Path(root)
+        root = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString().replace("file:/", "file:///", 1)
     return root.rstrip("/")
 
 
