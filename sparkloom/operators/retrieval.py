@@ -68,11 +68,13 @@ def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float
     lengths = chunks.select(F.size(_terms(chunks)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, average = lengths.n, lengths.avgdl or 1.0
     idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
-    # the mean is over every term of the corpus, by its document frequency
-    every = chunks.select(F.explode(F.array_distinct(_terms(chunks))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    mean = every.groupBy("df").agg(F.count("*").alias("m")).agg((F.sum(F.col("m") * idf) / F.sum("m"))).first()[0] or 0.0
-    hits = _hits(chunks, wanted)
-    of_term = hits.groupBy("term").agg(F.count("*").alias("df")).select("term", F.when(idf < 0, F.lit(floor * mean)).otherwise(idf).alias("idf"))
+    hits = written(_hits(chunks, wanted), "hits")
+    found = hits.groupBy("term").agg(F.count("*").alias("df"))
+    mean = 0.0
+    if found.where(idf < 0).limit(1).count():  # only then: the mean over every term of the corpus, by its document frequency
+        every = chunks.select(F.explode(F.array_distinct(_terms(chunks))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+        mean = every.groupBy("df").agg(F.count("*").alias("m")).agg((F.sum(F.col("m") * idf) / F.sum("m"))).first()[0] or 0.0
+    of_term = found.select("term", F.when(idf < 0, F.lit(floor * mean)).otherwise(idf).alias("idf"))
     part = F.col("times") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.lit(average)))
     joined = hits.join(F.broadcast(wanted.join(of_term, "term")) if wanted.limit(FEW_TERMS + 1).count() <= FEW_TERMS else wanted.join(of_term, "term"), "term")
     return joined.groupBy("query_id", "vector_id").agg(F.round(F.sum(part), 9).alias("score")).where("score > 0")  # sums in another order still tie

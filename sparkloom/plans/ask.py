@@ -42,7 +42,8 @@ def matches(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", filters
 
 def answer(chunks: DataFrame, queries: DataFrame, rewrite: bool = False, mode: str = "hybrid", filters: dict[str, Any] | None = None, config: Config = DEFAULTS) -> DataFrame:
     """query_id, intent, complexity, route, confidence, answer, context for each query; with ``rewrite`` the first variant is retrieved with."""
-    used = Q.rewritten(queries).where("variant_no = 0").select("query_id", F.col("rewrite").alias("query")) if rewrite else queries
+    asked = queries.where(F.length(F.trim("query")) > 0)
+    used = Q.rewritten(asked).where("variant_no = 0").select("query_id", F.col("rewrite").alias("query")) if rewrite else queries
     found = retrieve(chunks, used, mode, config.top_k, filters, config)
     rows = found.join(chunks.select("vector_id", "text"), "vector_id").join(queries.select("query_id", "query"), "query_id")
     best = R.reranked(rows, config.rerank_top_k)
