@@ -104,7 +104,7 @@ def present(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
 def regression(rows: np.ndarray, features: np.ndarray, values: np.ndarray, labels: np.ndarray, penalty: float = 1e-4, rounds: int = 1000) -> tuple[np.ndarray, float]:
     """Weights and intercept of a logistic regression with a quadratic penalty, by accelerated gradient steps."""
     n, m = len(labels), len(values)
-    x = values[features]
+    x = values[features].astype(np.float32)  # the driver's largest arrays are in single precision
     rate = np.clip(labels.mean(), 1e-3, 1 - 1e-3) if n else 0.5
     w, b = np.zeros(m), float(np.log(rate / (1 - rate)))
     if not n or not len(rows):
@@ -116,9 +116,9 @@ def regression(rows: np.ndarray, features: np.ndarray, values: np.ndarray, label
     for i in range(rounds):
         mix = i / (i + 3)
         v, c = w + mix * (w - old_w), b + mix * (b - old_b)
-        error = 1 / (1 + np.exp(-np.clip(np.bincount(rows, x * v[features], n) + c, -50, 50))) - labels
+        error = 1 / (1 + np.exp(-np.clip(np.bincount(rows, x * v.astype(np.float32)[features], n) + c, -50, 50))) - labels
         old_w, old_b = w, b
-        w = v - step * (np.bincount(features, x * error[rows], m) / n + penalty * v)
+        w = v - step * (np.bincount(features, x * error.astype(np.float32)[rows], m) / n + penalty * v)
         b = c - step * error.mean()
     return w, float(b)
 
@@ -176,8 +176,8 @@ def train(sample: DataFrame) -> Model:
 
     rows = sorted(sample.mapInArrow(features, "doc_id long, label int, features binary").collect())  # the bounded sample's features
     lists = [np.frombuffer(r.features, np.int32) for r in rows]
-    of = np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
-    w, b = regression(np.repeat(np.arange(len(lists)), list(map(len, lists))), of, values, np.array([r.label for r in rows], float))
+    of = np.concatenate([np.zeros(0, np.int32), *lists])
+    w, b = regression(np.repeat(np.arange(len(lists), dtype=np.int32), list(map(len, lists))), of, values, np.array([r.label for r in rows], float))
     return model._replace(weights=w * values, intercept=b)
 
 
