@@ -344,6 +344,12 @@ def markdown_to_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents(spark, sf_dir).where(~F.rlike(F.col("text"), F.lit(r"[*_]{1,3}|```|---"))).select("doc_id", formats.markdown_text(F.col("text")).alias("text"))
 
 
+@query()
+def markdown_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents; the query above leaves out those with marks that its SQL has no form for."""
+    return documents(spark, sf_dir).select("doc_id", formats.markdown_text(F.col("text")).alias("text"))
+
+
 @query("SELECT c_custkey, array_to_string(list_filter([CASE WHEN trim(c_name) <> '' THEN 'c_name: ' || trim(c_name) END, CASE WHEN trim(c_mktsegment) <> '' THEN 'c_mktsegment: ' || trim(c_mktsegment) END, 'c_nationkey: ' || c_nationkey], lambda x: x IS NOT NULL), ' | ') AS line FROM customer")
 def csv_flatten_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "customer").select("c_custkey", formats.flat_row("c_name", "c_mktsegment", "c_nationkey").alias("line"))
