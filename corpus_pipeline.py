@@ -1,10 +1,11 @@
 """A corpus from raw documents to packed sequences.
 
 Stages, each written as Parquet and read by the next: toxic documents go; of each
-group of near copies the one with the least doc_id stays; documents that leak a
-benchmark item go; secrets are redacted; what is left is packed. A null doc_id is
-kept by every stage that its text does not fail; rows that repeat a doc_id are
-copies of each other for the second stage only if their texts are.
+group of near copies one row stays, the one with the least doc_id; documents that
+leak a benchmark item go; secrets are redacted; what is left is packed. A row without
+a doc_id comes after the numbered ones of its group and is otherwise treated as they
+are; rows that repeat a doc_id are copies of each other for the second stage only if
+their texts are.
 """
 
 from __future__ import annotations
@@ -31,10 +32,15 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    groups = jaccard_join(docs)
-    stays = groups.where("doc_id = class_id").select("doc_id").distinct()
-    known = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.select(*docs.columns).union(docs.where("doc_id is null"))
+    # by text, so that rows that share a number or have none count too
+    rows = docs.withColumn("text_hash", F.xxhash64("text"))
+    texts = written(rows.select(F.col("text_hash").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
+    classes = jaccard_join(texts).select(F.col("doc_id").alias("text_hash"), "class_id")
+    first = rows.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "text_hash")).alias("first"))
+    stays = first.join(classes, "text_hash").groupBy("class_id").agg(F.min("first").alias("first"))
+    stays = written(stays.select(F.col("first.doc_id").alias("own_id"), F.col("first.text_hash").alias("own_hash")), "stays")
+    kept = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -83,3 +83,11 @@ def test_held_out_accuracy_on_the_test_tables(spark):
         scored = operator(docs, labels, label, rest != held).join(labels, "doc_id").where(rest == held)
         right, n = scored.agg(F.avg((F.col("predicted") == F.col(label)).cast("int")), F.count("*")).first()
         assert n > 30 and right >= least
+
+
+def test_rows_that_share_a_number_are_copies_only_by_text(spark):
+    a, b, c, d = (text(40) for _ in range(4))
+    rows = [(1, a), (1, b), (1, a), (2, b + "."), (3, c), (7, d), (7, c), (None, d), (None, a + "!"), (None, "other words"), (None, "other words")]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string")
+    got = corpus_pipeline.drop_near_copies(spark, docs, "").collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(1, a), (1, b), (3, c), (7, d), (None, "other words")], key=str)
