@@ -30,6 +30,12 @@ def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different values, sorted; for whole numbers far faster than ``np.unique``, which hashes them."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def trigrams(data: np.ndarray) -> np.ndarray:
     """A term for each byte but the last two."""
     x = data.astype(np.uint32)
