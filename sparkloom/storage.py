@@ -20,9 +20,12 @@ _TEMPORARY: dict[str, str] = {}
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where none is named (tests)."""
+    """The cluster's shared folder; where none is named, a temporary one in a single process (tests) and an error on a cluster."""
     root = spark.conf.get(CHECKPOINT_KEY, None) or spark.sparkContext.getConf().get(CHECKPOINT_KEY)
     if not root:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError(f"{CHECKPOINT_KEY} must name a folder that the driver and all executors of {master} share")
         name = spark.sparkContext.applicationId
         if name not in _TEMPORARY:
             _TEMPORARY[name] = "file://" + tempfile.mkdtemp(prefix="sparkloom-")

@@ -1,5 +1,7 @@
 """The shared folder, with and without a name."""
 
+import pytest
+
 from sparkloom import storage
 
 
@@ -12,9 +14,9 @@ class Conf:
 
 
 class Session:
-    def __init__(self, value):
+    def __init__(self, value, master="local[4]"):
         self.conf = Conf(value)
-        self.sparkContext = type("Context", (), {"applicationId": "app-1", "getConf": lambda self: Conf(None)})()
+        self.sparkContext = type("Context", (), {"applicationId": "app-1", "master": master, "getConf": lambda self: Conf(None)})()
 
 
 def test_named_and_unnamed_folders():
@@ -23,6 +25,13 @@ def test_named_and_unnamed_folders():
     assert first.startswith("file:///") and storage.shared_root(Session(None)) == first
 
 
+def test_a_cluster_must_name_its_folder():
+    assert storage.shared_root(Session("hdfs://x/y", "yarn")) == "hdfs://x/y"
+    for master in ("yarn", "local-cluster[2,1,1024]", "spark://h:7077"):
+        with pytest.raises(ValueError):
+            storage.shared_root(Session(None, master))
+
+
 def test_a_path_gets_its_file_system(spark, monkeypatch):
     real = spark.conf.get
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, *default: "/mnt/shared" if key == storage.CHECKPOINT_KEY else real(key, *default))
