@@ -8,9 +8,10 @@ byte lengths, less one, of four numbers, two bits each from the lowest; a number
 an id's rank by falling frequency in the corpus, then by id, least byte first.
 ``ranks.bin`` beside the files has the id of each rank as unsigned 32-bit integers.
 
-Texts are sorted by doc_id first and tokenised once; ids then stay in their place:
-a shard is a partition of that sort, and a file is a run of its rows. Only counts
-by id (at most the vocabulary) and totals by shard are gathered.
+Texts are sorted by doc_id first and tokenised once, and each task counts its ids as
+it goes; ids then stay in their place: a shard is a partition of that sort, and a
+file is a run of its rows. Only counts by id (at most the vocabulary) and totals by
+shard are gathered.
 
 Defined cases: a null or empty text has the end id only; rows with one doc_id stay
 separate, by text; null doc_ids come first; an empty table gives no files and no
@@ -59,44 +60,45 @@ def decode_numbers(control: np.ndarray, data: np.ndarray, count: int) -> np.ndar
 
 
 def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """The table shard, position, doc_id, ids (unsigned 32-bit integers as bytes), sorted by doc_id across and within shards."""
+    """The table shard, position, doc_id, ids (unsigned 32-bit integers as bytes), sorted by doc_id across and within shards.
+
+    Each shard ends with a row at position -1 whose column ``counts`` has how often each id occurs in it, as 64-bit integers.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, shard, position = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0
+        encode, shard, position, total = encoder(tokenizer).encode, TaskContext.get().partitionId(), 0, np.zeros(0, np.int64)
+        names = ["shard", "position", "doc_id", "ids", "counts"]
         for batch in batches:
             for part in slices(batch, "text"):
                 ids, starts = encode(part.column("text"))
-                data = np.insert(ids, starts[1:], end_id).astype("<u4").tobytes()
-                ends = (starts + np.arange(len(starts))) * 4
-                n = part.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(np.full(n, shard)),
-                        pa.array(np.arange(position, position + n)),
-                        part.column("doc_id"),
-                        pa.array([data[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)], pa.binary()),
-                    ],
-                    ["shard", "position", "doc_id", "ids"],
-                )
+                data = np.insert(ids, starts[1:], end_id).astype("<u4", copy=False)
+                counts = np.bincount(data, minlength=len(total))
+                counts[: len(total)] += total
+                total, ends, n = counts, starts + np.arange(len(starts)), part.num_rows
+                data = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(ends * 4), pa.py_buffer(data)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, shard)), pa.array(np.arange(position, position + n)), part.column("doc_id"), data.cast(pa.binary()), pa.nulls(n, pa.binary())], names)
                 position += n
+        if position:
+            yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
     ordered = docs.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return ordered.mapInArrow(run, "shard long, position long, doc_id long, ids binary")
+    return ordered.mapInArrow(run, "shard long, position long, doc_id long, ids binary, counts binary")
 
 
 def id_counts(tokens: DataFrame) -> DataFrame:
-    """How often each id occurs: each task counts its rows first."""
+    """How often each id occurs, from the shards' own counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            counts = np.bincount(_flat(batch.column("ids")), minlength=len(total))
-            counts[: len(total)] += total
-            total = counts
+            for data in batch.column("counts"):
+                counts = np.frombuffer(data.as_py(), np.int64).copy()
+                short, total = sorted((counts, total), key=len)
+                total[: len(short)] += short
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(total[found])], ["id", "n"])
 
-    return tokens.select("ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    return tokens.where("position < 0").select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
 def _flat(ids: pa.Array) -> np.ndarray:
@@ -139,7 +141,7 @@ def write_ids(docs: DataFrame, folder: str, tokenizer: str, end_id: int, ids_in_
         if docs:
             yield _row(file(*at, docs, parts))
 
-    manifest = written(tokens.mapInArrow(run, "shard long, position long, n_docs long, n_ids long, n_bytes long, path string"), "manifest")
+    manifest = written(tokens.where("position >= 0").drop("counts").mapInArrow(run, "shard long, position long, n_docs long, n_ids long, n_bytes long, path string"), "manifest")
     shards = manifest.groupBy("shard").agg(F.sum("n_ids").alias("in_shard"))
     before = F.sum("in_shard").over(Window.orderBy("shard")) - F.col("in_shard")  # a row for each shard only
     within = F.sum("n_ids").over(Window.partitionBy("shard").orderBy("position")) - F.col("n_ids")
