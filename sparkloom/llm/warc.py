@@ -1,10 +1,11 @@
 """Operator 8: WARC archives, written with revisits and read back with salvage.
 
-Each record is a gzip member of its own (or plain text). The reader checks every
-record: member, version line, length, end and block digest. After a failed check
-it looks for the next gzip header or version line that begins a valid record,
-logs the bytes between as a gap and goes on, so damage costs only the records it
-touches.
+The writer makes each record a gzip member of its own (or plain text); the reader
+also takes members of several records, and plain records among members. It checks
+every record: member, version line, header, length, end and block digest. After a
+failed check it looks for the next gzip header or version line that begins a valid
+record, logs the bytes between as a gap and goes on, so damage costs only the
+records it touches. Headers and records may be of any length.
 
 Of pages with equal payloads of at least ``least`` bytes, that with the smallest
 page_id becomes a response, the others revisits of it; smaller ones and pages with
@@ -103,7 +104,7 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, compress: bool
 
 
 def _member(data: memoryview, start: int) -> tuple[bytes, int] | None:
-    """The text of the gzip member at ``start`` and its end, unless it is damaged or isn't one record's."""
+    """The text of the gzip member at ``start`` and its end, unless it is damaged or doesn't begin with a record."""
     unpacker, at, out = zlib.decompressobj(31), start, []
     try:
         while not unpacker.eof:
@@ -119,22 +120,41 @@ def _member(data: memoryview, start: int) -> tuple[bytes, int] | None:
     return b"".join(out), at - len(unpacker.unused_data)
 
 
+def _fields(head: bytes) -> dict[str, str] | None:
+    """The header's fields by lower-case name; a line that begins with a blank continues the one before."""
+    fields: dict[str, str] = {}
+    name = None
+    try:
+        lines = head.decode().split("\r\n")[1:]
+    except UnicodeDecodeError:
+        return None
+    for line in lines:
+        if line[:1] in (" ", "\t") and name is not None:
+            fields[name] += f" {line.strip()}"
+            continue
+        name, colon, value = line.partition(":")
+        if not colon or not name.strip():
+            return None
+        name = name.strip().lower()
+        fields[name] = value.strip()
+    return fields
+
+
 def _record(text: bytes | memoryview, start: int) -> tuple[dict[str, str], bytes, int] | None:
     """Fields (names in lower case), block and end of the valid record at ``start``."""
     if bytes(text[start : start + len(VERSION)]) != VERSION:
         return None
-    for most in (4096, 1 << 20):  # fields are short; a longer look only where needed
+    most = 4096  # fields are short as a rule; a longer look only where needed
+    while True:
         head = bytes(text[start : start + most])
         end = head.find(b"\r\n\r\n")
         if end >= 0:
             break
-    else:
-        return None
-    try:
-        fields = dict(line.split(": ", 1) for line in head[:end].decode().split("\r\n")[1:])
-    except (ValueError, UnicodeDecodeError):
+        if start + most >= len(text):
+            return None
+        most *= 16
+    if (fields := _fields(head[:end])) is None:
         return None
-    fields = {k.lower(): v for k, v in fields.items()}
     size = fields.get("content-length", "")
     if not size.isdecimal():
         return None
@@ -148,28 +168,38 @@ def _record(text: bytes | memoryview, start: int) -> tuple[dict[str, str], bytes
     return fields, block, stop
 
 
+def _found(view: memoryview, at: int) -> tuple[list[tuple[dict[str, str], bytes] | None], int] | None:
+    """The records that begin at ``at``, plain or as a gzip member of one or more, and their end; None stands for damage between a member's records."""
+    if bytes(view[at : at + len(MAGIC)]) != MAGIC:
+        got = _record(view, at)
+        return got and ([got[:2]], got[2])
+    if not (member := _member(view, at)):
+        return None
+    inner = [None if kind == "gap" else (fields, block) for kind, _, _, fields, block in salvage(member[0])]
+    return (inner, member[1]) if any(inner) else None
+
+
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
-    """("record" or "gap", start, end, fields, block) for all bytes of an archive, in order."""
+    """("record" or "gap", start, end, fields, block) for all bytes of an archive, in order.
+
+    Records and gaps of one gzip member all have the member's place.
+    """
     view = memoryview(data)
-    packed = data.find(MAGIC, 0, 4) == 0 or (data.find(VERSION) < 0 and MAGIC in data)
+    ahead = dict.fromkeys((MAGIC, VERSION), -1)  # the next place of each, once it is looked for
     at = bad = 0
     while at < len(data):
-        found = None
-        if packed:
-            if (member := _member(view, at)) and (got := _record(member[0], 0)) and got[2] == len(member[0]):
-                found = (got[0], got[1], member[1])
-        else:
-            found = _record(view, at)
-        if found:
+        if found := _found(view, at):
             if bad < at:
                 yield "gap", bad, at, {}, b""
-            fields, block, end = found
-            yield "record", at, end, fields, block
-            at = bad = end
-        else:
-            at = data.find(MAGIC if packed else VERSION, at + 1)
-            if at < 0:
-                break
+            for got in found[0]:
+                yield ("record", at, found[1], *got) if got else ("gap", at, found[1], {}, b"")
+            at = bad = found[1]
+            continue
+        for sign, place in ahead.items():
+            if place <= at:
+                place = data.find(sign, at + 1)
+                ahead[sign] = place if place >= 0 else len(data)
+        at = min(ahead.values())
     if bad < len(data):
         yield "gap", bad, len(data), {}, b""
 
