@@ -19,7 +19,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs, before = written(pairs, "edges"), None
     for _ in range(rounds):
-        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_003)).first()
+        now = pairs.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(28,0)")), F.bit_xor(F.xxhash64("b", F.lit(1), "a"))).first()
         if now == before:
             break
         before = now
@@ -29,5 +29,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+    else:
+        raise RuntimeError(f"the components are not settled after {rounds} rounds")
     roots = pairs.groupBy("a").agg(F.min("b").alias("root")).select(F.col("a").alias("node"), "root")
     return roots.union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
