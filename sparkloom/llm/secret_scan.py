@@ -1,9 +1,12 @@
 """Operator 4: an incremental ledger of blobs that were scanned for secrets, in DataFrame functions only.
 
 Every version of every path is named by the SHA-256 of its text. The ledger has
-which pairs of a blob and a rule's version were scanned, and the spans they gave;
-a run scans each blob only by the rules that its pairs lack, once however many
-paths hold it, appends to the ledger and joins findings back to all paths.
+which pairs of a blob and a rule's version were scanned, the spans they gave, and
+which blobs each path ever held; a run scans each blob only by the rules that its
+pairs lack, once however many paths hold it, and appends to the ledger. Findings of
+the rule versions asked for are joined back to the rows of the run (``scan``) or to
+all paths of all runs (``history``); those of a rule's older versions stay in the
+ledger but are no longer reported.
 
 Spans are code points from the start of the text, the end not included. Matches of
 a rule are leftmost and don't overlap: ``split`` gives the text between them and
@@ -13,7 +16,7 @@ place.
 
 Defined cases: a null text is empty and has no findings; repeated rows get the
 same findings each; a null path stays; an empty table gives no rows; further
-columns are ignored.
+columns are ignored. Spans of one start are listed in the order of the rules.
 """
 
 from __future__ import annotations
@@ -47,38 +50,55 @@ BASE = (
 )
 RULES = (
     *BASE,
-    Rule("private_key", 1, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----"),
+    # to its end line, or else to the end of its lines
+    Rule("private_key", 2, r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----(?:[A-Za-z0-9+/=:,\s-]*?-----END [A-Z ]{0,30}PRIVATE KEY-----|(?:\s+[A-Za-z0-9+/=]{40,})*)"),
     Rule("code_host", 1, r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat", 1, r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("web_token", 1, r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
 )
-SPAN = "struct<start:int,place:int,kind:string,end:int>"
-LEDGER = f"blob string, done array<string>, spans array<{SPAN}>"
+SPAN = "struct<start:int,place:int,kind:string,end:int,rule:string>"
+PAIRS, VERSIONS = f"blob string, done array<string>, spans array<{SPAN}>", "path string, blob string"
+#: Matches that one running sum goes over; sums of longer lists go over blocks of so many.
+BLOCK = 256
+
+
+def _running(lengths: Column) -> Column:
+    """The sum of the numbers before each one of a short list."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+    return F.aggregate(lengths, start, lambda acc, n: F.struct((acc["at"] + n).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")), lambda acc: acc["out"])
 
 
 def rule_spans(text: Column, rule: Rule, place: int) -> Column:
     """The spans of a rule's matches in a text; texts with none are left after one look."""
-    pattern = F.lit(rule.pattern)
+    pattern, nothing = F.lit(rule.pattern), F.array().cast(f"array<{SPAN}>")
     matches = F.regexp_extract_all(text, pattern, F.lit(0))
     groups = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else matches
     between = F.slice(F.split(text, rule.pattern, -1), F.lit(1), F.size(matches))
     steps = F.zip_with(F.zip_with(between, matches, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"))), groups, lambda s, g: F.struct(s["b"].alias("b"), s["m"].alias("m"), (F.length(g) >= rule.least).alias("kept")))
-    found = F.aggregate(
-        steps,
-        F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out")),
-        lambda acc, s: F.struct(
-            (acc["at"] + s["b"] + s["m"]).alias("at"),
-            F.when(s["kept"], F.concat(acc["out"], F.array(F.struct((acc["at"] + s["b"]).alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (acc["at"] + s["b"] + s["m"]).alias("end"))))).otherwise(acc["out"]).alias("out"),
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.rlike(text, pattern), found).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    def spans(block: Column, first: Column) -> Column:
+        before = _running(F.transform(block, lambda s: s["b"] + s["m"]))
+
+        def span(s: Column, at: Column) -> Column:
+            start = first + at + s["b"]
+            return F.struct(start.alias("start"), F.lit(place).alias("place"), F.lit(rule.kind).alias("kind"), (start + s["m"]).alias("end"), F.lit(rule.name).alias("rule"), s["kept"].alias("kept"))
+
+        every = F.filter(F.zip_with(block, before, span), lambda s: s["kept"])
+        return F.transform(every, lambda s: F.struct(*[s[c].alias(c) for c in ("start", "place", "kind", "end", "rule")]))
+
+    def in_blocks(steps: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(steps) - 1) / BLOCK).cast("int")), lambda i: F.slice(steps, i * BLOCK + 1, F.lit(BLOCK)))
+        sums = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, s: acc + s["b"] + s["m"]))
+        return F.flatten(F.zip_with(blocks, _running(sums), spans))
+
+    found = F.when(F.size(steps) > BLOCK, in_blocks(steps)).when(F.size(steps) > 0, spans(steps, F.lit(0))).otherwise(nothing)
+    return F.when(F.rlike(text, pattern), found).otherwise(nothing)
 
 
 def scan_blobs(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """blob and sorted spans of every blob with findings among those of ``versions`` (path, text) and earlier ones; the ledger grows by what is new."""
+    """blob and sorted spans of every blob with findings among those of ``versions`` (path, text) and earlier ones; the ledger's pairs grow by what is new."""
     spark, names = versions.sparkSession, F.array(*[F.lit(r.name) for r in rules])
-    old = read_ledger(spark, ledger)
+    old = read_pairs(spark, ledger)
     blobs = named(versions).groupBy("blob").agg(F.any_value("text").alias("text"))
     if old is None:
         pairs = blobs.withColumn("done", names)
@@ -88,11 +108,15 @@ def scan_blobs(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES
         pairs = blobs.join(known, "blob", "left").withColumn("done", todo).where(F.size("done") > 0)
     nothing = F.array().cast(f"array<{SPAN}>")
     spans = F.concat(*[F.when(F.array_contains("done", r.name), rule_spans(F.col("text"), r, i)).otherwise(nothing) for i, r in enumerate(rules)])
-    pairs.select("blob", "done", F.array_sort(spans).alias("spans")).write.mode("append").option("compression", "zstd").parquet(ledger)
-    current = read_ledger(spark, ledger).where(F.size("spans") > 0)
-    kinds = [r.kind for r in rules]
-    findings = current.select("blob", F.explode("spans").alias("s")).where(F.col("s.kind").isin(kinds))
-    return written(findings.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans")), "findings")
+    pairs.select("blob", "done", F.array_sort(spans).alias("spans")).write.mode("append").option("compression", "zstd").parquet(f"{ledger}/pairs")
+    return written(findings(spark, ledger, rules), "findings")
+
+
+def findings(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """blob and sorted spans of every blob of the ledger in which these versions of the rules found something."""
+    current = read_pairs(spark, ledger).where(F.size("spans") > 0)
+    one = current.select("blob", F.explode("spans").alias("s")).where(F.col("s.rule").isin([r.name for r in rules]))
+    return one.groupBy("blob").agg(F.array_sort(F.collect_set("s")).alias("spans"))
 
 
 def named(versions: DataFrame) -> DataFrame:
@@ -101,17 +125,35 @@ def named(versions: DataFrame) -> DataFrame:
 
 
 def scan(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """path, blob and all sorted spans of every row of ``versions`` (path, text)."""
-    found = named(versions).select("path", "blob").join(scan_blobs(versions, ledger, rules), "blob", "left")
-    return found.select("path", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    """path, blob and all sorted spans of every row of ``versions`` (path, text); the ledger's paths grow by what is new."""
+    spark = versions.sparkSession
+    rows = written(named(versions).select("path", "blob"), "versions")
+    now, old = rows.select(F.col("path").cast("string").alias("path"), "blob").distinct(), _read(spark, f"{ledger}/versions", VERSIONS)
+    if old is not None:
+        now = now.alias("n").join(old.alias("o"), (F.col("n.blob") == F.col("o.blob")) & F.col("n.path").eqNullSafe(F.col("o.path")), "left_anti")
+    now.write.mode("append").option("compression", "zstd").parquet(f"{ledger}/versions")
+    return _joined(rows, scan_blobs(versions, ledger, rules))
+
+
+def history(spark: SparkSession, ledger: str, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """path (as text), blob and all sorted spans of every version that the ledger knows."""
+    return _joined(_read(spark, f"{ledger}/versions", VERSIONS), findings(spark, ledger, rules))
+
+
+def _joined(rows: DataFrame, found: DataFrame) -> DataFrame:
+    return rows.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
+
+
+def read_pairs(spark: SparkSession, ledger: str) -> DataFrame | None:
+    """Which rules scanned which blobs, and what they found, or None where the ledger isn't begun."""
+    return _read(spark, f"{ledger}/pairs", PAIRS)
 
 
-def read_ledger(spark: SparkSession, ledger: str) -> DataFrame | None:
-    """The ledger, or None where it isn't begun."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(ledger)
+def _read(spark: SparkSession, folder: str, schema: str) -> DataFrame | None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
         return None
-    return spark.read.schema(LEDGER).parquet(ledger)
+    return spark.read.schema(schema).parquet(folder)
 
 
 def listed(spans: Column) -> Column:

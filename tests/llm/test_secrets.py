@@ -18,6 +18,8 @@ TEXTS = [
     (7, "0123456789abcdef " * 300 + "plain " * 20_000),
     (3, "token: token: abcdefghijklmnop and secret=abcdefghijkl"),
     (None, "secret=abcdefghijkl"),
+    (8, "x -----BEGIN PRIVATE KEY-----\nMIIB+/a=\nProc-Type: 4,ENCRYPTED\n-----END PRIVATE KEY-----, y"),
+    (9, "-----BEGIN EC PRIVATE KEY-----\n" + "Ab3/" * 16 + "\n" + "q" * 64 + "\nand so on. -----END EC PRIVATE KEY-----"),
 ]
 BASE = {"assign": (s.BASE[0].pattern, 2, 12), "access": (r"AKIA[A-Z0-9]+", 0, 18), "hex": (r"[0-9a-f]+", 0, 16)}
 
@@ -41,25 +43,41 @@ def test_spans_equal_brute_force(spark):
         own = brute(text, BASE)
         want.append((path, *(sum(x.startswith(k + ":") for x in own) for k in BASE), hashlib.sha256(",".join(own).encode()).hexdigest(), ",".join(brute(text, every))))
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
-    assert sum(len(r.spans) > 0 for r in got) == 7
+    assert sum(len(r.spans) > 0 for r in got) == 9
 
 
 def test_only_unseen_pairs_are_scanned(spark):
     ledger = new_folder(spark, "ledger")
     s.scan(frame(spark, TEXTS[:5]), ledger, s.RULES[:2]).collect()
-    first = s.read_ledger(spark, ledger).count()
+    first = s.read_pairs(spark, ledger).count()
     again = s.scan(frame(spark, TEXTS[:5]), ledger, s.RULES[:2]).collect()
-    assert s.read_ledger(spark, ledger).count() == first == 4  # null and empty texts are one blob
+    assert s.read_pairs(spark, ledger).count() == first == 4  # null and empty texts are one blob
     assert {r.path for r in again} == {1, 2, 3, 4, 5}
     newer = (*s.RULES[:2], s.RULES[2]._replace(version=2))
     grown = s.scan(frame(spark, TEXTS), ledger, newer).collect()
-    rows = s.read_ledger(spark, ledger).select("blob", F.explode("done").alias("pair"))
-    assert rows.count() == rows.distinct().count() == 7 * 3
-    assert rows.where("pair = 'hex@2'").count() == 7
+    rows = s.read_pairs(spark, ledger).select("blob", F.explode("done").alias("pair"))
+    assert rows.count() == rows.distinct().count() == 9 * 3
+    assert rows.where("pair = 'hex@2'").count() == 9
     want = sorted((p, ",".join(brute(t, BASE))) for p, t in TEXTS if p)
     assert sorted((r.path, ",".join(f"{x.kind}:{x.start}:{x.end}" for x in r.spans)) for r in grown if r.path) == want
 
 
+def test_an_older_version_of_a_rule_no_longer_reports(spark):
+    ledger = new_folder(spark, "ledger")
+    s.scan(frame(spark, [(1, "deadbeefdeadbeef and deadbeefdeadbeefdeadbeefdeadbeef"), (2, "deadbeefdeadbeef")]), ledger).collect()
+    stricter = (s.Rule("hex", 2, r"[0-9a-f]{32,}"),)
+    got = s.scan(frame(spark, [(1, "deadbeefdeadbeef and deadbeefdeadbeefdeadbeefdeadbeef")]), ledger, stricter).collect()
+    assert [[(x.start, x.end) for x in r.spans] for r in got] == [[(21, 53)]]
+
+
+def test_history_has_every_version_of_every_path(spark):
+    ledger = new_folder(spark, "ledger")
+    s.scan(frame(spark, [(1, "secret=abcdefghijkl"), (2, "none"), (None, "none")]), ledger).collect()
+    s.scan(frame(spark, [(1, "mended"), (2, "none"), (3, "secret=abcdefghijkl"), (None, "none")]), ledger).collect()
+    got = sorted((r.path or "", len(r.spans)) for r in s.history(spark, ledger).collect())
+    assert got == [("", 0), ("1", 0), ("1", 1), ("2", 0), ("3", 1)]
+
+
 def test_empty_history_and_redaction(spark):
     assert s.scan(frame(spark, []), new_folder(spark, "ledger")).collect() == []
     text = "a secret=abcdefghijkl0123456789abcdef b deadbeefdeadbeef"
