@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-from sparkloom.llm.terms import text_bytes
+from sparkloom.llm.terms import distinct, text_bytes
 
 WORDS = 5
 _LOWER = np.array([ord(chr(i).lower()) if i < 128 and chr(i).isalnum() else i if i > 127 else 0 for i in range(256)], np.uint8)
@@ -51,7 +51,7 @@ def shingle_sets(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
         own = words[a:b]
         if b - a >= WORDS:
-            yield own, np.unique(runs[a : b - WORDS + 1])
+            yield own, distinct(runs[a : b - WORDS + 1])
         elif b > a:
             short = own[:1]
             for w in own[1:]:
