@@ -111,6 +111,16 @@ def test_ids_come_back_from_files(spark, docs, expected, size):
     assert sorted(map(tuple, rows), key=lambda r: r[1]) == want
 
 
+def test_cut_words_have_the_ids_of_whole_texts(monkeypatch):
+    monkeypatch.setattr(tokenize, "WINDOW", 64)
+    encode = tokenize.Encoder(PATH)
+    texts = ["a,b;c 12th 3.14 x--y (z) don't 'tis it's' o'12", "×÷ a×b é÷ñ été, ñandú. ªº µ¿qué? “quoted” dash–ed", "", None, "ÀÉÎ ÿ ĀĂ ȘȚ Ǆ", "a" * 300 + " , " + "b" * 200, "..,, 1 2 33", "\t\n x\r\n", "<|x|>", "x'S 'LL y'd"]
+    texts += [" ".join(texts[i % 9] or "" for i in range(j)) for j in range(1, 30, 3)]
+    ids, starts = encode.encode(texts)
+    want = [encode.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert [ids[a:b].tolist() for a, b in zip(starts[:-1], starts[1:], strict=True)] == want
+
+
 def test_other_tokenizers_encode_whole_texts():
     encode = tokenize.encoder(tokenize.public_tokenizer("byte_bpe_50k.json"))
     assert encode.pattern is None
@@ -186,6 +196,24 @@ def test_damaged_archives_lose_only_what_is_damaged(compress):
     assert cut[-1][0] == "gap" and list(warc.salvage(b"")) == [] and [x[0] for x in warc.salvage(b"noise")] == ["gap"]
 
 
+def test_members_of_several_records_mixed_archives_and_long_headers():
+    one, two, three = (warc.record(i, f"http://x/{i}", b"payload", None, "2024-01-01T00:00:00Z") for i in range(3))
+    packed = (p := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(one + b"junk" + two) + p.flush()
+    got = list(warc.salvage(three + packed + three.replace(b"WARC-Type: ", b"WARC-Type:")))
+    assert [(k, f.get("warc-target-uri")) for k, _, _, f, _ in got] == [("record", "http://x/2"), ("record", "http://x/0"), ("gap", None), ("record", "http://x/1"), ("record", "http://x/2")]
+    assert {(a, b) for _, a, b, _, _ in got[1:4]} == {(len(three), len(three) + len(packed))}
+    folded = three.replace(b"WARC-Date: ", b"X-Note: a\r\n  b\r\nWARC-Date: ")
+    assert [f["x-note"] for _, _, _, f, _ in warc.salvage(folded)] == ["a b"]
+    assert [k for k, *_ in warc.salvage(three.replace(b"WARC-Date: ", b"no colon\r\nWARC-Date: "))] == ["gap"]
+
+
+def test_a_very_long_url_comes_back(spark):
+    pages = spark.createDataFrame([(1, "http://x/" + "u" * 1_500_000, "<p>a</p>"), (2, "http://y", "<p>b</p>")], "page_id long, url string, html string")
+    for compress in (True, False):
+        rows = warc.read_archives(warc.write_archives(pages, new_folder(spark, "warc"), compress=compress)).collect()
+        assert sorted((r.kind, r.page_id, len(r.url)) for r in rows) == [("record", 1, 1_500_009), ("record", 2, 8)]
+
+
 def test_spark_reads_archives_itself(spark, tmp_path):
     name = tmp_path / f"{uuid.uuid4().hex}.warc"
     name.write_bytes(b"junk" + warc.record(3, None, b"hi", None, "2024-01-01T00:00:00Z"))
