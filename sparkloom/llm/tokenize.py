@@ -103,7 +103,7 @@ class Encoder:
         while begin < len(data):
             end = _window_end(data, begin)
             first, last = np.searchsorted(bounds, [begin, end], side="right")
-            values, starts, own = _cut(data[begin:end], bounds[first:last] - begin, self.pattern.pattern == CUT_PATTERN)
+            values, starts, own = cut(data[begin:end], bounds[first:last] - begin, self.pattern.pattern == CUT_PATTERN)
             ids, ends = self._known(values, starts)
             before[first:last] = done + ends[own]
             every.append(ids)
@@ -146,7 +146,7 @@ def _window_end(data: np.ndarray, begin: int) -> int:
     return len(data)
 
 
-def _cut(data: np.ndarray, bounds: np.ndarray, inside_words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def cut(data: np.ndarray, bounds: np.ndarray, inside_words: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The bytes without white space, where each piece begins in them, and how many pieces begin before each bound."""
     kind = _KIND[data]
     kept = kind > 0

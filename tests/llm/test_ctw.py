@@ -3,6 +3,7 @@
 import math
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -60,7 +61,7 @@ TEXTS = [(1, "The cat sat on the mat.", True), (2, "the CAT sat\ton the cat", Tr
 @pytest.mark.parametrize("block_bytes", [20, 1 << 20])
 def test_scores_equal_the_sequential_form(spark, block_bytes):
     docs = spark.createDataFrame([(d, t, own, 7, b"x") for d, t, own in TEXTS], "doc_id long, text string, own boolean, block long, word binary")
-    got = ctw.score(docs, F.col("own"), block_bytes).collect()
+    got = ctw.score(docs, F.col("own"), block_bytes, block_bytes).collect()
     trees = defaultdict(Tree)
     for _, text, own in TEXTS:
         for node, context, bit in decisions(text) if own else ():
@@ -90,8 +91,32 @@ def test_empty_table_and_no_training(spark):
     assert one.bits_per_byte == pytest.approx(8) and one.train_tokens == 0
 
 
-def test_log_gamma(spark):
-    x = [0.5, 1.0, 1.5, 7.25, 100.5, 1e6 + 0.5, 1e12]
-    got = spark.createDataFrame([(v,) for v in x], "x double").select(ctw._log_gamma(F.col("x"))).collect()
-    for (g,), v in zip(got, x, strict=True):
-        assert g == pytest.approx(math.lgamma(v), rel=1e-11, abs=1e-9)
+def test_log_gamma():
+    x = np.array([0, 1, 7, 1023, 1024, 10**6, 10**12])
+    for half in (True, False):
+        want = [math.lgamma(v + (0.5 if half else 1)) for v in x.tolist()]
+        assert ctw._log_gamma(x, half) == pytest.approx(want, rel=1e-11, abs=1e-9)
+
+
+def test_grams_in_pieces_are_those_of_whole_texts(monkeypatch):
+    texts = [b"", b"a", b"abcdefghijkl", b"", b"xy" * 20, b"\x00\xff", b"z"]
+    data, bounds = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    want = []
+    for t in texts:
+        padded = b"\0" * ctw.DEPTH + t
+        want += [int.from_bytes(padded[i : i + ctw.DEPTH][::-1] + padded[i + ctw.DEPTH : i + ctw.DEPTH + 1], "big") for i in range(len(t))]
+    for size in (1, 3, 7, 1 << 20):
+        monkeypatch.setattr(ctw, "PIECE", size)
+        pieces = list(ctw.grams(data, bounds))
+        assert np.concatenate([g for _, _, g in pieces]).tolist() == want
+        assert [(a, b) for a, b, _ in pieces] == [(i, min(i + size, len(data))) for i in range(0, len(data), size)]
+
+
+def test_texts_of_several_pieces_and_repeated_rows(spark):
+    rng = np.random.default_rng(1)
+    long = " ".join("".join(chr(97 + c) for c in rng.integers(0, 5, 6)) for _ in range(200_000))  # more than a piece
+    docs = spark.createDataFrame([(1, long), (2, long), (2, long), (3, "short")], "doc_id long, text string")
+    rows = ctw.score(docs, F.col("doc_id") < 3, 1 << 18, 1 << 18).collect()
+    assert len({(r.score, r.base_score) for r in rows if r.doc_id < 3}) == 1 and sum(r.doc_id == 2 for r in rows) == 2
+    one = next(r for r in rows if r.doc_id == 1)
+    assert one.n_bytes == len(long) and one.n_tokens == one.n_known == 200_001 and one.train_tokens == 3 * 200_001
