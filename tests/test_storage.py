@@ -38,6 +38,29 @@ def test_a_path_gets_its_file_system(spark, monkeypatch):
     assert storage.shared_root(spark) == "file:///mnt/shared"
 
 
+def test_kept_tables_are_built_once_for_their_files(spark, tmp_path):
+    source, built = f"{tmp_path}/in", []
+    spark.range(3).write.parquet(source)
+
+    def make():
+        rows = spark.read.parquet(source)
+
+        def build():
+            built.append(1)
+            return rows.selectExpr("id + 1 AS id")
+
+        return sorted(r.id for r in storage.kept("plus", [rows], build).collect())
+
+    assert make() == make() == [1, 2, 3] and len(built) == 1
+    spark.range(5).write.mode("overwrite").parquet(source)
+    assert make() == [1, 2, 3, 4, 5] and len(built) == 2
+
+
+def test_small_tables_are_spread(spark):
+    assert storage.spread(spark.range(10, numPartitions=1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert storage.spread(spark.range(10, numPartitions=9)).rdd.getNumPartitions() == 9
+
+
 def test_written_tables_come_back(spark):
     df = spark.range(3).selectExpr("id", "cast(null as string) s")
     back = storage.written(df, "some")
