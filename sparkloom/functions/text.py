@@ -28,15 +28,19 @@ PROPER_PHRASE = r"\b[A-Z][A-Za-z0-9&.-]*(?:\s+[A-Z][A-Za-z0-9&.-]*)*\b"
 #: Letters, digits and underscore of any script; Java's \w knows ASCII only.
 WORD = r"[\p{L}\p{N}_]+"
 _SPACE = r"(?U)\s"
+_SPACES = "\t\n\x0b\f\r \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+#: A character that cleaning leaves in any text.
+VISIBLE = r"(?U)[^\s\x{200b}-\x{200f}\x{feff}]"
 
 
 def strip(text: Column) -> Column:
     """Without white space of any script at both ends."""
-    return F.regexp_replace(text, rf"{_SPACE}+$|^{_SPACE}+", "")
+    return F.btrim(text, F.lit(_SPACES))
 
 
 def clean(text: Column) -> Column:
     """Line ends, invisible characters, tabs, runs of blanks and blank lines put in order."""
+    # What is replaced, in this order.
     steps = ((r"\r\n?", "\n"), ("[​-‏﻿]", ""), (r"\t", " "), (r" {2,}", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"))
     out = F.coalesce(text, F.lit(""))
     for pattern, replacement in steps:

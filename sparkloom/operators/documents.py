@@ -10,18 +10,33 @@ from sparkloom.functions import text as T
 
 
 def cleaned(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """The key, further columns and ``clean_text``; documents left empty are dropped (see ``rejected``)."""
-    return docs.withColumn("clean_text", T.clean(F.col("text"))).where(F.length("clean_text") > 0)
+    """The key, further columns and ``clean_text``; documents left empty are dropped (see ``rejected``), by a look at the raw text, so that a text is cleaned once."""
+    return docs.where(F.rlike(F.col("text"), F.lit(T.VISIBLE))).withColumn("clean_text", T.clean(F.col("text")))
 
 
 def rejected(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Documents without text."""
-    return docs.where(F.length(T.clean(F.col("text"))) == 0).select(key, F.lit("no text").alias("reason"))
+    return docs.where(~F.coalesce(F.rlike(F.col("text"), F.lit(T.VISIBLE)), F.lit(False))).select(key, F.lit("no text").alias("reason"))
 
 
-def metadata(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+def metadata(docs: DataFrame, key: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """The key, columns to keep, char_count, word_count and content_id of each document with text."""
     text = F.col("clean_text")
-    return cleaned(docs).select(key, F.length(text).alias("char_count"), F.size(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0)).alias("word_count"), F.sha1(text.cast("binary")).alias("content_id"))
+    return cleaned(docs).select(key, *keep, F.length(text).alias("char_count"), F.size(F.filter(F.split(text, r"\s+"), lambda w: F.length(w) > 0)).alias("word_count"), F.sha1(text.cast("binary")).alias("content_id"))
+
+
+def file_metadata(files: DataFrame) -> DataFrame:
+    """What is known of each extracted file (path, modificationTime, length, text, page_count): document_id, filename, file_type, file_size, pages, char_count, word_count, content_id, uploaded_at."""
+    name = F.regexp_extract(F.url_decode(F.regexp_replace("path", r"\+", "%2B")), r"([^/]*)$", 1)
+    kind = F.lower(F.regexp_extract(name, r"\.([^.]*)$", 1))
+    own = files.select(F.sha1(F.col("path").cast("binary")).alias("document_id"), name.alias("filename"), kind.alias("file_type"), F.col("length").alias("file_size"), F.col("page_count").alias("pages"), F.col("modificationTime").alias("uploaded_at"), "text")
+    return metadata(own, "document_id", ("filename", "file_type", "file_size", "pages", "uploaded_at"))
+
+
+def lookup(store: DataFrame, ids: DataFrame, key: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """The rows of some documents, and the ids that are unknown."""
+    asked = ids.select(key).distinct()
+    return store.join(asked, key, "left_semi"), asked.join(store.select(key), key, "left_anti")
 
 
 def sections(docs: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -55,7 +70,7 @@ def listing(indexed: DataFrame) -> DataFrame:
     first = F.min_by(F.struct("filename", "indexed_at"), "chunk_id")
     rows = indexed.where(F.coalesce("document_id", F.lit("")) != "").groupBy("document_id").agg(F.count("*").alias("chunk_count"), first.alias("f"))
     named = rows.select("document_id", F.coalesce(F.nullif(F.col("f.filename"), F.lit("")), "document_id").alias("display_name"), F.col("f.indexed_at").alias("indexed_at"), "chunk_count")
-    return named.orderBy(F.desc("indexed_at"), F.desc("display_name"))
+    return named.orderBy(F.desc("indexed_at"), F.desc("display_name"), "document_id")
 
 
 def upserted(store: DataFrame, rows: DataFrame, key: str = "vector_id") -> DataFrame:
@@ -70,6 +85,11 @@ def deleted(store: DataFrame, tombstones: DataFrame, key: str = "document_id") -
     return store.join(asked, key, "left_anti"), asked.join(counts, key, "left").select(key, F.coalesce("n", F.lit(0)).alias("chunks_removed"))
 
 
+def emptied(store: DataFrame) -> DataFrame:
+    """The store after a reset: its columns and no rows."""
+    return store.limit(0)
+
+
 def located(offsets: DataFrame, chunked: DataFrame, key: str = "doc_id") -> DataFrame:
     """For each row (key, offset): the chunk that holds it, the earliest to start, else ''. Equal keys first, then the range."""
     c = chunked.select(F.col(key).alias("k"), "vector_id", "start", "end")

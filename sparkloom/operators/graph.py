@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.config import DEFAULTS
 from sparkloom.functions.text import entity_id, relation_id
 from sparkloom.storage import written
 
@@ -25,6 +26,10 @@ RELATION_TYPES = (
 )
 
 
+#: The most edges of one read.
+MOST_EDGES = 500
+
+
 def safe(value: Column, known: tuple[str, ...]) -> Column:
     return F.when(value.isin(*known), value).otherwise(known[-1])
 
@@ -50,9 +55,13 @@ def entities(log: DataFrame) -> DataFrame:
 
 
 def sources(log: DataFrame) -> DataFrame:
-    """id and its documents, sorted."""
-    rows = log.where("document_id <> ''").select(entity_id(F.col("type"), F.col("canonical_name")).alias("id"), "document_id").distinct()
-    return rows.groupBy("id").agg(F.sort_array(F.collect_list("document_id")).alias("source_documents"))
+    """id, document_id: a row for each document of an entity, as a hub may have millions."""
+    return log.where("document_id <> ''").select(entity_id(safe(F.col("type"), ENTITY_TYPES), F.col("canonical_name")).alias("id"), "document_id").distinct()
+
+
+def replaced(log: DataFrame, rows: DataFrame) -> DataFrame:
+    """The log with ``rows`` in place of all that their documents contributed; documents come again as often as one likes."""
+    return without(log, rows).unionByName(rows)
 
 
 def relationships(log: DataFrame) -> DataFrame:
@@ -76,6 +85,19 @@ def matching(nodes: DataFrame, term: str) -> Column:
     return F.contains("canonical_name", F.lit(term.lower())) | F.contains(F.lower("display_name"), F.lit(term.lower()))
 
 
+def bounded(limit: int | None) -> int:
+    """A limit of edges as given, from 1 to 500; 150 where none is."""
+    return DEFAULTS.graph_limit if limit is None else max(1, min(limit, MOST_EDGES))
+
+
+def labelled(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges whose both ends exist, with source_name and target_name."""
+    out = edges
+    for end in ("source", "target"):
+        out = out.join(nodes.select(F.col("id").alias(f"{end}_id"), F.col("display_name").alias(f"{end}_name")), f"{end}_id")
+    return out.select(*edges.columns, "source_name", "target_name")
+
+
 def sliced(nodes: DataFrame, edges: DataFrame, limit: int = 150, least: float = 0.0, kind: str | None = None, entity_kind: str | None = None, term: str | None = None, of_document: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Positive edges by falling confidence, ``limit`` at most and one more that tells of truncation, and their nodes by mentions."""
     rows = edges.where((F.col("polarity") == "positive") & (F.col("confidence") >= least))
@@ -114,21 +136,37 @@ def touching(edges: DataFrame, ids: DataFrame) -> DataFrame:
     return reduce(DataFrame.union, out).distinct()
 
 
-def detail(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    """The edges of some entities, positive ones first, then by confidence."""
-    return touching(edges, ids).orderBy(F.when(F.col("polarity") == "positive", 0).otherwise(1), F.desc("confidence"), "id")
+def detail(edges: DataFrame, ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """entity_id, rank, the edge, and its other end (neighbor_id, neighbor_name) for each of some entities: positive edges first, then by confidence."""
+    own = ids.select(F.col("id").alias("entity_id")).distinct()
+    ends = [edges.withColumn("entity_id", F.col(a)).withColumn("neighbor_id", F.col(b)) for a, b in (("source_id", "target_id"), ("target_id", "source_id"))]
+    rows = ends[0].union(ends[1].where("source_id <> target_id")).join(own, "entity_id", "left_semi")
+    w = Window.partitionBy("entity_id").orderBy(F.when(F.col("polarity") == "positive", 0).otherwise(1), F.desc("confidence"), "id")
+    return rows.withColumn("rank", F.row_number().over(w)).join(nodes.select(F.col("id").alias("neighbor_id"), F.col("display_name").alias("neighbor_name")), "neighbor_id", "left")
+
 
+def neighbours(edges: DataFrame, ids: DataFrame, depth: int = 1, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """What positive edges reach in 1 to 3 hops: id, distance of the entities, and the edges followed with hop, rank and truncated.
 
-def neighbours(edges: DataFrame, ids: DataFrame, depth: int, limit: int) -> DataFrame:
-    """id, distance of what positive edges reach in 1 to 3 hops; a hop follows ``limit`` edges at most, the most confident."""
-    positive = written(edges.where("polarity = 'positive'").select("id", "source_id", "target_id", "confidence"), "positive")
+    A hop follows ``limit`` edges at most, the most confident; none begins once so many
+    edges are found. Of these at most ``limit`` are shown, in the order in which they
+    were found, and truncated tells whether there are more.
+    """
+    limit = bounded(limit)
+    positive = written(edges.where("polarity = 'positive'"), "positive")
     seen = written(ids.select("id").distinct().withColumn("distance", F.lit(0)), "seen")
+    found = None
     for hop in range(1, max(1, min(3, depth)) + 1):
         front = seen.where(F.col("distance") == hop - 1)
-        used = touching(positive, front).orderBy(F.desc("confidence"), "id").limit(limit)
+        used = touching(positive, front).orderBy(F.desc("confidence"), "id").limit(limit).withColumn("hop", F.lit(hop))
+        used = written(used, "hop")
+        found = used if found is None else found.union(used.join(found.select("id"), "id", "left_anti").select(*used.columns))
         reached = used.select(F.col("source_id").alias("id")).union(used.select(F.col("target_id").alias("id"))).distinct()
         seen = seen.union(written(reached.join(seen.select("id"), "id", "left_anti").withColumn("distance", F.lit(hop)), "seen"))  # a hop is computed once
-    return seen
+        if found.count() >= limit:  # at most three times the limit
+            break
+    ranked = found.withColumn("rank", F.row_number().over(Window.orderBy("hop", F.desc("confidence"), "id")))
+    return seen, ranked.withColumn("truncated", F.max("rank").over(Window.partitionBy()) > limit).where(F.col("rank") <= limit)
 
 
 def search(nodes: DataFrame, term: str, limit: int) -> DataFrame:
@@ -162,3 +200,20 @@ def deduplicated(relations: DataFrame) -> DataFrame:
     key = ("document_id", "source_canonical", "type", "target_canonical", "polarity")
     w = Window.partitionBy(*key).orderBy(F.desc("confidence"), "seq")
     return relations.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
+
+
+def of_type(nodes: DataFrame, kind: str) -> DataFrame:
+    """Entities by the name of their type; an unknown name is the last type's."""
+    return nodes.where(F.col("type") == (kind.strip().upper() if kind.strip().upper() in ENTITY_TYPES else ENTITY_TYPES[-1]))
+
+
+def shown_nodes(nodes: DataFrame, of_edges: DataFrame, log: DataFrame, limit: int, kind: str | None = None, term: str | None = None, document: str | None = None) -> DataFrame:
+    """A slice's nodes; where a filter leaves no edge, the entities that pass it themselves, by mentions, ``limit`` at most."""
+    if not of_edges.isEmpty() or not (kind or term or document):
+        return of_edges
+    rows = nodes if not kind else nodes.where(F.col("type") == kind)
+    if term:
+        rows = rows.where(F.contains("canonical_name", F.lit(term.lower())))
+    if document:
+        rows = rows.join(sources(log.where(F.col("document_id") == document)).select("id"), "id", "left_semi")
+    return rows.orderBy(F.desc("mentions_count"), "id").limit(limit)

@@ -42,6 +42,7 @@ def understood(queries: DataFrame) -> DataFrame:
         .otherwise("lookup")
     )
     rows = rows.withColumn("intent", intent)
+    # What each sign adds to the complexity.
     score = (
         F.lit(0.15)
         + F.least(F.size("tokens") / 80, F.lit(0.35))
@@ -50,7 +51,7 @@ def understood(queries: DataFrame) -> DataFrame:
         + F.when(_any(F.col("tokens"), BREADTH_TERMS), 0.15).otherwise(0.0)
     )
     return rows.select(
-        "query_id", "query", "intent", F.slice("every", 1, 10).alias("entities"), F.lit("en").alias("language"), F.least(score, F.lit(1.0)).alias("complexity"),
+        "query_id", "query", "intent", F.slice("every", 1, 10).alias("entities"), F.lit("en").alias("language"), F.round(F.least(score, F.lit(1.0)), 3).alias("complexity"),
         F.size("tokens").alias("token_count"), F.size("every").alias("entity_count"), _any(F.col("tokens"), QUESTION_WORDS).alias("has_question_word"),
     )
 
@@ -97,7 +98,7 @@ def routed(understanding: DataFrame, selected: DataFrame, config: Config = DEFAU
     complicated = F.col("complexity") >= config.route_complexity
     empty = F.col("best").isNull()
     route = F.when(empty, "local_llm").when(direct, "direct").when(complicated, "online_llm").otherwise("local_llm")
-    reason = F.when(empty, "No matching chunks were retrieved.").when(direct, "High retrieval confidence with a direct factual query.").when(complicated, "Complex multi-step query may need stronger reasoning.").otherwise("Retrieved context is relevant, but answer synthesis is useful.")
+    reason = F.when(empty, "nothing was found").when(direct, "the best chunk answers a plain question").when(complicated, "the question is complex").otherwise("chunks were found, but an answer must be put together")
     return rows.select("query_id", route.alias("route"), reason.alias("reason"), "confidence")
 
 

@@ -3,7 +3,8 @@
 A parser (a port, see ``ports``) gives one row for each token: document_id, sent_id,
 i, text, lower, lemma, pos, tag, dep, head (its own i for a root), ent_label, ent_id,
 start_char. All rules join tokens with their children on (document_id, sent_id, head);
-only the extent of a token's subtree, a recursion, is computed a sentence at a time.
+only the extent of a token's subtree, a recursion, is computed a sentence at a time,
+on arrays of whole sentences.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULTS
+from sparkloom.functions import text as T
 from sparkloom.functions.text import canonical_name, display_name
 from sparkloom.storage import written
 
@@ -64,6 +66,8 @@ COMPLEMENTS = ("part", "member", "responsible", "accountable", "owner", "parent"
 OF_HEADS = ("head", "director", "chief", "manager", "lead", "vp", "president", "owner", "member", "part", "chair", "chairman", "officer", "board")
 SUBJECTS, OBJECTS, WITHIN = ("nsubj", "nsubjpass", "expl"), ("dobj", "obj", "dative", "attr", "oprd"), ("compound", "amod", "nmod", "poss", "nummod")
 MOST_TOKENS = 8
+#: Kinds that are found and scored, but are no nodes of a graph.
+UNLINKED = ("DATE", "MONEY")
 S = ("document_id", "sent_id")
 
 
@@ -77,21 +81,47 @@ def vacuous(text: Column) -> Column:
     return (plain == "") | plain.isin(*VACUOUS) | F.split(plain, " ")[0].isin(*VACUOUS, *QUANTIFIERS)
 
 
+def _extent(tokens: list[int], heads: list[int]) -> list[dict]:
+    """The first and last token of each token's subtree."""
+    left, right, head = dict(zip(tokens, tokens, strict=True)), dict(zip(tokens, tokens, strict=True)), dict(zip(tokens, heads, strict=True))
+    for i in tokens:
+        at, seen = i, set()
+        while at in head and at not in seen:  # every ancestor spans this token
+            seen.add(at)
+            left[at], right[at] = min(left[at], i), max(right[at], i)
+            at = head[at]
+    return [{"left": left[i], "right": right[i]} for i in tokens]
+
+
 def with_extents(tokens: DataFrame) -> DataFrame:
     """Adds left and right, the first and last token of each token's subtree."""
 
-    def of_sentence(rows: pd.DataFrame) -> pd.DataFrame:
-        left, right, head = dict(zip(rows["i"], rows["i"], strict=True)), dict(zip(rows["i"], rows["i"], strict=True)), dict(zip(rows["i"], rows["head"], strict=True))
-        for i in head:
-            at, seen = i, set()
-            while at in head and at not in seen:  # every ancestor spans this token
-                seen.add(at)
-                left[at], right[at] = min(left[at], i), max(right[at], i)
-                at = head[at]
-        return rows.assign(left=rows["i"].map(left), right=rows["i"].map(right))
+    @F.pandas_udf("array<struct<left:long,right:long>>")
+    def extents(numbers: pd.Series, heads: pd.Series) -> pd.Series:
+        return pd.Series([_extent(i.tolist(), h.tolist()) for i, h in zip(numbers, heads, strict=True)])
+
+    others = [c for c in tokens.columns if c not in (*S, "i")]
+    rows = tokens.groupBy(*S).agg(F.sort_array(F.collect_list(F.struct(F.col("i").cast("long").alias("i"), *others))).alias("t"))
+    both = rows.withColumn("e", extents(F.transform("t", lambda t: t["i"]), F.transform("t", lambda t: t["head"].cast("long"))))
+    return both.select(*S, F.explode(F.arrays_zip("t", "e")).alias("z")).select(*S, "z.t.*", "z.e.*")
+
+
+def sentences(tokens: DataFrame, most: int = DEFAULTS.sentence_chars) -> DataFrame:
+    """document_id, sent_id, sentence, sentence_start of the sentences with 1 to ``most`` characters; longer ones are mostly tables."""
+    words = F.sort_array(F.collect_list(F.struct("i", "text")))
+    size = F.max(F.col("start_char") + F.length("text")) - F.min("start_char")
+    rows = tokens.groupBy(*S).agg(words.alias("w"), F.min("start_char").alias("sentence_start"), size.alias("size"))
+    return rows.where((F.col("size") > 0) & (F.col("size") <= most)).select(*S, T.strip(F.array_join(F.transform("w", lambda w: w["text"]), " ")).alias("sentence"), "sentence_start")
 
-    schema = ", ".join(f"`{c}` {t}" for c, t in tokens.dtypes)
-    return tokens.groupBy(*S).applyInPandas(of_sentence, f"{schema}, left long, right long")
+
+def mentions(tokens: DataFrame) -> DataFrame:
+    """document_id, sent_id, token (its first), name, canonical, kind of every entity that the parser marked; dates and money are none."""
+    entity = tokens.where("ent_id is not null")
+    bounds = entity.groupBy(*S, "ent_id").agg(F.min("i").alias("first"), F.max("i").alias("last"))
+    roots = entity.join(bounds, [*S, "ent_id"]).where((F.col("head") == F.col("i")) | (F.col("head") < F.col("first")) | (F.col("head") > F.col("last")))
+    spans = bounds.join(roots.groupBy(*S, "ent_id").agg(F.min("i").alias("root")), [*S, "ent_id"])
+    named = _named(spans, tokens, ["ent_id"]).where(~F.col("kind").isin(*UNLINKED))
+    return named.join(bounds.select(*S, "ent_id", F.col("first").alias("token")), [*S, "ent_id"]).select(*S, "token", "name", "canonical", "kind")
 
 
 def _children(tokens: DataFrame, prefix: str, parent: str) -> DataFrame:
@@ -205,9 +235,9 @@ def arguments(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     return own.join(p, [*S, "token"], "left").join(e, [*S, "token"], "left").select(*S, "token", best.alias("b")).where("b is not null").select(*S, "token", "b.*")
 
 
-def extracted(tokens: DataFrame, threshold: float = DEFAULTS.relation_threshold) -> DataFrame:
-    """Relations of all sentences: document_id, sent_id, verb, source, source_kind, source_canonical, target..., type, predicate, confidence, polarity."""
-    t = written(with_extents(tokens), "parse")  # many rules read it
+def extracted(tokens: DataFrame, threshold: float = DEFAULTS.relation_threshold, most: int = DEFAULTS.sentence_chars) -> DataFrame:
+    """Relations of all sentences of at most ``most`` characters: document_id, sent_id, verb, object, source, source_kind, source_canonical, target..., type, predicate, confidence, polarity."""
+    t = written(with_extents(tokens.join(sentences(tokens, most).select(*S), [*S], "left_semi")), "parse")  # many rules read it
     verbs = written(predicates(t), "verbs")
     key = [*S, "verb"]
     pairs = verbs.join(subjects(t, verbs), key).join(objects(t, verbs), key)
@@ -222,6 +252,7 @@ def extracted(tokens: DataFrame, threshold: float = DEFAULTS.relation_threshold)
         heads = t.select(*S, F.col("i").alias(end), F.col("head").alias(f"{end}_head"))
         rows = rows.join(side, [*S, end]).join(heads, [*S, end])
     away = F.abs(F.col("a") - F.col("b"))
+    # What each sign adds to the confidence.
     score = (
         F.lit(0.45)
         + F.when(F.col("type") != "RELATED_TO", 0.25).otherwise(0.0)
@@ -233,16 +264,38 @@ def extracted(tokens: DataFrame, threshold: float = DEFAULTS.relation_threshold)
     )
     rows = rows.withColumn("confidence", F.round(F.least(F.greatest(score, F.lit(0.0)), F.lit(1.0)), 3)).withColumn("polarity", F.when(F.col("negated"), "negative").otherwise("positive"))
     rows = rows.where((F.col("source_canonical") != F.col("target_canonical")) & ~vacuous(F.col("source")) & ~vacuous(F.col("target")))
-    rows = rows.where(((F.col("confidence") >= threshold) | F.col("negated")) & ~F.col("source_kind").isin("DATE", "MONEY") & ~F.col("target_kind").isin("DATE", "MONEY"))
+    rows = rows.where(((F.col("confidence") >= threshold) | F.col("negated")) & ~F.col("source_kind").isin(*UNLINKED) & ~F.col("target_kind").isin(*UNLINKED))
     names = ["source", "source_kind", "source_canonical", "target", "target_kind", "target_canonical", "type", "predicate", "confidence", "polarity"]
-    return rows.select(*S, "verb", *names)
+    return rows.select(*S, "verb", "object", *names)
+
+
+def _heading(line: Column) -> Column:
+    """Whether a line is short and ends without a closing sign."""
+    bare = F.trim(line)
+    return (bare != "") & ~F.rlike(bare, F.lit(r"[.!?:;]$")) & (F.size(F.split(bare, r"\s+")) <= 8)
+
+
+def _ended(line: Column) -> Column:
+    return F.when(_heading(line), F.concat(F.rtrim(line), F.lit("."))).otherwise(line)
 
 
 def terminated(text: Column) -> Column:
     """Text whose short lines without closing sign end in a full stop, so that a heading is a sentence."""
-    def line(x: Column) -> Column:
-        bare = F.trim(x)
-        heading = (bare != "") & ~F.rlike(bare, F.lit(r"[.!?:;]$")) & (F.size(F.split(bare, r"\s+")) <= 8)
-        return F.when(heading, F.concat(F.rtrim(x), F.lit("."))).otherwise(x)
+    return F.array_join(F.transform(F.split(text, "\n"), _ended), "\n")
+
+
+def insertions(text: Column) -> Column:
+    """Where in the terminated text a full stop was put in, in order; where blanks at a line's end went instead, the place all the same."""
+    lines = F.transform(F.split(text, "\n"), lambda x: F.struct(F.length(_ended(x)).alias("n"), _heading(x).alias("h")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out"))
+
+    def step(acc: Column, line: Column) -> Column:
+        out = F.when(line["h"], F.concat(acc["out"], F.array(acc["at"] + line["n"] - 1))).otherwise(acc["out"])
+        return F.struct((acc["at"] + line["n"] + 1).alias("at"), out.alias("out"))
+
+    return F.aggregate(lines, start, step, lambda acc: acc["out"])
+
 
-    return F.array_join(F.transform(F.split(text, "\n"), line), "\n")
+def original_offset(offset: Column, inserted: Column) -> Column:
+    """A place in the terminated text as a place in the text itself."""
+    return F.greatest(F.lit(0), offset - F.size(F.filter(inserted, lambda i: i < offset)))

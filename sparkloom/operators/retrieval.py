@@ -35,18 +35,34 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(T.terms(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
 
 
+def index_rows(chunks: DataFrame) -> DataFrame:
+    """The chunks with their terms, how many there are, and their vector: what an index holds."""
+    rows = chunks.withColumn("terms", T.terms(F.col("text"))).withColumn("embedding", char_embedding(F.col("text")))
+    return rows.withColumn("dl", F.size("terms"))
+
+
 def indexed(chunks: DataFrame) -> DataFrame:
-    """The chunks with their terms, written once for all that reads them."""
-    return written(chunks.withColumn("terms", T.terms(F.col("text"))), "index")
+    """An index, written once for all that reads it; see ``operators.documents.upserted`` for changing one."""
+    return written(index_rows(chunks), "index")
+
+
+def updated(index: DataFrame, chunks: DataFrame, removed: DataFrame | None = None) -> DataFrame:
+    """The index with the chunks of some documents (document_id, vector_id, text, ...) in place of all that these had, and without the documents of ``removed``; only the new chunks are taken apart."""
+    gone = chunks.select("document_id") if removed is None else chunks.select("document_id").union(removed.select("document_id"))
+    return written(index.join(gone.distinct(), "document_id", "left_anti").unionByName(index_rows(chunks), allowMissingColumns=True), "index")
 
 
 def _terms(chunks: DataFrame) -> Column:
     return F.col("terms") if "terms" in chunks.columns else T.terms(F.col("text"))
 
 
+def _length(chunks: DataFrame) -> Column:
+    return F.col("dl") if "dl" in chunks.columns else F.size(_terms(chunks))
+
+
 def _hits(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     """vector_id, dl, term, tf of the terms that any query has."""
-    rows = chunks.select("vector_id", _terms(chunks).alias("terms")).withColumn("dl", F.size("terms"))
+    rows = chunks.select("vector_id", _terms(chunks).alias("terms"), _length(chunks).alias("dl"))
     few = [r.term for r in wanted.select("term").distinct().limit(FEW_TERMS + 1).collect()]
     if len(few) <= FEW_TERMS:
         own = F.array(*map(F.lit, few)) if few else F.array().cast("array<string>")
@@ -65,7 +81,7 @@ def overlap_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
 def bm25_scores(chunks: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
     """BM25 over all chunks: query terms count as often as they occur; a negative idf becomes ``floor`` times the mean idf. Rows above 0."""
     wanted = query_terms(queries)
-    lengths = chunks.select(F.size(_terms(chunks)).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
+    lengths = chunks.select(_length(chunks).alias("dl")).agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl")).first()
     n, average = lengths.n, lengths.avgdl or 1.0
     idf = F.log(F.lit(float(n)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     hits = written(_hits(chunks, wanted), "hits")
@@ -90,11 +106,11 @@ def char_embedding(text: Column, size: int = 16) -> Column:
 
     @F.pandas_udf(ArrayType(DoubleType()))
     def counts(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            v = np.bincount(np.frombuffer((t or "").encode("utf-32-le"), "<u4") % size, minlength=size).astype(float)
-            out.append(v / (np.sqrt((v * v).sum()) or 1.0))
-        return pd.Series(out)
+        own = texts.fillna("").tolist()
+        rows = np.repeat(np.arange(len(own)), list(map(len, own)))
+        codes = np.frombuffer("".join(own).encode("utf-32-le"), "<u4") % size
+        v = np.bincount(rows * size + codes, minlength=len(own) * size).reshape(-1, size).astype(float)
+        return pd.Series(list(v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)))
 
     return counts(F.lower(text))
 
@@ -105,42 +121,59 @@ def similarity(a: Column, b: Column) -> Column:
     return 1 / (1 + F.greatest(squared, F.lit(0.0)))
 
 
-def dense_scores(chunks: DataFrame, queries: DataFrame) -> DataFrame:
-    """Similarity of every chunk with every query of a stated set."""
-    known = queries.select("query_id", char_embedding(F.col("query")).alias("v")).collect()
-    each = F.array(*[F.struct(F.lit(r.query_id).alias("query_id"), F.array(*map(F.lit, r.v)).alias("v")) for r in known])
-    rows = chunks.select("vector_id", char_embedding(F.col("text")).alias("e"), F.explode(each).alias("q"))
-    return rows.select("q.query_id", "vector_id", similarity(F.col("e"), F.col("q.v")).alias("score"))
+def dense_top(chunks: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """The k chunks most similar to each query, with score and rank; a task sends k rows a query and batch, not every pair."""
+    own = chunks.select("vector_id", _embedding(chunks).alias("embedding"))
+    asked = queries.select("query_id", char_embedding(F.col("query")).alias("embedding"))
+    return nearest(own, asked, k, key="vector_id", query_key="query_id").withColumn("score", F.round("score", 9))
+
+
+def _embedding(chunks: DataFrame) -> Column:
+    return F.col("embedding") if "embedding" in chunks.columns else char_embedding(F.col("text"))
+
+
+def cosine(a: Column, b: Column) -> Column:
+    """The cosine of two vectors of one length; 0 where either is all zeros."""
+
+    def dot(x: Column, y: Column) -> Column:
+        return F.aggregate(F.zip_with(x, y, lambda i, j: i * j), F.lit(0.0), lambda s, i: s + i)
+
+    lengths = F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))
+    return F.when(lengths > 0, dot(a, b) / lengths).otherwise(0.0)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """query_id, vec_id, score, rank: exact nearest vectors of each query vector (vec_id, embedding), by matrix products a block of queries at a time."""
+def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048, key: str = "vec_id", query_key: str = "vec_id", same: str | None = None) -> DataFrame:
+    """query_id, the vector's key, score, rank: exact nearest vectors (key, embedding) of each query vector (query_key, embedding), by matrix products a block of queries at a time; with ``same`` only those that agree in that column."""
     number = queries.count()
     blocks = max(1, -(-number // block))
+    types = f"query_id {queries.schema[query_key].dataType.simpleString()}, {key} {vectors.schema[key].dataType.simpleString()}, score double"
     out = None
     for i in range(blocks):
-        own = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == i).select("vec_id", "embedding").collect()  # about ``block`` vectors
-        ids, q = np.array([r.vec_id for r in own], np.int64), np.array([r.embedding for r in own], float)
+        own = queries.where(F.pmod(F.xxhash64(query_key), F.lit(blocks)) == i).select(query_key, "embedding", *([same] if same else [])).collect()  # about ``block`` vectors
+        ids, q = np.array([r[0] for r in own]), np.array([r.embedding for r in own], float)
+        marks = np.array([r[same] for r in own]) if same else None
 
-        def run(batches, ids=ids, q=q):
+        def run(batches, ids=ids, q=q, marks=marks):
             for batch in batches:
-                found = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+                found = []
                 for a in range(0, batch.num_rows, 4096):
                     part = batch.slice(a, 4096)
                     x = np.array(part.column("embedding").to_pylist(), float).reshape(part.num_rows, -1)
                     if len(q) and len(x):
                         d = np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T, 0)
+                        if same:
+                            d[marks[:, None] != part.column(same).to_numpy(zero_copy_only=False)[None, :]] = np.inf
                         m = min(k, len(x))
                         # keep ties at the edge: the window breaks them
                         edge = np.partition(d, m - 1, axis=1)[:, m - 1]
-                        row, col = np.nonzero(d <= edge[:, None] + 1e-9)
+                        row, col = np.nonzero((d <= edge[:, None] + 1e-9) & np.isfinite(d))
                         exact = ((q[row] - x[col]) ** 2).sum(1)
-                        found.append((ids[row], part.column("vec_id").to_numpy()[col], 1 / (1 + exact)))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], ["query_id", "vec_id", "score"])
+                        found.append(pa.RecordBatch.from_arrays([pa.array(ids[row]), part.column(key).take(pa.array(col)), pa.array(1 / (1 + exact))], ["query_id", key, "score"]))
+                yield from found
 
-        part = vectors.select("vec_id", "embedding").mapInArrow(run, "query_id long, vec_id long, score double")
+        part = vectors.select(key, "embedding", *([same] if same else [])).mapInArrow(run, types)
         out = part if out is None else out.union(part)
-    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "vec_id")
+    w = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), key)
     return out.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 

@@ -19,8 +19,7 @@ def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", limit:
     lists = []
     if mode in ("semantic", "hybrid"):
         allowed = chunks.where(predicate(chunks, filters))  # pushed into the scan
-        scores = R.dense_scores(allowed, asked).withColumn("score", F.round("score", 9))
-        lists.append(("semantic", R.top(scores, limit)))
+        lists.append(("semantic", R.dense_top(allowed, asked, limit)))
     if mode in ("keyword", "hybrid"):
         scores = R.bm25_scores(chunks, asked)
         lists.append(("keyword", R.top(R.filtered(scores, chunks, filters) if filters else scores, limit)))
@@ -33,11 +32,13 @@ def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", limit:
 
 
 def matches(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", filters: dict[str, Any] | None = None, config: Config = DEFAULTS) -> DataFrame:
-    """The reranked best chunks of each query with their text; score and rank are the reranker's."""
+    """The reranked best chunks of each query with their text and metadata (a struct of all columns of theirs that are no part of an index); score and rank are the reranker's."""
     found = retrieve(chunks, queries, mode, config.top_k, filters, config)
-    rows = found.join(chunks.select("vector_id", "text"), "vector_id").join(queries.select("query_id", "query"), "query_id")
+    marks = [c for c in chunks.columns if c not in ("vector_id", "text", "terms", "dl", "embedding")]
+    metadata = F.struct(*marks) if marks else F.lit(None).cast("struct<none:string>")
+    rows = found.join(chunks.select("vector_id", "text", metadata.alias("metadata")), "vector_id").join(queries.select("query_id", "query"), "query_id")
     best = R.reranked(rows, config.rerank_top_k)
-    return best.select("query_id", "vector_id", "text", "source", "scores", F.col("rerank_score").alias("score"), F.col("rerank_rank").alias("rank"))
+    return best.select("query_id", "vector_id", "text", "metadata", "source", "scores", F.col("rerank_score").alias("score"), F.col("rerank_rank").alias("rank"))
 
 
 def answer(chunks: DataFrame, queries: DataFrame, rewrite: bool = False, mode: str = "hybrid", filters: dict[str, Any] | None = None, config: Config = DEFAULTS) -> DataFrame:

@@ -39,8 +39,26 @@ def parsed_rewrites(replies: DataFrame, fallback: DataFrame) -> DataFrame:
 
 
 def parsed_answers(replies: DataFrame) -> DataFrame:
-    """query_id, answer, key_points (5 at most), related_questions (4 at most); a reply that isn't JSON is the answer itself."""
+    """query_id, answer, key_points (5 at most), related_questions (4 at most); a reply that isn't JSON is the answer itself, and no reply is none."""
     parsed = F.from_json("reply", "answer string, key_points array<string>, related_questions array<string>")
-    rows = replies.select("query_id", "reply", parsed.alias("p"))
+    rows = replies.where("trim(reply) <> ''").select("query_id", "reply", parsed.alias("p"))
     none = F.array().cast("array<string>")
     return rows.select("query_id", F.coalesce("p.answer", "reply").alias("answer"), F.slice(F.coalesce("p.key_points", none), 1, 5).alias("key_points"), F.slice(F.coalesce("p.related_questions", none), 1, 4).alias("related_questions"))
+
+
+def resilient_answers(replies: DataFrame, fallback: DataFrame, name: str = "model") -> DataFrame:
+    """Answers from replies, and the fallback's (query_id, answer) for queries without a usable one; ``generator`` names whose each is."""
+    none = F.array().cast("array<string>")
+    own = parsed_answers(replies).withColumn("generator", F.lit(name))
+    rest = fallback.join(own.select("query_id"), "query_id", "left_anti")
+    return own.unionByName(rest.select("query_id", "answer", none.alias("key_points"), none.alias("related_questions"), F.lit("extractive").alias("generator")))
+
+
+def by_route(routes: DataFrame, generators: dict[str, Generator], default: Generator) -> DataFrame:
+    """query_id, reply of each query's context (query_id, query, context, route), by the generator of its route or else the default."""
+    parts = [g(routes.where(F.col("route") == route)) for route, g in generators.items()]
+    parts.append(default(routes.where(~F.coalesce(F.col("route").isin(*generators), F.lit(False))) if generators else routes))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out

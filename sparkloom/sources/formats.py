@@ -177,13 +177,13 @@ def docx_text(content: bytes) -> str:
     return "\n\n".join(b for b in blocks if b)
 
 
-def archive_text(content: bytes, config: Config = DEFAULTS) -> tuple[str, int]:
-    """The readable members of an archive, in order of name and each under a heading, and their number."""
+def archive_text(content: bytes, config: Config = DEFAULTS) -> tuple[str, int, str | None]:
+    """The readable members of an archive, in order of name and each under a heading, their number, and what was left out."""
     try:
         archive = zipfile.ZipFile(io.BytesIO(content))
     except zipfile.BadZipFile as e:
         raise Unreadable(f"not an archive: {e}") from e
-    left, blocks, taken = config.archive_bytes, [], 0
+    left, blocks, taken, over = config.archive_bytes, [], 0, 0
     for info in sorted(archive.infolist(), key=lambda i: i.filename):
         parts = info.filename.split("/")
         suffix = suffix_of(info.filename)
@@ -194,7 +194,8 @@ def archive_text(content: bytes, config: Config = DEFAULTS) -> tuple[str, int]:
             raise Unreadable(f"more than {config.archive_bytes} bytes unpacked")
         taken += 1
         if taken > config.archive_members:
-            break
+            over += 1
+            continue
         try:
             text = READERS[suffix](archive.read(info))[0].strip()
         except (Unreadable, OSError, zipfile.BadZipFile, RuntimeError):
@@ -205,7 +206,7 @@ def archive_text(content: bytes, config: Config = DEFAULTS) -> tuple[str, int]:
             blocks.append(text if text.startswith("#") else f"# {name}\n\n{text}")
     if not blocks:
         raise Unreadable("no readable member")
-    return "\n\n".join(blocks), len(blocks)
+    return "\n\n".join(blocks), len(blocks), f"{over} members beyond {config.archive_members} left out" if over else None
 
 
 def suffix_of(path: str) -> str:
@@ -213,11 +214,11 @@ def suffix_of(path: str) -> str:
     return "." + name.rsplit(".", 1)[-1].lower() if "." in name.lstrip(".") else ""
 
 
-#: Suffix to reader: bytes to text and number of pages. A later entry for a suffix replaces the earlier.
-READERS: dict[str, Callable[[bytes], tuple[str, int]]] = {}
+#: Suffix to reader: bytes to text, number of pages and, if something was left out, a remark. A later entry for a suffix replaces the earlier.
+READERS: dict[str, Callable[[bytes], tuple]] = {}
 
 
-def register(suffixes: tuple[str, ...], reader: Callable[[bytes], tuple[str, int]]) -> None:
+def register(suffixes: tuple[str, ...], reader: Callable[[bytes], tuple]) -> None:
     READERS.update(dict.fromkeys(suffixes, reader))
 
 
@@ -245,23 +246,24 @@ def supported() -> list[str]:
 
 
 def extracted(files: DataFrame) -> DataFrame:
-    """path, file_type, text, page_count, error of binaryFile rows; text is null where there is an error."""
+    """path, modificationTime, length, file_type, text, page_count, error of binaryFile rows; a file without text has the reason in error, one that was read in part what is missing. Spark's source lists no file of no bytes."""
 
     def read(path: str, content: bytes) -> tuple:
         suffix = suffix_of(path)
         if suffix not in READERS:
-            return path, suffix, None, None, f"unsupported; supported are {', '.join(supported())}"
+            return suffix, None, None, f"unsupported; supported are {', '.join(supported())}"
         try:
-            return path, suffix, *READERS[suffix](content), None
+            return suffix, *(*READERS[suffix](content), None)[:3]
         except Unreadable as e:
-            return path, suffix, None, None, str(e)
+            return suffix, None, None, str(e)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [read(p, bytes(c)) for p, c in zip(batch["path"], batch["content"], strict=True)]
-            yield pd.DataFrame(rows, columns=["path", "file_type", "text", "page_count", "error"]).astype({"page_count": "Int32"})
+            rows = pd.DataFrame([read(p, bytes(c)) for p, c in zip(batch["path"], batch["content"], strict=True)], columns=["file_type", "text", "page_count", "error"], index=batch.index)
+            yield pd.concat([batch[["path", "modificationTime", "length"]], rows.astype({"page_count": "Int32"})], axis=1)
 
-    return files.select("path", "content").mapInPandas(run, "path string, file_type string, text string, page_count int, error string")
+    schema = "path string, modificationTime timestamp, length long, file_type string, text string, page_count int, error string"
+    return files.select("path", "modificationTime", "length", "content").mapInPandas(run, schema)
 
 
 # Where a text is cut, from the coarsest on.

@@ -13,7 +13,8 @@ def run(spark: SparkSession, source: str, target: str, checkpoint: str) -> None:
     """Takes all files of ``source`` that earlier runs have not taken and appends their chunks to ``target``.
 
     A document's id is the hash of its path; a batch is written under its number, so
-    one that is repeated after a failure replaces itself.
+    one that is repeated after a failure replaces itself. The stream knows files by their
+    paths: one that changes is taken again only under another name.
     """
 
     def append(batch: DataFrame, number: int) -> None:

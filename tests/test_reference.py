@@ -16,6 +16,7 @@ from sparkloom.operators import questions as Q
 from sparkloom.operators import relations as K
 from sparkloom.operators import resolve
 from sparkloom.operators import retrieval as R
+from sparkloom import ports
 from sparkloom.plans import ask
 from sparkloom.sources import formats, web
 from sparkloom.streaming import ingest
@@ -157,6 +158,38 @@ def test_store_listing_and_deletion(spark):
     left, counts = D.deleted(store, spark.createDataFrame([("a",), ("z",)], "document_id string"))
     assert left.count() == 2 and {tuple(r) for r in counts.collect()} == {("a", 2), ("z", 0)}
     assert D.upserted(store, store.limit(1)).count() == 4
+    assert D.emptied(store).columns == store.columns and D.emptied(store).count() == 0
+
+
+def test_an_updated_index_answers_like_a_new_one(spark, chunks):
+    index = R.indexed(chunks)
+    new = spark.createDataFrame([("d3_0", "Cats are payroll.", "d3"), ("d4_0", "Nothing else.", "d4")], "vector_id string, text string, document_id string")
+    changed = R.updated(index, new, spark.createDataFrame([("d1",)], "document_id string"))
+    again = R.indexed(chunks.where("document_id = 'd2'").union(new))
+    asked = spark.createDataFrame([(1, "payroll salary cats nothing")], "query_id long, query string")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(changed.select("vector_id", "terms")) == key(again.select("vector_id", "terms")) and key(R.bm25_scores(changed, asked)) == key(R.bm25_scores(again, asked))
+
+
+def test_cosine(spark):
+    rows = [([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])]
+    got = spark.createDataFrame(rows, "a array<double>, b array<double>").select(R.cosine(F.col("a"), F.col("b"))).collect()
+    assert [r[0] for r in got] == pytest.approx([0.5**0.5, 0.0])
+
+
+def test_generators_by_route(spark):
+    routes = spark.createDataFrame([(1, "q", "c", "direct"), (2, "q", "c", "online_llm"), (3, "q", "c", None)], "query_id long, query string, context string, route string")
+    named = lambda name: lambda df: df.select("query_id", F.lit(name).alias("reply"))
+    assert sorted(map(tuple, ports.by_route(routes, {"online_llm": named("model")}, named("plain")).collect())) == [(1, "plain"), (2, "model"), (3, "plain")]
+
+
+def test_an_archive_says_what_it_leaves_out():
+    data = archive([(f"{i}.txt", f"text {i}") for i in range(5)])
+    text, n, remark = formats.archive_text(data, Config(archive_members=3))
+    assert n == 3 and "2 members" in remark and "text 2" in text and "text 3" not in text
+    assert formats.archive_text(data)[2] is None
+    with pytest.raises(formats.Unreadable):
+        formats.archive_text(data, Config(archive_bytes=10))
 
 
 ENTITY = "document_id string, seq int, type string, canonical_name string, display_name string, confidence double"
@@ -179,7 +212,10 @@ def test_graph_from_contributions(spark):
     assert [x.canonical_name for x in G.isolated(nodes, edges).collect()] == ["atlas"]
     pruned = G.entities(G.without(e, spark.createDataFrame([("d2",)], "document_id string")))
     assert {x.canonical_name for x in pruned.collect()} == {"priya", "finance"}
-    assert {x.distance for x in G.neighbours(edges, nodes.where("canonical_name = 'priya'"), 1, 10).collect()} == {0, 1}
+    seen, followed = G.neighbours(edges, nodes.where("canonical_name = 'priya'"), 1, 10)
+    assert {x.distance for x in seen.collect()} == {0, 1} and [(x.hop, x.truncated) for x in followed.collect()] == [(1, False)]
+    assert [x.neighbor_name for x in G.detail(edges, nodes.where("canonical_name = 'priya'"), nodes).orderBy("rank").collect()] == ["Finance", "Finance"]
+    assert [G.bounded(x) for x in (None, 0, 7, 9999)] == [150, 1, 7, 500] and G.of_type(nodes, "nonsense").count() == 1
     assert G.evidence(r).count() == 3 and [x.canonical_name for x in G.search(nodes, "PRI", 5).collect()] == ["priya"]
     assert {tuple(x) for x in G.degrees(of, shown).select("degree").collect()} == {(1,)}
     assert {(x.measure, x.key): x.n for x in G.stats(nodes, edges, e).collect()}["relationships", "REPORTS_TO"] == 1
