@@ -1,17 +1,23 @@
-"""Operator 6: a Jaccard join on five-word shingles by a MinHash forest, then exact sets.
+"""Operator 6: a Jaccard join on five-word shingles by a MinHash LSH forest, then exact sets.
 
 Texts of the same words are one class; each class has a signature of ``TREES``
-labels of ``DEPTH`` minima. In a tree's trie of sorted labels two classes are
-candidates if they share a prefix. Prefixes start at full depth and are shortened
-until the forest finds a pair at the threshold with the probability ``recall``;
-after the exact check, the links found, each weighed by the chance of finding it,
-estimate the recall, and if that is short the prefixes are shortened again.
-
-Classes of one prefix are linked to its least class, a star and not all pairs, and
-the stars' components are checked exactly, all pairs of a component: small ones
-many in a task, large ones dealt into chunks, a task for each pair of chunks. A
-task sends for each class the documents it links to and a spanning link, so pairs
-never become rows. Components of the exact links are the groups.
+labels of ``DEPTH`` minima, and a tree is the trie of its sorted labels. Two classes
+are candidates if they share a prefix of their labels in some tree. Prefixes begin
+at full depth: a bounded sample of the trie's leaves (``PILOT`` of at most ``FEW``
+classes) is checked exactly, and each pair found there, weighed by the chance of
+finding it, says what recall each depth would have; the prefixes are shortened to
+the deepest that reaches ``recall``. Then all leaves of that depth are checked, the
+recall is measured in the same way on all links found, and while it is short the
+prefixes are shortened again.
+
+Leaves of the same classes, as near copies have them in many trees, are one. Classes
+of a leaf are linked to its least class, a star and not all pairs, and the stars'
+components are what is checked exactly, all pairs of one: small ones many in a task,
+large ones dealt into chunks, a task for each pair of chunks. A large component
+whose leaves have fewer pairs than it has itself (many texts that hang together
+by a few) is checked leaf by leaf instead, each pair in the first tree that joins
+it. A task sends for each class the documents it links to and a spanning link, so
+pairs never become rows. Components of the exact links are the groups.
 
 Defined cases: texts without words (null, empty, signs only) are classes of equal
 texts with no other links; repeated rows count as documents of their class; rows
@@ -38,6 +44,10 @@ TREES, DEPTH = 24, 6
 THRESHOLD, RECALL = 0.8, 0.9999
 #: Classes of a chunk, and of what small components a task checks at once.
 CHUNK, TOGETHER = 384, 2048
+#: Leaves of the sample that says how far to shorten prefixes, and the most classes of one.
+PILOT, FEW = 1024, 16
+MEMBER = "part string, size long, tree int, key binary, n long, signature binary"
+LINKS = "key binary, links long, low binary, pairs long, weights array<double>"
 _RNG = np.random.default_rng(5)
 _A = _RNG.integers(0, 2**31, (TREES * DEPTH, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
 _B = _RNG.integers(0, 2**32, (TREES * DEPTH, 1)).astype(np.uint32)
@@ -54,14 +64,14 @@ def signature(shingles: np.ndarray) -> bytes | None:
     return least.astype("<u4").tobytes()
 
 
-def chance(similarity: np.ndarray | float, depth: int) -> np.ndarray | float:
+def chance(similarity: np.ndarray | float, depth: int, trees: int = TREES) -> np.ndarray | float:
     """The probability that a pair shares a prefix of ``depth`` in some tree."""
-    return 1 - (1 - np.asarray(similarity) ** depth) ** TREES
+    return 1 - (1 - np.asarray(similarity) ** depth) ** trees
 
 
-def prefix_depth(threshold: float, recall: float) -> int:
-    """The deepest prefix with which a pair at the threshold is found with probability ``recall``."""
-    return next((d for d in range(DEPTH, 1, -1) if chance(threshold, d) >= recall), 1)
+def prefix_depth(weights: list[float], recall: float, most: int = DEPTH) -> int:
+    """The deepest prefix, ``most`` at most, that reaches the recall; ``weights[d]``: pairs that depth d would find, ``weights[0]``: all there are."""
+    return next((d for d in range(most, 1, -1) if weights[d] >= recall * weights[0]), 1)
 
 
 def _signed(docs: DataFrame) -> DataFrame:
@@ -79,7 +89,8 @@ def _signed(docs: DataFrame) -> DataFrame:
 
 
 def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """root, size, key, n, shingles of the member classes, from the text of each one's representative."""
+    """The member classes (columns MEMBER and rep), each with the shingles of its representative's text."""
+    names = [f.split()[0] for f in MEMBER.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -90,10 +101,10 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                         kept.append(i)
                         sets.append(shingles.tobytes())
                 kept = part.take(pa.array(kept, pa.int64()))
-                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in ("root", "size", "key", "n")), pa.array(sets, pa.binary())], ["root", "size", "key", "n", "shingles"])
+                yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
     joined = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
-    return joined.select("text", "root", "size", "key", "n").mapInArrow(run, "root binary, size long, key binary, n long, shingles binary")
+    return joined.select("text", *names).mapInArrow(run, MEMBER + ", shingles binary")
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -130,10 +141,20 @@ def _roots(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _check(rows: pd.DataFrame, threshold: float, depth: int) -> pd.DataFrame:
+def _first_shared(signatures: list[bytes], tree: int, depth: int) -> np.ndarray:
+    """Which two classes share a prefix in this tree and in none before it."""
+    labels = np.array([np.frombuffer(x, "<u4") for x in signatures]).reshape(-1, TREES, DEPTH)[:, :, :depth]
+    shared = np.ones((len(labels), len(labels)), bool)
+    for t in range(tree):
+        _, at = np.unique(np.ascontiguousarray(labels[:, t]).view(f"V{4 * depth}").ravel(), return_inverse=True)
+        shared &= at[:, None] != at[None, :]
+    return shared
+
+
+def _check(rows: pd.DataFrame, threshold: float, depth: int, trees: int) -> pd.DataFrame:
     """Exact links among the classes of one block: all of them, or only those between its two chunks."""
     out = []
-    for _, part in rows.groupby("root", sort=False):
+    for _, part in rows.groupby("part", sort=False):
         part = part.drop_duplicates("key").sort_values("key").reset_index(drop=True)
         if len(part) < 2:
             continue
@@ -145,50 +166,91 @@ def _check(rows: pd.DataFrame, threshold: float, depth: int) -> pd.DataFrame:
         if part["two"].iloc[0]:
             chunk = part["chunk"].to_numpy()
             linked &= chunk[:, None] != chunk[None, :]
+        if (tree := int(part["tree"].iloc[0])) >= 0:
+            linked &= _first_shared(list(part["signature"]), tree, depth)
         at = np.flatnonzero(linked.any(1))
         if len(at):
             n, keys = part["n"].to_numpy(), part["key"].to_numpy()
             found, root = linked[at], _roots(linked)
-            weight = np.where(found, 1 / chance(similarity[at], depth), 0).sum(1)
-            out.append(pd.DataFrame({"key": keys[at], "links": found @ n, "low": keys[root[at]], "pairs": found.sum(1), "expected": weight}))
-    names = ["key", "links", "low", "pairs", "expected"]
-    return pd.concat(out)[names] if out else pd.DataFrame({k: [] for k in names})
+            one = np.where(found, 1 / chance(similarity[at], depth, trees), 0)
+            weights = [one.sum(1), *((one * chance(similarity[at], d, trees)).sum(1) for d in range(1, DEPTH + 1))]
+            out.append(pd.DataFrame({"key": keys[at], "links": found @ n, "low": keys[root[at]], "pairs": found.sum(1), "weights": list(np.array(weights).T)}))
+    names = [f.split()[0] for f in LINKS.split(", ")]
+    return pd.concat(out)[names] if out else pd.DataFrame({k: pd.Series([], dtype=object) for k in names})
 
 
-def _links(docs: DataFrame, classes: DataFrame, depth: int, threshold: float) -> DataFrame:
-    """key, links (documents of linked classes), low (a linked class), pairs, expected; a row for each block of a class."""
-    tree = F.explode(F.sequence(F.lit(0), F.lit(TREES - 1)))
+def _leaves(classes: DataFrame, depth: int, trees: int) -> tuple[DataFrame, DataFrame]:
+    """The prefixes of every class (key, tree, prefix) and, of the prefixes that several share, one for each set of classes: tree, prefix, first, n."""
+    tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     labelled = classes.where("signature is not null").select("key", "signature", tree.alias("tree"))
     prefix = F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * depth})")
-    leaves = labelled.select("key", F.xxhash64("tree", prefix).alias("prefix"))
-    firsts = leaves.groupBy("prefix").agg(F.min("key").alias("first"), F.count("*").alias("n")).where("n > 1").select("prefix", "first")
-    stars = leaves.join(firsts, "prefix").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
+    leaves = labelled.select("key", "tree", F.xxhash64("tree", prefix).alias("prefix"))
+    several = leaves.groupBy("prefix").agg(F.min("key").alias("first"), F.count("*").alias("n"), F.min("tree").alias("tree"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("n > 1")
+    one = several.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "prefix", "first")).alias("leaf"))
+    return leaves, written(one.select("leaf.*", "n"), "leaves")
+
+
+def _totals(links: DataFrame) -> tuple[int, list[float]]:
+    """The pairs found, and the weights of ``prefix_depth``."""
+    sums = [F.coalesce(F.sum(F.col("weights")[d]), F.lit(0.0)) for d in range(DEPTH + 1)]
+    pairs, *weights = links.agg(F.coalesce(F.sum("pairs"), F.lit(0)), *sums).first()
+    return pairs, weights
+
+
+def _pilot(docs: DataFrame, classes: DataFrame, threshold: float, recall: float, trees: int) -> int:
+    """The depth to begin with, from exact checks of a bounded sample of small leaves at full depth."""
+    leaves, several = _leaves(classes, DEPTH, trees)
+    some = several.where(F.col("n") <= FEW).orderBy(F.xxhash64("prefix"), "prefix").limit(PILOT)
+    chosen = leaves.join(F.broadcast(some.select("prefix", F.col("n").alias("size"))), "prefix")  # at most PILOT x FEW classes
+    members = written(chosen.join(classes.select("key", "rep", "n", "signature"), "key").select("rep", F.col("prefix").cast("string").alias("part"), "size", "tree", "key", "n", "signature"), "pilot")
+    sets = _sets(docs, F.broadcast(members)).withColumn("two", F.lit(False)).withColumn("chunk", F.lit(0).cast("long"))
+    links = sets.groupBy(F.pmod(F.xxhash64("part"), F.lit(16))).applyInPandas(lambda rows: _check(rows, threshold, DEPTH, trees), LINKS)
+    _, weights = _totals(links)
+    return prefix_depth(weights if weights[0] else [1.0, *(chance(threshold, d, trees) for d in range(1, DEPTH + 1))], recall)
+
+
+def _links(docs: DataFrame, classes: DataFrame, depth: int, threshold: float, trees: int) -> DataFrame:
+    """The table LINKS: key, links (documents of linked classes), low (a linked class), pairs, weights; a row for each block of a class."""
+    leaves, several = _leaves(classes, depth, trees)
+    stars = leaves.join(several.select("prefix", "first"), "prefix").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     found = written(components(stars), "candidates")
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
-    members = found.join(sizes, "root").withColumnRenamed("node", "key").join(classes.select("key", "rep", "n"), "key")
-    sets = _sets(docs, members)
+    large = written(sizes.where(F.col("size") > CHUNK), "large")
+    whole = found.join(sizes, "root").select(F.col("node").alias("key"), F.hex("root").alias("part"), "size", F.lit(-1).alias("tree"), "root")
+    own = classes.select("key", "rep", "n")
+    members = whole.join(own, "key").withColumn("signature", F.lit(None).cast("binary"))
+    if not large.isEmpty():
+        of_leaf = several.join(found.select(F.col("node").alias("first"), "root"), "first")
+        fewer = of_leaf.join(large, "root").groupBy("root", "size").agg(F.sum(F.col("n") * (F.col("n") - 1.0)).alias("pairs")).where(F.col("pairs") < F.col("size") * (F.col("size") - 1.0))
+        fewer = written(fewer.select("root"), "sparse")
+        by_leaf = leaves.join(of_leaf.join(fewer, "root", "left_semi").select("prefix", "root", F.col("n").alias("size")), "prefix")
+        by_leaf = by_leaf.select("key", F.col("prefix").cast("string").alias("part"), "size", "tree", "root").join(classes.select("key", "rep", "n", "signature"), "key")
+        members = members.join(fewer, "root", "left_anti").unionByName(by_leaf)
+    sets = _sets(docs, members.drop("root"))
     chunks = F.ceil(F.col("size") / CHUNK)
     groups = max(1, -(-found.count() // TOGETHER))
     chunked = sets.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")))
-    small = chunked.where("chunks = 1").withColumn("block", F.pmod(F.xxhash64("root"), F.lit(groups)).cast("string")).withColumn("two", F.lit(False))
+    small = chunked.where("chunks = 1").withColumn("block", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("string")).withColumn("two", F.lit(False))
     other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    large = chunked.where("chunks > 1").withColumn("other", other).withColumn("block", F.concat_ws("-", F.hex("root"), F.least("chunk", "other"), F.greatest("chunk", "other"))).withColumn("two", F.col("chunk") != F.col("other"))
-    columns = ["block", "two", "root", "chunk", "key", "n", "shingles"]
-    blocks = written(small.select(columns).union(large.select(columns)), "blocks")
-    return blocks.groupBy("block").applyInPandas(lambda rows: _check(rows, threshold, depth), "key binary, links long, low binary, pairs long, expected double")
+    blocks = chunked.where("chunks > 1").withColumn("other", other).withColumn("block", F.concat_ws("-", "part", F.least("chunk", "other"), F.greatest("chunk", "other"))).withColumn("two", F.col("chunk") != F.col("other"))
+    columns = ["block", "two", "part", "tree", "chunk", "key", "n", "signature", "shingles"]
+    blocks = written(small.select(columns).union(blocks.select(columns)), "blocks")
+    return blocks.groupBy("block").applyInPandas(lambda rows: _check(rows, threshold, depth, trees), LINKS)
 
 
-def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """doc_id, class_id (least doc_id of its group), copy_id (least doc_id of its class), n_links (documents at the threshold or above) for every document."""
+def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float = RECALL, trees: int = TREES) -> DataFrame:
+    """doc_id, class_id (least doc_id of its group), copy_id (least doc_id of its class), n_links (documents at the threshold or above) for every document; at most TREES trees."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     numbered = texts.where("doc_id is not null")
     signed = written(_signed(numbered), "signatures")
     classes = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("signature").alias("signature")), "classes")
-    for depth in range(prefix_depth(threshold, recall), 0, -1):
-        links = written(_links(numbered, classes, depth, threshold), "links")
-        pairs, expected = links.agg(F.coalesce(F.sum("pairs"), F.lit(0)), F.coalesce(F.sum("expected"), F.lit(0.0))).first()
-        if pairs >= recall * expected:
+    depth = _pilot(numbered, classes, threshold, recall, trees)
+    while True:
+        links = written(_links(numbered, classes, depth, threshold, trees), "links")
+        pairs, weights = _totals(links)
+        if depth == 1 or pairs >= recall * weights[0]:
             break
+        depth = prefix_depth(weights, recall, depth - 1)
     groups = components(links.select(F.col("key").alias("a"), F.col("low").alias("b")))
     least = groups.join(classes.select(F.col("key").alias("node"), "rep"), "node").groupBy("root").agg(F.min("rep").alias("class_id"))
     of_class = groups.join(least, "root").select(F.col("node").alias("key"), "class_id")

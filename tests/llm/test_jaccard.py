@@ -77,8 +77,53 @@ def test_empty_table(spark):
     assert run(spark, []) == []
 
 
-def test_prefixes_are_shortened_to_the_recall():
-    assert jaccard.prefix_depth(0.8, 0.9999) == 5 and jaccard.prefix_depth(0.8, 0.99) == 6 and jaccard.prefix_depth(0.1, 0.99999999) == 1
+def pairs_at(similarity, number, seed):
+    """Pairs of texts of 100 words that share about so many of their shingles."""
+    rng, rows = random.Random(seed), []
+    for i in range(number):
+        words = [f"{rng.randrange(10**6)}" for _ in range(100)]
+        other = list(words)
+        last = round(96 * (1 - similarity) / (1 + similarity))
+        other[-last:] = [f"{rng.randrange(10**6)}" for _ in range(last)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+    return rows
+
+
+def test_prefixes_are_shortened_until_the_recall_is_reached(spark, monkeypatch):
+    depths = []
+    links = jaccard._links
+    monkeypatch.setattr(jaccard, "_links", lambda docs, classes, depth, *rest: depths.append(depth) or links(docs, classes, depth, *rest))
+    rows = pairs_at(0.84, 150, 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    true = sum(n > 0 for _, _, n in brute(rows))
+
+    def found(threshold, recall):
+        depths.clear()
+        return sum(r.n_links > 0 for r in jaccard.jaccard_join(docs, threshold, recall, trees=4).collect())  # few trees, so that the full depth misses pairs
+
+    assert true >= 290 and found(0.8, 0.5) < true and depths == [6]
+    assert found(0.8, 0.99) >= 0.98 * true and depths[-1] < 6
+    monkeypatch.setattr(jaccard, "FEW", 1)  # with no sample to go by, the threshold says where to begin
+    assert found(0.8, 0.99) >= 0.98 * true and depths[0] == next(d for d in (6, 5, 4, 3, 2, 1) if d == 1 or jaccard.chance(0.8, d, 4) >= 0.99)
+    same = spark.createDataFrame(pairs_at(0.97, 60, 2), "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "FEW", 16)
+    depths.clear()
+    assert sum(r.n_links > 0 for r in jaccard.jaccard_join(same, 0.8, 0.99, trees=4).collect()) == 120 and depths == [6]
+
+
+def test_a_large_sparse_component_is_checked_leaf_by_leaf(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "CHUNK", 8)
+    rng = random.Random(4)
+    words, rows = [f"{rng.randrange(10**6)}" for _ in range(400)], []
+    for i in range(60):  # a chain: each text is like its neighbours only
+        rows.append((i, " ".join(words[4 * i : 4 * i + 100])))
+    tables, written = {}, jaccard.written
+    monkeypatch.setattr(jaccard, "written", lambda df, tag: tables.setdefault(tag, written(df, tag)) if tag == "sparse" else written(df, tag))
+    assert run(spark, rows) == brute(rows)
+    assert tables["sparse"].count() == 1
+
+
+def test_signatures_estimate_similarity():
     a, b = np.arange(1, 101, dtype=np.uint64) << np.uint64(40), np.arange(11, 111, dtype=np.uint64) << np.uint64(40)
     x, y = (np.frombuffer(jaccard.signature(s), "<u4") for s in (a, b))
     assert abs((x == y).mean() - 90 / 110) < 0.15
