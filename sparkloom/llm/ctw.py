@@ -21,8 +21,9 @@ and a gram or word goes to its part once a block, however often it occurs.
 
 Defined cases: a null text is empty (its end token is scored, its model score is 0);
 repeated rows get equal scores; a null doc_id is trained on (it has no fold) and kept;
-an empty table gives no rows; a text longer than a block is a block of its own, walked
-in pieces; further columns are ignored. Without training data every decision has
+an empty table gives no rows; a text longer than a block is walked in pieces; rows that
+repeat a doc_id and a text, or a text without a doc_id, share a block; further columns
+are ignored. Without training data every decision has
 probability one half.
 """
 
@@ -101,7 +102,7 @@ def _counted(data: np.ndarray, bounds: np.ndarray, train: np.ndarray) -> tuple[n
         found.append(both[starts] >> 1)
         times.append(np.add.reduceat(both & 1, starts))
         held += len(starts)
-        if held > 4 * PIECE:
+        if held > 2 * PIECE:
             one, n = summed(np.concatenate(found), np.concatenate(times))
             found, times, held = [one], [n], 0
     return summed(np.concatenate(found), np.concatenate(times))
@@ -146,16 +147,16 @@ def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
 
 def _entries(block: pa.Table, parts: int) -> pa.Table:
     """ENTRIES of a block: gram parts count from 0, word parts from ``parts``."""
-    number, train = block.column("block")[0].as_py(), block.column("train").to_numpy().astype(np.int64)
+    number, train = block.column("block")[0].as_py(), block.column("train").to_numpy().astype(np.uint8)
     data, bounds = _texts(block.column("text").combine_chunks())
     rows = []
     g, n = _counted(data, bounds, train)
     for part, at in _dealt(_part_of_grams(g, parts)):
-        rows.append((part, number, np.diff(g[at], prepend=0).tobytes(), None, n[at].tobytes()))
+        rows.append((part, number, np.diff(g[at], prepend=0).tobytes(), None, n[at].astype(np.uint32).tobytes()))
     words, place, own = _words(data, bounds)
     n = np.bincount(place[np.repeat(train, np.diff(own)).astype(bool)], minlength=len(words))
     for part, at in _dealt(_part_of_words(words, parts)):
-        rows.append((parts + part, number, None, words.take(pa.array(at)), n[at].astype(np.int64).tobytes()))
+        rows.append((parts + part, number, None, words.take(pa.array(at)), n[at].astype(np.uint32).tobytes()))
     types = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.binary())
     columns = list(zip(*rows, strict=True)) if rows else [()] * 5
     columns[3:4] = [_lists(columns[3])] if rows else [()]
@@ -241,8 +242,8 @@ def _levels(g: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]
 def _merged(entries: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
     """Of a part: its blocks, the grams of each, and all different ones with their counts."""
     own = [np.cumsum(np.frombuffer(x.as_py(), np.int64)) for x in entries.column("grams")]
-    n = [np.frombuffer(x.as_py(), np.int64) for x in entries.column("n")]
-    return entries.column("block").to_pylist(), own, *summed(np.concatenate(own), np.concatenate(n))
+    n = [np.frombuffer(x.as_py(), np.uint32) for x in entries.column("n")]
+    return entries.column("block").to_pylist(), own, *summed(np.concatenate(own), np.concatenate(n).astype(np.int64))
 
 
 TOPS = "key int, zeros long, ones long, children double"
@@ -302,7 +303,7 @@ def _word_counts(entries: pa.Table) -> pa.Table:
     lists = entries.column("words").combine_chunks()
     coded = lists.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    n = np.concatenate([np.frombuffer(x.as_py(), np.int64) for x in entries.column("n")])
+    n = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in entries.column("n")])
     total = np.bincount(codes, n, len(coded.dictionary)).astype(np.int64)
     ends = np.cumsum(pc.list_value_length(lists).to_numpy())
     counts = [x.tobytes() for x in np.split(total[codes], ends[:-1])]
@@ -322,7 +323,7 @@ def _score(block: pa.Table, values: pa.Table, parts: int, ends: int, trained: in
     """Sums over each text of a block of what its grams and words are worth."""
     data, bounds = _texts(block.column("text").combine_chunks()) if block.num_rows else _texts(pa.array([], pa.string()))
     sent = {p: (w.as_py(), n.as_py()) for p, w, n in zip(values.column("part").to_pylist(), values.column("worth"), values.column("n"), strict=True)}
-    different_grams, _ = _counted(data, bounds, np.zeros(len(bounds) - 1, np.int64))
+    different_grams, _ = _counted(data, bounds, np.zeros(len(bounds) - 1, np.uint8))
     worth = np.zeros(len(different_grams))
     for part, at in _dealt(_part_of_grams(different_grams, parts)):
         worth[at] = np.frombuffer(sent[part][0], np.float32)
