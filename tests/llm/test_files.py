@@ -157,6 +157,13 @@ def test_texts_as_media(docs):
     want = sorted((d if d is not None else -1, hashlib.sha256(p := (t or "").encode().ljust(max(64, -(-len((t or "").encode()) // 64) * 64), b"\0")).hexdigest(), zlib.crc32(p[-64:]), len((t or "").encode()), len(p)) for d, t in TEXTS)
     assert sorted((r.doc_id if r.doc_id is not None else -1, r.payload_sha256, r.tail_crc32, r.n_bytes, r.payload_bytes) for r in rows) == want
     assert all(r.position == 1 and r.caption.startswith(f"{r.n_bytes} bytes") and r.ref == f"sha256:{r.media_sha256}" for r in rows)
+    for r in rows:  # the whole sequence, in order
+        assert [e.position for e in r.elements] == list(range(len(r.elements))) and [e.kind for e in r.elements if e.kind == "media"] == ["media"] * 2
+        assert r.elements[0].text == f"Document {r.doc_id}" and r.elements[-1].text == f"End of Document {r.doc_id}"
+        assert [(e.ref[:5], e.caption, e.resolved) for e in r.elements if e.kind == "media"] == [("sha25", r.caption, True), ("page:", "another place", False)]
+    shown = {r.doc_id: r.elements[2].text for r in rows}
+    assert shown[1] == TEXTS[0][1] and shown[2] == "Seen at" and shown[5] == "word " * 15 + "word"
+    assert media.documents_as_media(docs.limit(0)).collect() == []
 
 
 PAGES = [(i, f"http://x/{i}", h) for i, h in enumerate(["<p>a</p>", "<p>b</p>", "<p>a</p>", None, "", "<p>a</p>", "WARC/1.1\r\nWARC-Type: response\r\n\r\nfake", "é" * 50_000])]
