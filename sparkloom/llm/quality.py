@@ -10,7 +10,9 @@ vote with their similarity to the power ``SHARPNESS``.
 
 Defined cases: a text with no terms is like nothing, so it gets the mean label, as
 every text does where no label is known (then 0.5); repeated rows get a score
-each; a null doc_id is never learnt from; further columns are ignored.
+each; of labelled texts at equal distance those with the least doc_id vote; a null
+doc_id is never learnt from; a long text's terms are counted in pieces; an empty table
+gives no rows; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ from sparkloom.storage import written
 
 SHAPE_WEIGHT, SHARPNESS, PRIOR_WEIGHT = 2.0, 4, 1e-3
 ROWS = 256
+#: Decimals that cosines count with, so that equal texts tie whatever batch they are in.
+DIGITS = 5
 
 
 def _counts(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -46,9 +50,14 @@ def vote(vectors: np.ndarray, known: np.ndarray, labels: np.ndarray, neighbours:
     """Scores of rows of length one (or zero) by the labels of their nearest known rows."""
     if not len(known):
         return np.full(len(vectors), 0.5)
-    cosine = vectors @ known.T
+    cosine = np.round(vectors @ known.T, DIGITS)
     k = min(neighbours, len(known))
-    nearest = np.argpartition(-cosine, k - 1, axis=1)[:, :k]
+    edge = -np.partition(-cosine, k - 1, axis=1)[:, k - 1 : k]
+    chosen = cosine >= edge
+    for row in np.flatnonzero(chosen.sum(1) > k):  # of equal cosines at the edge the first known rows vote
+        ties = np.flatnonzero(cosine[row] == edge[row])
+        chosen[row, ties[k - np.count_nonzero(cosine[row] > edge[row]) :]] = False
+    nearest = np.nonzero(chosen)[1].reshape(-1, k)
     weight = np.clip(np.take_along_axis(cosine, nearest, 1), 0, 1).astype(float) ** SHARPNESS
     return ((weight * labels[nearest]).sum(1) + PRIOR_WEIGHT * labels.mean()) / (weight.sum(1) + PRIOR_WEIGHT)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -18,6 +20,8 @@ _KIND[ord("a") : ord("z") + 1] = 1
 _KIND[ord("A") : ord("Z") + 1] = 2
 _KIND[ord("0") : ord("9") + 1] = 4
 _KIND[128:] = 16
+#: Bytes of a text whose terms are in memory at once.
+PIECE = 1 << 20
 _PLACES = np.random.default_rng(20).integers(1, 2**63, 4096).astype(np.uint64)
 
 
@@ -60,11 +64,27 @@ def shape_pairs(data: np.ndarray) -> np.ndarray:
 
 
 def term_counts(texts: pa.Array) -> np.ndarray:
-    """Counts by text and term; a short slice at a time, as it is dense."""
+    """Counts by text and term; a short slice at a time, as it is dense, and a long text in pieces."""
     data, bounds = text_bytes(texts)
     out = np.zeros((len(texts), TERMS), np.float32)
     for i, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)):
-        if b - a >= 3:
-            out[i, :TRIGRAMS] = np.bincount(trigrams(data[a:b]), minlength=TRIGRAMS)
-        out[i, TRIGRAMS:] = np.bincount(shape_pairs(data[a:b]) - TRIGRAMS, minlength=SHAPES)
+        for c in range(a, b - 2, PIECE):
+            out[i, :TRIGRAMS] += np.bincount(trigrams(data[c : min(c + PIECE + 2, b)]), minlength=TRIGRAMS)
+        for c, d in _word_pieces(data, a, b):
+            out[i, TRIGRAMS:] += np.bincount(shape_pairs(data[c:d]) - TRIGRAMS, minlength=SHAPES)
     return out
+
+
+def _word_pieces(data: np.ndarray, a: int, b: int) -> Iterator[tuple[int, int]]:
+    """Ranges of about PIECE bytes of a text (more where two words are longer) that end behind a word, each beginning with the last word of the one before."""
+    size = PIECE
+    while a + size < b:
+        inside = _KIND[data[a : a + size + 1]] > 0
+        ends = np.flatnonzero(inside[:-1] & ~inside[1:]) + 1
+        starts = np.flatnonzero(inside[1:] & ~inside[:-1]) + 1
+        if len(ends) > 1 and len(starts := starts[starts < ends[-1]]) and starts[-1] > 0:
+            yield a, a + int(ends[-1])
+            a, size = a + int(starts[-1]), PIECE
+        else:
+            size *= 2
+    yield a, b
