@@ -52,7 +52,7 @@ def window_chunks_of(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def index_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The index of all chunks, built by the first query that needs it."""
-    return storage.kept("index-2", [table(spark, sf_dir, "documents")], lambda: R.index_rows(window_chunks_of(spark, sf_dir).select("vector_id", "text", "lang", "source")))
+    return storage.kept(spark, "index-2", [f"{sf_dir}/documents.parquet"], lambda: R.index_rows(window_chunks_of(spark, sf_dir).select("vector_id", "text", "lang", "source")))
 
 
 # SQL parts. Cleaning; whole-document windows of 600 characters every 525; search terms.
@@ -210,6 +210,18 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(R.top(R.bm25_scores(index_of(spark, sf_dir), stated(spark)), 20))
 
 
+_REWRITTEN = f"""q0 AS (SELECT * FROM (VALUES {', '.join(f"({i}, '{x}')" for i, x in STATED)}) AS v(query_id, query)),
+q1 AS (SELECT query_id, query, array_to_string(list_filter(regexp_extract_all(lower(query), '[\\p{{L}}\\p{{N}}_]+'), lambda w: NOT list_contains([{', '.join(repr(w) for w in Q.FILLER_TERMS)}], w)), ' ') AS kept FROM q0),
+q AS (SELECT query_id, 'What do the indexed documents say about ' || CASE WHEN length(kept) > 0 THEN kept ELSE query END || '?' AS query FROM q1)"""
+
+
+@query(f"WITH {_CHUNKS}, {_REWRITTEN}, {_QT}, {_HITS}, {_BM25} SELECT {_SHOWN} FROM ({_sql_top(20)})")
+def rewritten_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Retrieval with the first variant of each question."""
+    first = Q.rewritten(stated(spark)).where("variant_no = 0").select("query_id", F.col("rewrite").alias("query"))
+    return _shown(ask.retrieve(index_of(spark, sf_dir), first, mode="keyword", limit=20))
+
+
 @query(f"WITH {_CHUNKS}, {_STATED}, {_QT}, {_HITS}, {_BM25}, fs AS (SELECT * FROM sc WHERE vector_id IN (SELECT vector_id FROM c WHERE lang IN ('en', 'fr'))) SELECT {_SHOWN} FROM ({_sql_top(20, 'fs')})")
 def bm25_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = index_of(spark, sf_dir)
@@ -401,6 +413,20 @@ def indexed_documents_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.listing(chunks).select("document_id", "display_name", "indexed_at", "chunk_count", place.cast("long").alias("place"))
 
 
+@query("SELECT vec_id, vec_id % 3 = 0 AS is_new FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0 UNION ALL SELECT -1, true")
+def vector_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of the even vectors after every third, and one more, were put in."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id")
+    new = rows.where("vec_id % 3 = 0").union(spark.range(1).selectExpr("-1L")).withColumn("is_new", F.lit(True))
+    return D.upserted(rows.where("vec_id % 2 = 0").withColumn("is_new", F.lit(False)), new, "vec_id")
+
+
+@query("SELECT 'before' AS state, count(*) AS n FROM embeddings UNION ALL SELECT 'after', 0")
+def store_reset(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = table(spark, sf_dir, "embeddings")
+    return store.agg(F.count("*").alias("n")).select(F.lit("before").alias("state"), "n").union(D.emptied(store).agg(F.count("*").alias("n")).select(F.lit("after"), "n"))
+
+
 @query("WITH a AS (SELECT * FROM (VALUES (1), (3), (7), (-5), (-5)) AS v(doc_id)) SELECT DISTINCT a.doc_id AS document_id, d.doc_id IS NOT NULL AS known, d.lang FROM a LEFT JOIN documents d ON a.doc_id = d.doc_id")
 def document_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     store = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("document_id"), "lang")
@@ -480,16 +506,21 @@ _STAR = ("customer", "supplier", "nation", "region", "part", "orders", "lineitem
 
 def graph_logs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The contribution logs of entities and relations, written once."""
-    tables = [table(spark, sf_dir, t) for t in _STAR]
-    relations = storage.kept("relation-log-2", tables, lambda: star.relation_contributions(*(storage.spread(t) if n == "lineitem" else t for n, t in zip(_STAR, tables, strict=True))))
+
+    def build() -> DataFrame:
+        tables = [table(spark, sf_dir, t) for t in _STAR]
+        return star.relation_contributions(*tables[:-1], storage.spread(tables[-1]))
+
+    relations = storage.kept(spark, "relation-log-2", [f"{sf_dir}/{t}.parquet" for t in _STAR], build)
     return star.entity_contributions(relations), relations
 
 
 def graph_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Entities and relationships, written once from the logs, and the two logs."""
     own, relations = graph_logs(spark, sf_dir)
-    nodes = storage.kept("entities-2", [relations], lambda: G.entities(own))
-    return nodes, storage.kept("relationships-2", [relations], lambda: G.relationships(relations)), own, relations
+    paths = [f"{sf_dir}/{t}.parquet" for t in _STAR]
+    nodes = storage.kept(spark, "entities-2", paths, lambda: G.entities(own))
+    return nodes, storage.kept(spark, "relationships-2", paths, lambda: G.relationships(relations)), own, relations
 
 
 _EDGE = ("id", "source_id", "target_id", "type", "polarity", "confidence", "evidence_count")

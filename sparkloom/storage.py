@@ -6,14 +6,12 @@ executor then costs a re-read, never a recomputation from the source.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -52,19 +50,20 @@ def written(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def content_key(*tables: DataFrame) -> str:
-    """A name of what file tables hold: their files' paths, sizes and times of change, by a job that reads no column."""
+def content_key(spark: SparkSession, paths: list[str]) -> str:
+    """A name of what tables of files hold: their paths, times of change, sizes and numbers of files, as the file system tells them."""
     facts = []
-    for table in tables:
-        of_file = F.xxhash64("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").cast("decimal(28,0)")
-        facts.append(str(tuple(table.select(of_file.alias("h")).agg(F.count("*"), F.sum("h"), F.min("h"), F.max("h")).first())))
+    for name in paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(name)
+        files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        status, whole = files.getFileStatus(path), files.getContentSummary(path)
+        facts.append(f"{status.getPath()} {status.getModificationTime()} {whole.getLength()} {whole.getFileCount()}")
     return hashlib.sha1("|".join(facts).encode()).hexdigest()
 
 
-def kept(tag: str, inputs: list[DataFrame], build: Callable[[], DataFrame]) -> DataFrame:
-    """What ``build`` makes of file tables, written once for as long as their files stay the same; ``tag`` names the making and its version."""
-    spark = inputs[0].sparkSession
-    final = f"{shared_root(spark)}/sparkloom/kept-{tag}-{content_key(*inputs)}"
+def kept(spark: SparkSession, tag: str, paths: list[str], build: Callable[[], DataFrame]) -> DataFrame:
+    """What ``build`` makes of the tables at ``paths``, written once for as long as these stay the same; ``tag`` names the making and its version."""
+    final = f"{shared_root(spark)}/sparkloom/kept-{tag}-{content_key(spark, paths)}"
     path = spark._jvm.org.apache.hadoop.fs.Path(final)
     files = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not files.exists(path):
@@ -80,9 +79,3 @@ def spread(df: DataFrame) -> DataFrame:
     """The table over at least as many tasks as the session has cores; a small one is dealt anew, a large one stays as it is read."""
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner delete what finished jobs shuffled: it does so when the driver's collector finds their plans unused."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

@@ -49,7 +49,7 @@ def test_kept_tables_are_built_once_for_their_files(spark, tmp_path):
             built.append(1)
             return rows.selectExpr("id + 1 AS id")
 
-        return sorted(r.id for r in storage.kept("plus", [rows], build).collect())
+        return sorted(r.id for r in storage.kept(spark, "plus", [source], build).collect())
 
     assert make() == make() == [1, 2, 3] and len(built) == 1
     spark.range(5).write.mode("overwrite").parquet(source)
