@@ -13,8 +13,8 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 
     A round gives each node's greater neighbours its least one, then each node's
     lesser neighbours theirs; edges only ever shrink towards stars, in a number of
-    rounds that grows with the logarithm of the nodes. Each round is written, and
-    only its row count and checksum come to the driver.
+    rounds that grows with the logarithm of the nodes. Each round is written, and so are the least
+    neighbours, as Spark splits a hub's edges only in a join of plain tables; only its row count and checksum come to the driver.
     """
     pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     pairs, before = written(pairs, "edges"), None
@@ -24,9 +24,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
             break
         before = now
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = written(large, "large")
+        least = written(large.groupBy("a").agg(F.min("b").alias("m")), "least")
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         pairs = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
     else:
