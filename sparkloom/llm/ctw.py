@@ -44,7 +44,7 @@ from sparkloom.llm.tokenize import cut
 from sparkloom.storage import written
 
 #: Bytes of context, and how many of them name a part.
-DEPTH, NAMED = 6, 2
+DEPTH, NAMED = 5, 2
 BLOCK_BYTES = 1 << 24
 #: Bytes of text of which a part holds the grams and words, or less if they repeat.
 PART_BYTES = 1 << 23
@@ -145,6 +145,17 @@ def _dealt(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(part[order[a]]), places
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """The numbers' first bytes, then their second ones, and so on: what Spark compresses well, as most are small."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def _numbers(data: bytes, kind: type) -> np.ndarray:
+    """What ``_planes`` was made of."""
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def _entries(block: pa.Table, parts: int) -> pa.Table:
     """ENTRIES of a block: gram parts count from 0, word parts from ``parts``."""
     number, train = block.column("block")[0].as_py(), block.column("train").to_numpy().astype(np.uint8)
@@ -152,11 +163,11 @@ def _entries(block: pa.Table, parts: int) -> pa.Table:
     rows = []
     g, n = _counted(data, bounds, train)
     for part, at in _dealt(_part_of_grams(g, parts)):
-        rows.append((part, number, np.diff(g[at], prepend=0).tobytes(), None, n[at].astype(np.uint32).tobytes()))
+        rows.append((part, number, _planes(np.diff(g[at], prepend=0)), None, _planes(n[at].astype(np.uint32))))
     words, place, own = _words(data, bounds)
     n = np.bincount(place[np.repeat(train, np.diff(own)).astype(bool)], minlength=len(words))
     for part, at in _dealt(_part_of_words(words, parts)):
-        rows.append((parts + part, number, None, words.take(pa.array(at)), n[at].astype(np.uint32).tobytes()))
+        rows.append((parts + part, number, None, words.take(pa.array(at)), _planes(n[at].astype(np.uint32))))
     types = (pa.int32(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.binary())
     columns = list(zip(*rows, strict=True)) if rows else [()] * 5
     columns[3:4] = [_lists(columns[3])] if rows else [()]
@@ -241,8 +252,8 @@ def _levels(g: np.ndarray, n: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]
 
 def _merged(entries: pa.Table) -> tuple[list[int], list[np.ndarray], np.ndarray, np.ndarray]:
     """Of a part: its blocks, the grams of each, and all different ones with their counts."""
-    own = [np.cumsum(np.frombuffer(x.as_py(), np.int64)) for x in entries.column("grams")]
-    n = [np.frombuffer(x.as_py(), np.uint32) for x in entries.column("n")]
+    own = [np.cumsum(_numbers(x.as_py(), np.int64)) for x in entries.column("grams")]
+    n = [_numbers(x.as_py(), np.uint32) for x in entries.column("n")]
     return entries.column("block").to_pylist(), own, *summed(np.concatenate(own), np.concatenate(n).astype(np.int64))
 
 
@@ -294,7 +305,7 @@ def _worth(entries: pa.Table, above: np.ndarray, left: np.ndarray) -> pa.Table:
         at = np.searchsorted(nodes[0].keys, _nodes(g, bit))
         logp += np.log10(np.where(g >> 7 - bit & 1, one[at], 1 - one[at]))
     part = entries.column("part")[0].as_py()
-    worth = [logp[np.searchsorted(g, x)].astype(np.float32).tobytes() for x in own]
+    worth = [_planes(logp[np.searchsorted(g, x)].astype(np.float32)) for x in own]
     return _values(blocks, part, worth, [None] * len(blocks))
 
 
@@ -303,10 +314,10 @@ def _word_counts(entries: pa.Table) -> pa.Table:
     lists = entries.column("words").combine_chunks()
     coded = lists.flatten().dictionary_encode()
     codes = coded.indices.to_numpy(zero_copy_only=False)
-    n = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in entries.column("n")])
+    n = np.concatenate([_numbers(x.as_py(), np.uint32) for x in entries.column("n")])
     total = np.bincount(codes, n, len(coded.dictionary)).astype(np.int64)
     ends = np.cumsum(pc.list_value_length(lists).to_numpy())
-    counts = [x.tobytes() for x in np.split(total[codes], ends[:-1])]
+    counts = [_planes(x) for x in np.split(total[codes], ends[:-1])]
     return _values(entries.column("block").to_pylist(), entries.column("part")[0].as_py(), [None] * len(counts), counts, (int(total.sum()), int(np.count_nonzero(total))))
 
 
@@ -326,7 +337,7 @@ def _score(block: pa.Table, values: pa.Table, parts: int, ends: int, trained: in
     different_grams, _ = _counted(data, bounds, np.zeros(len(bounds) - 1, np.uint8))
     worth = np.zeros(len(different_grams))
     for part, at in _dealt(_part_of_grams(different_grams, parts)):
-        worth[at] = np.frombuffer(sent[part][0], np.float32)
+        worth[at] = _numbers(sent[part][0], np.float32)
     score = np.zeros(len(bounds) - 1)
     for a, b, g in grams(data, bounds):
         order = np.argsort(g)
@@ -339,7 +350,7 @@ def _score(block: pa.Table, values: pa.Table, parts: int, ends: int, trained: in
     words, place, own = _words(data, bounds)
     counts = np.zeros(len(words), np.int64)
     for part, at in _dealt(_part_of_words(words, parts)):
-        counts[at] = np.frombuffer(sent[parts + part][1], np.int64)
+        counts[at] = _numbers(sent[parts + part][1], np.int64)
     text = np.repeat(np.arange(len(bounds) - 1), np.diff(own))
     floor = math.log10(trained + different + 1)
     base = np.bincount(text, np.log10(counts + 1)[place], len(bounds) - 1) + math.log10(ends + 1) - (np.diff(own) + 1) * floor
