@@ -197,9 +197,9 @@ def _totals(links: DataFrame) -> tuple[int, list[float]]:
     return pairs, weights
 
 
-def _pilot(docs: DataFrame, classes: DataFrame, threshold: float, recall: float, trees: int) -> int:
+def _pilot(docs: DataFrame, classes: DataFrame, forest: tuple[DataFrame, DataFrame], threshold: float, recall: float, trees: int) -> int:
     """The depth to begin with, from exact checks of a bounded sample of small leaves at full depth."""
-    leaves, several = _leaves(classes, DEPTH, trees)
+    leaves, several = forest
     some = several.where(F.col("n") <= FEW).orderBy(F.xxhash64("prefix"), "prefix").limit(PILOT)
     chosen = leaves.join(F.broadcast(some.select("prefix", F.col("n").alias("size"))), "prefix")  # at most PILOT x FEW classes
     members = written(chosen.join(classes.select("key", "rep", "n", "signature"), "key").select("rep", F.col("prefix").cast("string").alias("part"), "size", "tree", "key", "n", "signature"), "pilot")
@@ -209,9 +209,9 @@ def _pilot(docs: DataFrame, classes: DataFrame, threshold: float, recall: float,
     return prefix_depth(weights if weights[0] else [1.0, *(chance(threshold, d, trees) for d in range(1, DEPTH + 1))], recall)
 
 
-def _links(docs: DataFrame, classes: DataFrame, depth: int, threshold: float, trees: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, forest: tuple[DataFrame, DataFrame], depth: int, threshold: float, trees: int) -> DataFrame:
     """The table LINKS: key, links (documents of linked classes), low (a linked class), pairs, weights; a row for each block of a class."""
-    leaves, several = _leaves(classes, depth, trees)
+    leaves, several = forest
     stars = leaves.join(several.select("prefix", "first"), "prefix").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     found = written(components(stars), "candidates")
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
@@ -244,9 +244,11 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     numbered = texts.where("doc_id is not null")
     signed = written(_signed(numbered), "signatures")
     classes = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("signature").alias("signature")), "classes")
-    depth = _pilot(numbered, classes, threshold, recall, trees)
+    full = _leaves(classes, DEPTH, trees)
+    depth = _pilot(numbered, classes, full, threshold, recall, trees)
     while True:
-        links = written(_links(numbered, classes, depth, threshold, trees), "links")
+        forest = full if depth == DEPTH else _leaves(classes, depth, trees)
+        links = written(_links(numbered, classes, forest, depth, threshold, trees), "links")
         pairs, weights = _totals(links)
         if depth == 1 or pairs >= recall * weights[0]:
             break

@@ -92,7 +92,7 @@ def pairs_at(similarity, number, seed):
 def test_prefixes_are_shortened_until_the_recall_is_reached(spark, monkeypatch):
     depths = []
     links = jaccard._links
-    monkeypatch.setattr(jaccard, "_links", lambda docs, classes, depth, *rest: depths.append(depth) or links(docs, classes, depth, *rest))
+    monkeypatch.setattr(jaccard, "_links", lambda docs, classes, forest, depth, *rest: depths.append(depth) or links(docs, classes, forest, depth, *rest))
     rows = pairs_at(0.84, 150, 1)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     true = sum(n > 0 for _, _, n in brute(rows))
