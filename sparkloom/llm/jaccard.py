@@ -198,7 +198,7 @@ def _totals(links: DataFrame) -> tuple[int, list[float]]:
 
 
 def _pilot(docs: DataFrame, classes: DataFrame, forest: tuple[DataFrame, DataFrame], threshold: float, recall: float, trees: int) -> int:
-    """The depth to begin with, from exact checks of a bounded sample of small leaves at full depth."""
+    """The depth to begin with, from exact checks of a bounded sample of small leaves at full depth; it misses half of what it may, as a second run costs more than a deeper prefix saves."""
     leaves, several = forest
     some = several.where(F.col("n") <= FEW).orderBy(F.xxhash64("prefix"), "prefix").limit(PILOT)
     chosen = leaves.join(F.broadcast(some.select("prefix", F.col("n").alias("size"))), "prefix")  # at most PILOT x FEW classes
@@ -206,7 +206,7 @@ def _pilot(docs: DataFrame, classes: DataFrame, forest: tuple[DataFrame, DataFra
     sets = _sets(docs, F.broadcast(members)).withColumn("two", F.lit(False)).withColumn("chunk", F.lit(0).cast("long"))
     links = sets.groupBy(F.pmod(F.xxhash64("part"), F.lit(16))).applyInPandas(lambda rows: _check(rows, threshold, DEPTH, trees), LINKS)
     _, weights = _totals(links)
-    return prefix_depth(weights if weights[0] else [1.0, *(chance(threshold, d, trees) for d in range(1, DEPTH + 1))], recall)
+    return prefix_depth(weights if weights[0] else [1.0, *(chance(threshold, d, trees) for d in range(1, DEPTH + 1))], 1 - (1 - recall) / 2)
 
 
 def _links(docs: DataFrame, classes: DataFrame, forest: tuple[DataFrame, DataFrame], depth: int, threshold: float, trees: int) -> DataFrame:
