@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.storage import written
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: Edges that one task may hold; where there are more, a hub's are split.
+ONE_TASK = 1 << 24
+
+
+def components(edges: DataFrame, rounds: int = 60, one_task: int = ONE_TASK) -> DataFrame:
     """node, root: the least node of each component, for every node of the edges (a, b).
 
     A round gives each node's greater neighbours its least one, then each node's
@@ -23,11 +27,14 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if settled(pairs):
             break
         both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        pairs = written(small.union(least.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        if pairs.count() <= one_task:
+            near = both.withColumn("m", F.min("b").over(Window.partitionBy("a"))).select("a", "b", F.least("a", "m").alias("m"))
+        else:  # the least is written, as Spark splits a hub's edges only in a join of plain tables
+            near = both.join(written(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least"), "a")
+        large = near.where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        # a node has few lesser neighbours by now
+        small = large.withColumn("m", F.min("b").over(Window.partitionBy("a"))).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
+        pairs = written(small.distinct(), "edges")
     else:
         raise RuntimeError(f"the components are not settled after {rounds} rounds")
     return pairs.select(F.col("a").alias("node"), F.col("b").alias("root")).union(pairs.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

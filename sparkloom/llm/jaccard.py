@@ -44,8 +44,8 @@ TREES, DEPTH = 24, 6
 THRESHOLD, RECALL = 0.8, 0.9999
 #: Classes of a chunk, and of what small components a task checks at once.
 CHUNK, TOGETHER = 384, 2048
-#: Leaves of the sample that says how far to shorten prefixes, and the most classes of one.
-PILOT, FEW = 1024, 16
+#: Leaves of the sample that says how far to shorten prefixes, the most classes of one, and prefixes that it is drawn from, about.
+PILOT, FEW, SAMPLED = 1024, 16, 400_000
 MEMBER = "part string, size long, tree int, key binary, n long, signature binary"
 LINKS = "key binary, links long, low binary, pairs long, weights array<double>"
 _RNG = np.random.default_rng(5)
@@ -179,12 +179,14 @@ def _check(rows: pd.DataFrame, threshold: float, depth: int, trees: int) -> pd.D
     return pd.concat(out)[names] if out else pd.DataFrame({k: pd.Series([], dtype=object) for k in names})
 
 
-def _leaves(classes: DataFrame, depth: int, trees: int) -> tuple[DataFrame, DataFrame]:
-    """The prefixes of every class (key, tree, prefix) and, of the prefixes that several share, one for each set of classes: tree, prefix, first, n."""
+def _leaves(classes: DataFrame, depth: int, trees: int, rate: int = 1) -> tuple[DataFrame, DataFrame]:
+    """The prefixes of every class (key, tree, prefix), or of them one in ``rate``, and, of the prefixes that several share, one for each set of classes: tree, prefix, first, n."""
     tree = F.explode(F.sequence(F.lit(0), F.lit(trees - 1)))
     labelled = classes.where("signature is not null").select("key", "signature", tree.alias("tree"))
     prefix = F.expr(f"substring(signature, tree * {4 * DEPTH} + 1, {4 * depth})")
     leaves = labelled.select("key", "tree", F.xxhash64("tree", prefix).alias("prefix"))
+    if rate > 1:
+        leaves = leaves.where(F.pmod(F.xxhash64("prefix"), F.lit(rate)) == 0)
     several = leaves.groupBy("prefix").agg(F.min("key").alias("first"), F.count("*").alias("n"), F.min("tree").alias("tree"), F.bit_xor(F.xxhash64("key")).alias("x"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("y")).where("n > 1")
     one = several.groupBy("n", "x", "y").agg(F.min(F.struct("tree", "prefix", "first")).alias("leaf"))
     return leaves, written(one.select("leaf.*", "n"), "leaves")
@@ -197,9 +199,9 @@ def _totals(links: DataFrame) -> tuple[int, list[float]]:
     return pairs, weights
 
 
-def _pilot(docs: DataFrame, classes: DataFrame, forest: tuple[DataFrame, DataFrame], threshold: float, recall: float, trees: int) -> int:
+def _pilot(docs: DataFrame, classes: DataFrame, threshold: float, recall: float, trees: int) -> int:
     """The depth to begin with, from exact checks of a bounded sample of small leaves at full depth; it misses half of what it may, as a second run costs more than a deeper prefix saves."""
-    leaves, several = forest
+    leaves, several = _leaves(classes, DEPTH, trees, max(1, classes.count() * trees // SAMPLED))
     some = several.where(F.col("n") <= FEW).orderBy(F.xxhash64("prefix"), "prefix").limit(PILOT)
     chosen = leaves.join(F.broadcast(some.select("prefix", F.col("n").alias("size"))), "prefix")  # at most PILOT x FEW classes
     members = written(chosen.join(classes.select("key", "rep", "n", "signature"), "key").select("rep", F.col("prefix").cast("string").alias("part"), "size", "tree", "key", "n", "signature"), "pilot")
@@ -209,9 +211,9 @@ def _pilot(docs: DataFrame, classes: DataFrame, forest: tuple[DataFrame, DataFra
     return prefix_depth(weights if weights[0] else [1.0, *(chance(threshold, d, trees) for d in range(1, DEPTH + 1))], 1 - (1 - recall) / 2)
 
 
-def _links(docs: DataFrame, classes: DataFrame, forest: tuple[DataFrame, DataFrame], depth: int, threshold: float, trees: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, depth: int, threshold: float, trees: int) -> DataFrame:
     """The table LINKS: key, links (documents of linked classes), low (a linked class), pairs, weights; a row for each block of a class."""
-    leaves, several = forest
+    leaves, several = _leaves(classes, depth, trees)
     stars = leaves.join(several.select("prefix", "first"), "prefix").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
     found = written(components(stars), "candidates")
     sizes = found.groupBy("root").agg(F.count("*").alias("size"))
@@ -230,11 +232,11 @@ def _links(docs: DataFrame, classes: DataFrame, forest: tuple[DataFrame, DataFra
     chunks = F.ceil(F.col("size") / CHUNK)
     groups = max(1, -(-found.count() // TOGETHER))
     chunked = sets.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")))
-    small = chunked.where("chunks = 1").withColumn("block", F.pmod(F.xxhash64("part"), F.lit(groups)).cast("string")).withColumn("two", F.lit(False))
-    other = F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1))
-    blocks = chunked.where("chunks > 1").withColumn("other", other).withColumn("block", F.concat_ws("-", "part", F.least("chunk", "other"), F.greatest("chunk", "other"))).withColumn("two", F.col("chunk") != F.col("other"))
-    columns = ["block", "two", "part", "tree", "chunk", "key", "n", "signature", "shingles"]
-    blocks = written(small.select(columns).union(blocks.select(columns)), "blocks")
+    every = chunked.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
+    of_small = F.pmod(F.xxhash64("part"), F.lit(groups)).cast("string")
+    block = F.when(F.col("chunks") == 1, of_small).otherwise(F.concat_ws("-", "part", F.least("chunk", "other"), F.greatest("chunk", "other")))
+    blocks = every.withColumn("block", block).withColumn("two", F.col("chunk") != F.col("other"))
+    blocks = written(blocks.select("block", "two", "part", "tree", "chunk", "key", "n", "signature", "shingles"), "blocks")
     return blocks.groupBy("block").applyInPandas(lambda rows: _check(rows, threshold, depth, trees), LINKS)
 
 
@@ -244,11 +246,9 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     numbered = texts.where("doc_id is not null")
     signed = written(_signed(numbered), "signatures")
     classes = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("signature").alias("signature")), "classes")
-    full = _leaves(classes, DEPTH, trees)
-    depth = _pilot(numbered, classes, full, threshold, recall, trees)
+    depth = _pilot(numbered, classes, threshold, recall, trees)
     while True:
-        forest = full if depth == DEPTH else _leaves(classes, depth, trees)
-        links = written(_links(numbered, classes, forest, depth, threshold, trees), "links")
+        links = written(_links(numbered, classes, depth, threshold, trees), "links")
         pairs, weights = _totals(links)
         if depth == 1 or pairs >= recall * weights[0]:
             break

@@ -92,7 +92,7 @@ def pairs_at(similarity, number, seed):
 def test_prefixes_are_shortened_until_the_recall_is_reached(spark, monkeypatch):
     depths = []
     links = jaccard._links
-    monkeypatch.setattr(jaccard, "_links", lambda docs, classes, forest, depth, *rest: depths.append(depth) or links(docs, classes, forest, depth, *rest))
+    monkeypatch.setattr(jaccard, "_links", lambda docs, classes, depth, *rest: depths.append(depth) or links(docs, classes, depth, *rest))
     rows = pairs_at(0.84, 150, 1)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     true = sum(n > 0 for _, _, n in brute(rows))
@@ -138,5 +138,9 @@ def test_overlaps_count_shared_elements():
 
 def test_components_of_a_long_path_and_a_hub(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, i) for i in range(101, 150)]
-    got = {r.node: r.root for r in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)}
+    for one_task in (graph.ONE_TASK, 0):
+        found = graph.components(spark.createDataFrame(edges, "a long, b long"), one_task=one_task).collect()
+        assert len(found) == 91 and {r.node: r.root for r in found} == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 150)}
+    assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
+    with pytest.raises(RuntimeError):
+        graph.components(spark.createDataFrame(edges, "a long, b long"), rounds=1).collect()
