@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.llm.clustered_search import search_sql
 from sparkloom.llm.secret_scan import spans_sql
 from sparkloom.storage import new_folder
 
@@ -43,7 +44,8 @@ def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparkloom.llm.secret_scan import report, scan
+    from sparkloom.llm.clustered_search import search_sql
+from sparkloom.llm.secret_scan import report, scan
 
     versions = _table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) path", "text")
     return report(scan(versions, new_folder(spark, "ledger"))).withColumnRenamed("path", "doc_id")
@@ -91,6 +93,18 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_through_files(spark, _table(spark, sf_dir, "documents"), new_folder(spark, "ids"), public_tokenizer(TOKENIZER), END_ID)
 
 
+def op12_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.line_crf import line_rules
+
+    return line_rules(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_clustered_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.clustered_search import search
+
+    return search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media": op1_media,
     "op2_quality": op2_quality,
@@ -102,8 +116,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_token_ids": op10_token_ids,
+    "op12_line_crf": op12_line_crf,
+    "op13_clustered_search": op13_clustered_search,
 }
 
 SQL: dict[str, str] = {
     "op4_secrets": spans_sql(),
+    "op13_clustered_search": search_sql(),
 }
