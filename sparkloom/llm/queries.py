@@ -44,8 +44,7 @@ def op3_ctw(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from sparkloom.llm.clustered_search import search_sql
-from sparkloom.llm.secret_scan import report, scan
+    from sparkloom.llm.secret_scan import report, scan
 
     versions = _table(spark, sf_dir, "documents").selectExpr("cast(doc_id as long) path", "text")
     return report(scan(versions, new_folder(spark, "ledger"))).withColumnRenamed("path", "doc_id")
@@ -93,6 +92,13 @@ def op10_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return documents_through_files(spark, _table(spark, sf_dir, "documents"), new_folder(spark, "ids"), public_tokenizer(TOKENIZER), END_ID)
 
 
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from sparkloom.llm.token_alignment import alignment
+    from sparkloom.llm.tokenize import public_tokenizer
+
+    return alignment(_table(spark, sf_dir, "documents"), public_tokenizer("byte_bpe_50k.json"), public_tokenizer("piece_bpe_32k.model"))
+
+
 def op12_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.llm.line_crf import line_rules
 
@@ -116,6 +122,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_toxicity": op9_toxicity,
     "op10_token_ids": op10_token_ids,
+    "op11_alignment": op11_alignment,
     "op12_line_crf": op12_line_crf,
     "op13_clustered_search": op13_clustered_search,
 }
