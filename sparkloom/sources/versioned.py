@@ -25,6 +25,8 @@ from sparkloom.storage import new_folder
 
 #: Deleted keys that are sent to every task; more are joined by a shuffle.
 FEW_KEYS = 1_000_000
+#: Keys that are looked up one by one.
+NAMED = 1000
 _AT, _GONE = "__version", "__gone"
 
 
@@ -39,13 +41,15 @@ class Entry:
 
 
 class VersionedTable:
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    """``found_by`` names columns whose values Parquet's Bloom filters find (see ``of``)."""
+
+    def __init__(self, spark: SparkSession, path: str, found_by: tuple[str, ...] = ()):
+        self.spark, self.path, self.found_by = spark, path, found_by
 
     @classmethod
-    def create(cls, rows: DataFrame, path: str | None = None) -> VersionedTable:
+    def create(cls, rows: DataFrame, path: str | None = None, found_by: tuple[str, ...] = ()) -> VersionedTable:
         """A table of version 0."""
-        table = cls(rows.sparkSession, path or new_folder(rows.sparkSession, "table"))
+        table = cls(rows.sparkSession, path or new_folder(rows.sparkSession, "table"), found_by)
         table._commit(0, [table._written(rows, 0)], rows.schema)
         return table
 
@@ -76,22 +80,26 @@ class VersionedTable:
 
     def _written(self, rows: DataFrame, version: int, by: str | None = None) -> Entry:
         folder = new_folder(self.spark, "change")
-        rows.write.option("compression", "zstd").parquet(folder)
+        blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in self.found_by if c in rows.columns}
+        rows.write.options(compression="zstd", **blooms).parquet(folder)
         return Entry(folder, version, by, self.spark.read.schema(rows.schema).parquet(folder).count())
 
+    def change(self, rows: DataFrame | None = None, gone: tuple[tuple[DataFrame, str], ...] = ()) -> int:
+        """The version without the rows of some keys, each of whichever column, and then with ``rows``."""
+        version, entries, schema = self._manifest()
+        new = [self._written(keys.select(F.col(by).cast(schema[by].dataType)).where(F.col(by).isNotNull()).distinct(), version + 1, by) for keys, by in gone]
+        if rows is not None:
+            new.append(self._written(rows, version + 1))
+            schema = StructType([*schema.fields, *(f for f in rows.schema.fields if f.name not in schema.names)])
+        return self._commit(version + 1, [*entries, *new], schema)
+
     def upsert(self, rows: DataFrame, key: str) -> int:
         """The version with ``rows`` in place of what has their keys."""
-        version, entries, schema = self._manifest()
-        data = self._written(rows, version + 1)
-        keys = self._written(self.spark.read.schema(rows.schema).parquet(data.folder).select(key).where(F.col(key).isNotNull()).distinct(), version + 1, key)
-        merged = StructType([*schema.fields, *(f for f in rows.schema.fields if f.name not in schema.names)])
-        return self._commit(version + 1, [*entries, keys, data], merged)
+        return self.change(rows, ((rows, key),))
 
     def delete(self, keys: DataFrame, key: str) -> int:
-        """The version without the rows of some keys, of whichever column."""
-        version, entries, schema = self._manifest()
-        gone = self._written(keys.select(F.col(key).cast(schema[key].dataType)).where(F.col(key).isNotNull()).distinct(), version + 1, key)
-        return self._commit(version + 1, [*entries, gone], schema)
+        """The version without the rows of some keys."""
+        return self.change(None, ((keys, key),))
 
     def reset(self) -> int:
         """The version without rows."""
@@ -120,6 +128,13 @@ class VersionedTable:
             parts.append(rows.select(*schema.names))
         return reduce(DataFrame.unionByName, parts)
 
+    def of(self, keys: DataFrame, key: str) -> DataFrame:
+        """The rows of some keys: a few are named in the scan's filter, more are joined."""
+        own = keys.select(key).distinct()
+        few = [r[0] for r in own.limit(NAMED + 1).collect()]
+        rows = self.read()
+        return rows.where(F.col(key).isin(few)) if len(few) <= NAMED else rows.join(own, key, "left_semi").select(*rows.columns)
+
     def compact(self) -> int:
         """The version with the same rows in one place and nothing to merge."""
         version, _, schema = self._manifest()
