@@ -23,14 +23,15 @@ from __future__ import annotations
 
 import hashlib
 import os
-from collections.abc import Iterator
-from typing import Any
+import zlib
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.terms import text_bytes
@@ -41,8 +42,11 @@ from sparkloom.storage import written
 _PRINTED = np.zeros(256, bool)
 _PRINTED[0x21:0x7F] = True
 _PRINTED[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
+_PART_OF_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 _CODERS: dict[tuple[str, str], tuple] = {}
-CUT = "block long, code int, segment string, doc_id long, codes binary"
+CUT = "block long, code int, segment string, doc_id long, codes binary, segments int"
+#: Segments whose tokens are counted at once when a block is put together.
+PIECE = 1 << 20
 
 
 def segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -79,79 +83,116 @@ def _coders(a: str, b: str) -> tuple:
     return _CODERS[a, b]
 
 
-def tokenized(different: DataFrame, a: str, b: str) -> DataFrame:
-    """segment, whole (both give its bytes back), and the tokens a and b: arrays of id and length."""
-    kind = pa.list_(pa.struct([("id", pa.int32()), ("size", pa.int32())]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, second, of_a, of_b = _coders(a, b)
-        for batch in batches:
-            texts = batch.column("segment").to_pylist()
-            ids = [[e.ids for e in first.encode_batch(texts, add_special_tokens=False)], second.encode([t[1:] for t in texts], num_threads=1)]
-            parts = [[list(map(table.__getitem__, own)) for own in side] for side, table in zip(ids, (of_a, of_b), strict=True)]
-            raw = [t.encode() for t in texts]
-            whole = [b"".join(x) == b"".join(y) == r for x, y, r in zip(*parts, raw, strict=True)]
-            columns = []
-            for side, own in zip(ids, parts, strict=True):
-                flat = pa.StructArray.from_arrays([pa.array([i for x in side for i in x], pa.int32()), pa.array([len(p) for x in own for p in x], pa.int32())], ["id", "size"])
-                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, side)]), pa.int32()), flat).cast(kind))
-            yield pa.RecordBatch.from_arrays([batch.column("segment"), pa.array(whole), *columns], ["segment", "whole", "a", "b"])
-
-    tokens = "array<struct<id:int,size:int>>"
-    return different.mapInArrow(run, f"segment string, whole boolean, a {tokens}, b {tokens}")
-
-
-def aligned(tokens: DataFrame, key: str = "segment") -> DataFrame:
-    """The key, n_a, n_b, n_groups, n_links, groups ('a1,a2|b1;...') and links (a, b, n) of each row of tokens ``a`` and ``b``."""
-    in_order = Window.partitionBy(key).orderBy("pos")
-
-    def placed(side: str) -> DataFrame:
-        rows = tokens.select(key, F.posexplode(side).alias("pos", "t")).select(key, "pos", "t.id", "t.size")
-        return rows.withColumn("end", F.sum("size").over(in_order)).withColumn("start", F.col("end") - F.col("size"))
-
-    def grouped(own: DataFrame, other: DataFrame) -> DataFrame:
-        """Each token's group: how many cuts lie before it."""
-        flagged = own.join(other.select(key, "end", F.lit(1).alias("cut")), [key, "end"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
-        return flagged.withColumn("group", F.sum("cut").over(in_order) - F.col("cut"))
-
-    a, b = placed("a"), placed("b")
-    a, b = grouped(a, b), grouped(b, a)
-
-    def listed(rows: DataFrame, name: str) -> DataFrame:
-        ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda x: x["id"].cast("string")), ",")
-        return rows.groupBy(key, "group").agg(ids.alias(name), F.count("*").alias(f"n_{name}"))
-
-    groups = listed(a, "a").join(listed(b, "b"), [key, "group"])
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", F.concat_ws("|", "a", "b").alias("ids")))), lambda x: x["ids"]), ";")
-    groups = groups.groupBy(key).agg(F.sum("n_a").alias("n_a"), F.sum("n_b").alias("n_b"), F.count("*").alias("n_groups"), text.alias("groups"))
-
-    def side(rows: DataFrame, name: str) -> DataFrame:
-        return rows.select(key, "group", F.col("id").alias(name), F.col("start").alias(f"start_{name}"), F.col("end").alias(f"end_{name}"))
-
-    overlap: Column = (F.col("start_a") < F.col("end_b")) & (F.col("start_b") < F.col("end_a"))
-    links = side(a, "a").join(side(b, "b"), [key, "group"]).where(overlap).groupBy(key, "a", "b").agg(F.count("*").alias("n"))
-    links = links.groupBy(key).agg(F.sum("n").alias("n_links"), F.collect_list(F.struct("a", "b", "n")).alias("links"))
-    return groups.join(links, key)
+def _split(texts: pa.Array, encode: Callable[[str], list[int]], table: list[bytes] | dict[int, bytes], sizes: np.ndarray) -> pa.Array:
+    """The tokens of each segment, null where they don't give it back: of all plain ones at once, of the others one by one."""
+    data, bounds = text_bytes(texts)
+    n = len(texts)
+    second = np.minimum(bounds[:-1] + 1, len(data) - 1)
+    # neither tokenizer joins these to a neighbour
+    plain = (np.diff(bounds) > 1) & _PRINTED[data[second]] & (data[bounds[1:] - 1] != 32)
+    whole = texts.filter(pa.array(plain)).to_pylist()
+    ids = np.array(encode("".join(whole)) if whole else [], np.int64)
+    if b"".join(map(table.__getitem__, ids.tolist())) != "".join(whole).encode():
+        plain[:], ids = False, ids[:0]
+    out: list[np.ndarray | None] = [None] * n
+    lengths = np.diff(bounds)[plain]
+    cuts = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum(lengths)) + 1
+    parts, counts, null = [ids.astype(np.int32)], np.zeros(n, np.int64), np.zeros(n, bool)
+    counts[plain] = np.diff(np.concatenate([[0], cuts]))
+    odd = np.flatnonzero(~plain)
+    for i, text in zip(odd.tolist(), texts.take(pa.array(odd)).to_pylist(), strict=True):
+        own = encode(text)
+        null[i] = b"".join(map(table.__getitem__, own)) != text.encode()
+        out[i] = np.array([] if null[i] else own, np.int32)
+        counts[i] = len(out[i])
+    starts = np.concatenate([[0], np.cumsum(counts)])
+    every = np.zeros(starts[-1], np.int32)
+    every[np.repeat(plain, counts)] = parts[0]
+    for i in odd.tolist():
+        every[starts[i] : starts[i + 1]] = out[i]
+    tokens = pa.StructArray.from_arrays([pa.array(every, pa.int32()), pa.array(sizes[every], pa.int32())], ["id", "size"])
+    return pa.ListArray.from_arrays(pa.array(np.where(np.append(null, False), None, starts), pa.int32(), from_pandas=True), tokens)
+
+
+_TOKENS = "array<struct<id:int,size:int>>"
+
+
+def tokens_of(segment: Column, a: str, b: str) -> tuple[Column, Column]:
+    """Both tokenizers' tokens of a segment: arrays of id and length in bytes; null where they don't give the segment's bytes back."""
+
+    @F.arrow_udf(_TOKENS)
+    def first(texts: pa.Array) -> pa.Array:
+        coder, _, table, _ = _coders(a, b)
+        sizes = np.array([len(table[i]) for i in range(len(table))], np.int64)
+        return _split(texts, lambda t: coder.encode(t, add_special_tokens=False).ids, table, sizes)
+
+    @F.arrow_udf(_TOKENS)
+    def second(texts: pa.Array) -> pa.Array:
+        _, coder, _, table = _coders(a, b)
+        return _split(texts, lambda t: coder.encode(t[1:]), table, np.array(list(map(len, table)), np.int64))
+
+    return first(segment), second(segment)
+
+
+def aligned(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
+    """The key, n_a, n_b, n_groups, groups ('a1,a2|b1;...') and links (each of a and b, in one number) of rows with ``tokens`` of both sides; the plan has no exchange where both are dealt out by a part of the key."""
+
+    def placed(rows: DataFrame, side: str) -> DataFrame:
+        exploded = rows.select(*key, F.posexplode("tokens").alias("pos", "t")).select(*key, "pos", "t.id", "t.size")
+        ends = exploded.withColumn("end", F.sum("size").over(Window.partitionBy(*key).orderBy("pos")))
+        return ends.select(*key, "end", F.col("id").alias(side), (F.col("end") - F.col("size")).alias(f"start_{side}"))
+
+    both = placed(a, "a").join(placed(b, "b"), [*key, "end"], "full")
+    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
+    both = both.withColumn("cut", cut).withColumn("group", F.sum("cut").over(Window.partitionBy(*key).orderBy("end")) - F.col("cut"))
+
+    def listed(side: str) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct(F.col(f"start_{side}").alias("start"), "end", F.col(side).alias("id")))))
+
+    groups = both.groupBy(*key, "group").agg(listed("a").alias("a"), listed("b").alias("b"))
+
+    def linked(x: Column) -> Column:
+        touched = F.filter("b", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
+        return F.transform(touched, lambda y: F.shiftleft(x["id"].cast("long"), 32) + y["id"])
+
+    def shown(side: str) -> Column:
+        return F.array_join(F.transform(side, lambda x: x["id"].cast("string")), ",")
+
+    groups = groups.select(*key, "group", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(shown("a"), F.lit("|"), shown("b")).alias("ids"), F.flatten(F.transform("a", linked)).alias("links"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "ids"))), lambda x: x["ids"]), ";")
+    sums = F.sum("n_a").cast("int").alias("n_a"), F.sum("n_b").cast("int").alias("n_b"), F.count("*").cast("int").alias("n_groups")
+    # a side without tokens did not give the text back
+    return groups.groupBy(*key).agg(*sums, text.alias("groups"), F.flatten(F.collect_list("links")).alias("links")).where("n_a > 0 and n_b > 0")
 
 
 def _cut(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Blocks of documents: a row for each document with its segments' numbers, and one for each different segment of the block."""
 
+    def cut(part: pa.RecordBatch, block: int) -> pa.RecordBatch:
+        codes, starts, different = segments(part.column("text"))
+        codes = codes.astype("<u2" if len(different) <= 1 << 16 else "<u4")
+        own = [codes[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:], strict=True)]
+        n, m = part.num_rows, len(different)
+        columns = {
+            "block": pa.array(np.full(n + m, block)), "code": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(m), pa.int32())]),
+            "segment": pa.concat_arrays([pa.nulls(n, pa.utf8()), different.cast(pa.utf8())]),
+            "doc_id": pa.concat_arrays([part.column("doc_id"), pa.nulls(m, pa.int64())]), "codes": pa.concat_arrays([pa.array(own, pa.binary()), pa.nulls(m, pa.binary())]),
+            "segments": pa.concat_arrays([pa.array(np.full(n, m), pa.int32()), pa.nulls(m, pa.int32())]),
+        }
+        return pa.RecordBatch.from_pydict(columns)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        block, waiting, size = TaskContext.get().partitionId() << 32, [], 0
         for batch in batches:
             for part in slices(batch, "text", block_bytes):
-                codes, starts, different = segments(part.column("text"))
-                codes = codes.astype("<u2" if len(different) <= 1 << 16 else "<u4")
-                own = [codes[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:], strict=True)]
-                n, m = part.num_rows, len(different)
-                columns = {
-                    "block": pa.array(np.full(n + m, block)), "code": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(m), pa.int32())]),
-                    "segment": pa.concat_arrays([pa.nulls(n, pa.utf8()), different.cast(pa.utf8())]),
-                    "doc_id": pa.concat_arrays([part.column("doc_id"), pa.nulls(m, pa.int64())]), "codes": pa.concat_arrays([pa.array(own, pa.binary()), pa.nulls(m, pa.binary())]),
-                }
-                yield pa.RecordBatch.from_pydict(columns)
-                block += 1
+                own = int(pc.sum(pc.binary_length(part.column("text"))).as_py() or 0)
+                if waiting and size + own > block_bytes:
+                    yield cut(pa.Table.from_batches(waiting).combine_chunks().to_batches()[0], block)
+                    block, waiting, size = block + 1, [], 0
+                waiting.append(part)
+                size += own
+        if waiting and (last := pa.Table.from_batches(waiting).combine_chunks()).num_rows:
+            yield cut(last.to_batches()[0], block)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CUT)
 
@@ -159,50 +200,59 @@ def _cut(docs: DataFrame, block_bytes: int) -> DataFrame:
 COUNTED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary, pair int, a int, b int, docs long"
 
 
-def _counted(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
+def _packed(x: np.ndarray) -> bytes:
+    return zlib.compress(x.astype("<u4").tobytes(), 1)
+
+
+def _counted(key: tuple, docs: pa.Table, known: pa.Table) -> Iterator[pa.RecordBatch]:
     """A block's documents put together from their segments' alignments: a row for each, and one for each id pair of the block with its number of documents."""
     block, n = key[0].as_py(), docs.num_rows
-    known = known.sort_by("code").combine_chunks()
-    width = "<u2" if known.num_rows <= 1 << 16 else "<u4"
-    whole = known.column("whole").to_numpy().astype(bool)
-    own = [np.frombuffer(x, width).astype(np.int64) for x in docs.column("codes").to_pylist()]
-    valid = np.array([len(x) > 0 and bool(whole[x].all()) for x in own], bool)
-    lengths = np.where(valid, [len(x) for x in own], 0).astype(np.int64)
-    codes = np.concatenate([np.zeros(0, np.int64), *(x for x, v in zip(own, valid, strict=True) if v)])
-    owner = np.repeat(np.arange(n), lengths)
-    sums = {c: np.bincount(owner, pc.fill_null(known.column(c), 0).to_numpy()[codes], minlength=n).astype(np.int64) for c in ("n_a", "n_b", "n_groups", "n_links")}
-    groups, digests, at = known.column("groups").to_pylist(), [], 0
-    for size in lengths.tolist():
-        digests.append(hashlib.sha256(";".join(map(groups.__getitem__, codes[at : at + size].tolist())).encode()).hexdigest() if size else "")
-        at += size
-    links = known.column("links")
-    links = links.chunk(0) if links.num_chunks else pa.array([], links.type)
-    flat = links.flatten()
-    many = pc.fill_null(pc.list_value_length(links), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    pairs, local = np.unique(flat.field("a").to_numpy().astype(np.int64) << 32 | flat.field("b").to_numpy(), return_inverse=True)
-    times = flat.field("n").to_numpy()
-    reps = many[codes]
-    place = np.repeat((np.cumsum(many) - many)[codes] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
-    cells = np.repeat(owner, reps) * max(len(pairs), 1) + local[place]
-    order = np.argsort(cells, kind="stable")
-    cells = cells[order]
-    new = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])[: len(cells)])
-    of, pair = np.divmod(cells[new], max(len(pairs), 1))
-    seen = np.add.reduceat(times[place][order], new) if len(new) else np.zeros(0, np.int64)
-    cuts = np.searchsorted(of, np.arange(n + 1))
-    pair_bytes, seen_bytes = pair.astype("<u4").tobytes(), seen.astype("<u4").tobytes()
-    m, spans = len(pairs), list(zip((4 * cuts[:-1]).tolist(), (4 * cuts[1:]).tolist(), strict=True))
-    rows: dict[str, Any] = {
-        "block": pa.array(np.full(n + m, block)), "doc_id": pa.concat_arrays([docs.column("doc_id").combine_chunks() if n else pa.nulls(0, pa.int64()), pa.nulls(m, pa.int64())]),
-        **{c: pa.concat_arrays([pa.array(v, pa.int64()), pa.nulls(m, pa.int64())]) for c, v in sums.items()},
-        "groups_sha256": pa.concat_arrays([pa.array(digests, pa.utf8()), pa.nulls(m, pa.utf8())]),
-        "pairs": pa.concat_arrays([pa.array([pair_bytes[x:y] for x, y in spans], pa.binary()), pa.nulls(m, pa.binary())]),
-        "times": pa.concat_arrays([pa.array([seen_bytes[x:y] for x, y in spans], pa.binary()), pa.nulls(m, pa.binary())]),
-        "pair": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(m), pa.int32())]),
-        "a": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(pairs >> 32, pa.int32())]), "b": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(pairs & 0xFFFFFFFF, pa.int32())]),
-        "docs": pa.concat_arrays([pa.nulls(n, pa.int64()), pa.array(np.bincount(pair, minlength=m), pa.int64())]),
-    }
-    return pa.table(rows)
+    m = max(docs.column("segments").to_pylist(), default=0)
+    at = known.column("code").to_numpy()
+    counts = {c: np.zeros(m, np.int32) for c in ("n_a", "n_b", "n_groups")}
+    for c, x in counts.items():
+        x[at] = known.column(c).to_numpy()
+    groups: list[str] = [""] * m
+    for i, g in zip(at.tolist(), known.column("groups").to_pylist(), strict=True):
+        groups[i] = g
+    links = pa.concat_arrays(known.column("links").chunks) if known.num_rows else pa.array([], pa.list_(pa.int64()))
+    pairs, local = np.unique(links.flatten().to_numpy(), return_inverse=True)
+    local = local.astype(np.int32)
+    many, begin = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    many[at] = pc.list_value_length(links).to_numpy(zero_copy_only=False)
+    begin[at] = np.cumsum(many[at]) - many[at]
+    whole, width, p = counts["n_a"] > 0, "<u2" if m <= 1 << 16 else "<u4", len(pairs)
+    held = np.zeros(p, np.int64)
+    own = [np.frombuffer(x, width) for x in docs.column("codes").to_pylist()]
+    cuts = np.searchsorted(np.cumsum([len(x) for x in own]) // PIECE, np.arange(sum(map(len, own)) // PIECE + 2)) if n else [0]
+    ids = docs.column("doc_id").combine_chunks() if n else pa.nulls(0, pa.int64())
+    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+
+    def batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
+        kinds = {f.split()[0]: {"long": pa.int64(), "int": pa.int32(), "string": pa.utf8(), "binary": pa.binary()}[f.split()[1]] for f in COUNTED.split(", ")}
+        columns["block"] = pa.array(np.full(rows, block), pa.int64())
+        return pa.RecordBatch.from_arrays([columns.get(c, pa.nulls(rows, kinds[c])).cast(kinds[c]) for c in kinds], list(kinds))
+
+    for x, y in zip(cuts[:-1], cuts[1:], strict=True):
+        if x == y:
+            continue
+        part = [c if len(c) and whole[c].all() else c[:0] for c in own[x:y]]
+        lengths = np.array(list(map(len, part)))
+        codes, owner = np.concatenate(part).astype(np.int64), np.repeat(np.arange(y - x), lengths)
+        sums = {c: np.bincount(owner, v[codes], minlength=y - x) for c, v in (*counts.items(), ("n_links", many))}
+        digests = [hashlib.sha256(";".join(map(groups.__getitem__, c.tolist())).encode()).hexdigest() if len(c) else "" for c in part]
+        reps = many[codes]
+        place = np.repeat(begin[codes] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
+        cells = np.sort(np.repeat(owner, reps) * max(p, 1) + local[place])
+        new = np.flatnonzero(np.concatenate([[True], cells[1:] != cells[:-1]])[: len(cells)])
+        of, pair = np.divmod(cells[new], max(p, 1))
+        seen = np.diff(np.append(new, len(cells)))
+        held += np.bincount(pair, minlength=p)
+        spans = np.searchsorted(of, np.arange(y - x + 1)).tolist()
+        steps = [_packed(np.diff(pair[i:j], prepend=0)) for i, j in zip(spans[:-1], spans[1:], strict=True)]
+        times = [_packed(seen[i:j]) for i, j in zip(spans[:-1], spans[1:], strict=True)]
+        yield batch(y - x, doc_id=ids.slice(x, y - x), groups_sha256=pa.array(digests, pa.utf8()), pairs=pa.array(steps, pa.binary()), times=pa.array(times, pa.binary()), **{c: pa.array(v.astype(np.int64)) for c, v in sums.items()})
+    yield batch(p, pair=pa.array(np.arange(p), pa.int32()), a=pa.array(pairs >> 32), b=pa.array(pairs & 0xFFFFFFFF), docs=pa.array(held))
 
 
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
@@ -213,24 +263,42 @@ def _summed(key: tuple, docs: pa.Table, pairs: pa.Table) -> pa.Table:
     count, best = pairs.column("count").to_numpy().astype(np.int64), pairs.column("best").to_numpy().astype(np.int64)
     sums, bests = [], []
     for own, times in zip(docs.column("pairs").to_pylist(), docs.column("times").to_pylist(), strict=True):
-        at, n = np.frombuffer(own, "<u4"), np.frombuffer(times, "<u4").astype(np.int64)
+        at, n = np.cumsum(np.frombuffer(zlib.decompress(own), "<u4")), np.frombuffer(zlib.decompress(times), "<u4").astype(np.int64)
         sums.append(int((n * count[at]).sum()))
         bests.append(int((n * best[at]).sum()))
     out = {c: docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")} | {"n_best": pa.array(bests, pa.int64()), "count_sum": pa.array(sums, pa.int64())}
     return pa.table({f.split()[0]: out[f.split()[0]] for f in RESULT.split(", ")})
 
 
-def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 1 << 24) -> DataFrame:
+@contextmanager
+def _dealt_by_a_part_of_the_keys(spark: SparkSession) -> Iterator[None]:
+    """Within, Spark joins sides that are dealt out by some of the join's keys as they lie."""
+    before = spark.conf.get(_PART_OF_KEYS)
+    spark.conf.set(_PART_OF_KEYS, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(_PART_OF_KEYS, before)
+
+
+def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 1 << 25) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document; ``a`` is a byte-level tokenizer's file, ``b`` a sentence-piece model that puts a blank before a text."""
+    spark = docs.sparkSession
     cut = written(_cut(docs, block_bytes), "segments")
-    used = cut.where("segment is not null").select(F.col("block").alias("place"), "code", "segment")
-    tokens = written(tokenized(used.select("segment").distinct(), a, b), "tokens")
-    known = tokens.select("segment", "whole").join(aligned(tokens.where("whole")), "segment", "left")
-    counted = cut.where("segment is null").select("block", "doc_id", "codes").groupBy("block").cogroup(used.join(known, "segment").drop("segment").groupBy("place")).applyInArrow(_counted, COUNTED)
-    counted = written(counted, "counted")
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    used = cut.where("segment is not null").select(F.col("block").alias("place"), "code", "segment").repartition(tasks, "place")
+    first, second = (used.select("place", "code", t.alias("tokens")) for t in tokens_of(F.col("segment"), a, b))
+    known = aligned(first, second, "place", "code")
+    rows = cut.where("segment is null").select("block", "doc_id", "codes", "segments").groupBy("block")
+    with _dealt_by_a_part_of_the_keys(spark):
+        counted = written(rows.cogroup(known.groupBy("place")).applyInArrow(_as_table, COUNTED), "counted")
     pairs = counted.where("pair is not null").select("block", "pair", "a", "b", "docs")
     counts = pairs.groupBy("a", "b").agg(F.sum("docs").alias("count"))
     counts = counts.withColumn("best", (F.col("count") == F.max("count").over(Window.partitionBy("a"))).cast("long"))
     rows = counted.where("pair is null").select("block", "doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256", "pairs", "times")
     found = pairs.select("block", "pair", "a", "b").join(counts, ["a", "b"]).select(F.col("block").alias("place"), "pair", "count", "best")
     return rows.groupBy("block").cogroup(found.groupBy("place")).applyInArrow(_summed, RESULT)
+
+
+def _as_table(key: tuple, docs: pa.Table, known: pa.Table) -> pa.Table:
+    return pa.Table.from_batches(list(_counted(key, docs, known)))
