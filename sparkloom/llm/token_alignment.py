@@ -22,6 +22,7 @@ bytes for each of its words.
 from __future__ import annotations
 
 import hashlib
+import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
@@ -45,6 +46,8 @@ _PRINTED[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
 _PART_OF_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 _CODERS: dict[tuple[str, str], tuple] = {}
 CUT = "block long, code int, segment string, doc_id long, codes binary, segments int"
+#: Bits of a token's number where it shares 31 of them with its length.
+ID_BITS = 20
 #: Segments whose tokens are counted at once when a block is put together.
 PIECE = 1 << 20
 
@@ -65,8 +68,24 @@ def segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(starts, bounds), coded.dictionary
 
 
+def _ranked(path: str, table: list[bytes]) -> Callable[[str], list[int]] | None:
+    """The same tokenizer by the faster library of ranks, where its merges make its ids in order and nothing but its pattern precedes them."""
+    with open(path, encoding="utf-8") as f:
+        head = json.load(f)
+    model, cut = head["model"], head["pre_tokenizer"] or {}
+    merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
+    in_order = all(model["vocab"].get(m.replace(" ", "", 1)) == 256 + i for i, m in enumerate(merges)) and len(model["vocab"]) == 256 + len(merges)
+    if head["normalizer"] or cut.get("type") != "ByteLevel" or not cut.get("use_regex") or cut.get("add_prefix_space") or model["byte_fallback"] or model["ignore_merges"] or not in_order:
+        return None
+    import tiktoken
+
+    # Fixed value: the pattern of byte-level pieces.
+    pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks={table[i]: i for i in range(len(model["vocab"]))}, special_tokens={}).encode_ordinary
+
+
 def _coders(a: str, b: str) -> tuple:
-    """Both tokenizers, and the bytes of each of their ids; one for each worker."""
+    """Both tokenizers' ids of a text that begins with a blank, and the bytes of each of their ids; one for each worker."""
     if (a, b) not in _CODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
@@ -77,79 +96,78 @@ def _coders(a: str, b: str) -> tuple:
         # the byte-level alphabet: printed Latin-1 as itself, the other bytes from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(sorted(set(range(256)) - set(shown)))}
-        of_a = {i: bytes(map(byte_of.get, t)) if all(c in byte_of for c in t) else t.encode() for t, i in first.get_vocab().items()}
+        words = sorted(first.get_vocab().items(), key=lambda x: x[1])
+        of_a = [bytes(map(byte_of.get, t)) if all(c in byte_of for c in t) else t.encode() for t, _ in words]
         of_b = [bytes([int(p[3:-1], 16)]) if second.is_byte(i) else p.replace("▁", " ").encode() for i in range(len(second)) for p in (second.id_to_piece(i),)]
-        _CODERS[a, b] = first, second, of_a, of_b
+        if max(len(of_a), len(of_b)) >= 1 << ID_BITS or max(map(len, of_a + of_b)) >= 1 << 31 - ID_BITS:
+            raise ValueError("a token's number or length is too large for one whole number of 32 bits")
+        encode_a = _ranked(a, of_a) or (lambda text: first.encode(text, add_special_tokens=False).ids)
+        _CODERS[a, b] = encode_a, lambda text: second.encode(text[1:]), of_a, of_b
     return _CODERS[a, b]
 
 
-def _split(texts: pa.Array, encode: Callable[[str], list[int]], table: list[bytes] | dict[int, bytes], sizes: np.ndarray) -> pa.Array:
-    """The tokens of each segment, null where they don't give it back: of all plain ones at once, of the others one by one."""
+def _split(texts: pa.Array, encode: Callable[[str], list[int]], table: list[bytes], sizes: np.ndarray, together: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """All tokens of some segments, id and length in one number, and where each segment's begin; one that they don't give back has none. Plain segments are encoded many at once, the others one by one."""
     data, bounds = text_bytes(texts)
     n = len(texts)
     second = np.minimum(bounds[:-1] + 1, len(data) - 1)
     # neither tokenizer joins these to a neighbour
     plain = (np.diff(bounds) > 1) & _PRINTED[data[second]] & (data[bounds[1:] - 1] != 32)
     whole = texts.filter(pa.array(plain)).to_pylist()
-    ids = np.array(encode("".join(whole)) if whole else [], np.int64)
+    some = [np.array(encode("".join(whole[i : i + together])), np.int32) for i in range(0, len(whole), together)]
+    ids = np.concatenate([np.zeros(0, np.int32), *some])
     if b"".join(map(table.__getitem__, ids.tolist())) != "".join(whole).encode():
         plain[:], ids = False, ids[:0]
-    out: list[np.ndarray | None] = [None] * n
-    lengths = np.diff(bounds)[plain]
-    cuts = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum(lengths)) + 1
-    parts, counts, null = [ids.astype(np.int32)], np.zeros(n, np.int64), np.zeros(n, bool)
+    cuts = np.searchsorted(np.cumsum(sizes[ids]), np.cumsum(np.diff(bounds)[plain])) + 1
+    counts = np.zeros(n, np.int64)
     counts[plain] = np.diff(np.concatenate([[0], cuts]))
-    odd = np.flatnonzero(~plain)
-    for i, text in zip(odd.tolist(), texts.take(pa.array(odd)).to_pylist(), strict=True):
+    odd = np.flatnonzero(~plain).tolist()
+    out = []
+    for i, text in zip(odd, texts.take(pa.array(odd, pa.int64())).to_pylist(), strict=True):
         own = encode(text)
-        null[i] = b"".join(map(table.__getitem__, own)) != text.encode()
-        out[i] = np.array([] if null[i] else own, np.int32)
-        counts[i] = len(out[i])
+        out.append(np.array(own if b"".join(map(table.__getitem__, own)) == text.encode() else [], np.int32))
+        counts[i] = len(out[-1])
     starts = np.concatenate([[0], np.cumsum(counts)])
     every = np.zeros(starts[-1], np.int32)
-    every[np.repeat(plain, counts)] = parts[0]
-    for i in odd.tolist():
-        every[starts[i] : starts[i + 1]] = out[i]
-    tokens = pa.StructArray.from_arrays([pa.array(every, pa.int32()), pa.array(sizes[every], pa.int32())], ["id", "size"])
-    return pa.ListArray.from_arrays(pa.array(np.where(np.append(null, False), None, starts), pa.int32(), from_pandas=True), tokens)
-
-
-_TOKENS = "array<struct<id:int,size:int>>"
-
-
-def tokens_of(segment: Column, a: str, b: str) -> tuple[Column, Column]:
-    """Both tokenizers' tokens of a segment: arrays of id and length in bytes; null where they don't give the segment's bytes back."""
+    every[np.repeat(plain, counts)] = ids
+    for i, own in zip(odd, out, strict=True):
+        every[starts[i] : starts[i + 1]] = own
+    return (sizes[every] << ID_BITS | every).astype(np.int32), starts
 
-    @F.arrow_udf(_TOKENS)
-    def first(texts: pa.Array) -> pa.Array:
-        coder, _, table, _ = _coders(a, b)
-        sizes = np.array([len(table[i]) for i in range(len(table))], np.int64)
-        return _split(texts, lambda t: coder.encode(t, add_special_tokens=False).ids, table, sizes)
 
-    @F.arrow_udf(_TOKENS)
-    def second(texts: pa.Array) -> pa.Array:
-        _, coder, _, table = _coders(a, b)
-        return _split(texts, lambda t: coder.encode(t[1:]), table, np.array(list(map(len, table)), np.int64))
+def tokens_of(segment: Column, a: str, b: str) -> Column:
+    """Both tokenizers' tokens of a segment, as one array of two: each token's id and, above ``ID_BITS``, its length in bytes; none where they don't give the segment's bytes back."""
 
-    return first(segment), second(segment)
+    @F.arrow_udf("array<array<int>>")
+    def tokens(texts: pa.Array) -> pa.Array:
+        *coders, of_a, of_b = _coders(a, b)
+        sides = [_split(texts, encode, table, np.array(list(map(len, table)), np.int64)) for encode, table in zip(coders, (of_a, of_b), strict=True)]
+        n = len(texts)
+        lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x, pa.int32())) for x, starts in sides]
+        in_turn = pa.concat_arrays(lists).take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n + 1, 2), pa.int32()), in_turn)
 
+    return tokens(segment)
 
-def aligned(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
-    """The key, n_a, n_b, n_groups, groups ('a1,a2|b1;...') and links (each of a and b, in one number) of rows with ``tokens`` of both sides; the plan has no exchange where both are dealt out by a part of the key."""
 
-    def placed(rows: DataFrame, side: str) -> DataFrame:
-        exploded = rows.select(*key, F.posexplode("tokens").alias("pos", "t")).select(*key, "pos", "t.id", "t.size")
-        ends = exploded.withColumn("end", F.sum("size").over(Window.partitionBy(*key).orderBy("pos")))
-        return ends.select(*key, "end", F.col("id").alias(side), (F.col("end") - F.col("size")).alias(f"start_{side}"))
+def aligned(tokens: DataFrame, *key: str) -> DataFrame:
+    """The key, n_a, n_b, n_groups, groups ('a1,a2|b1;...') and links (each of a and b, in one number) of rows with ``tokens`` (see ``tokens_of``); where these are dealt out by a part of the key, the plan has no exchange."""
+    in_order = Window.partitionBy(*key).orderBy("end")
 
-    both = placed(a, "a").join(placed(b, "b"), [*key, "end"], "full")
-    cut = (F.col("a").isNotNull() & F.col("b").isNotNull()).cast("int")
-    both = both.withColumn("cut", cut).withColumn("group", F.sum("cut").over(Window.partitionBy(*key).orderBy("end")) - F.col("cut"))
+    def placed(side: int) -> DataFrame:
+        exploded = tokens.select(*key, F.posexplode_outer(F.col("tokens")[side]).alias("pos", "t")).where("pos is not null")
+        size = F.shiftrightunsigned("t", ID_BITS).cast("long")
+        ends = exploded.withColumn("size", size).withColumn("end", F.sum("size").over(Window.partitionBy(*key).orderBy("pos")))
+        return ends.select(*key, "end", F.col("t").bitwiseAND((1 << ID_BITS) - 1).alias("id"), (F.col("end") - F.col("size")).alias("start"))
 
-    def listed(side: str) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col(side).isNotNull(), F.struct(F.col(f"start_{side}").alias("start"), "end", F.col(side).alias("id")))))
+    def grouped(side: int, name: str) -> DataFrame:
+        """A row for each group of one side: its tokens in order. A group's number is how many cuts, ends of both sides, lie before it."""
+        cuts = placed(1 - side).select(*key, "end", F.lit(1).alias("cut"))
+        flagged = placed(side).join(cuts.hint("merge"), [*key, "end"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
+        numbered = flagged.withColumn("group", F.sum("cut").over(in_order) - F.col("cut"))
+        return numbered.groupBy(*key, "group").agg(F.array_sort(F.collect_list(F.struct("start", "end", "id"))).alias(name))
 
-    groups = both.groupBy(*key, "group").agg(listed("a").alias("a"), listed("b").alias("b"))
+    groups = grouped(0, "a").join(grouped(1, "b").hint("merge"), [*key, "group"])
 
     def linked(x: Column) -> Column:
         touched = F.filter("b", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
@@ -161,8 +179,7 @@ def aligned(a: DataFrame, b: DataFrame, *key: str) -> DataFrame:
     groups = groups.select(*key, "group", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(shown("a"), F.lit("|"), shown("b")).alias("ids"), F.flatten(F.transform("a", linked)).alias("links"))
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "ids"))), lambda x: x["ids"]), ";")
     sums = F.sum("n_a").cast("int").alias("n_a"), F.sum("n_b").cast("int").alias("n_b"), F.count("*").cast("int").alias("n_groups")
-    # a side without tokens did not give the text back
-    return groups.groupBy(*key).agg(*sums, text.alias("groups"), F.flatten(F.collect_list("links")).alias("links")).where("n_a > 0 and n_b > 0")
+    return groups.groupBy(*key).agg(*sums, text.alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
 
 
 def _cut(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -286,9 +303,8 @@ def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 1 << 25) -> Da
     spark = docs.sparkSession
     cut = written(_cut(docs, block_bytes), "segments")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    used = cut.where("segment is not null").select(F.col("block").alias("place"), "code", "segment").repartition(tasks, "place")
-    first, second = (used.select("place", "code", t.alias("tokens")) for t in tokens_of(F.col("segment"), a, b))
-    known = aligned(first, second, "place", "code")
+    used = cut.where("segment is not null").select(F.col("block").alias("place"), "code", "segment")
+    known = aligned(used.select("place", "code", tokens_of(F.col("segment"), a, b).alias("tokens")).repartition(tasks, "place"), "place", "code")
     rows = cut.where("segment is null").select("block", "doc_id", "codes", "segments").groupBy("block")
     with _dealt_by_a_part_of_the_keys(spark):
         counted = written(rows.cogroup(known.groupBy("place")).applyInArrow(_as_table, COUNTED), "counted")

@@ -22,7 +22,7 @@ TEXTS = [
 def brute(texts):
     a, b = Tokenizer.from_file(public_tokenizer(A_FILE)), SentencePieceProcessor(model_file=public_tokenizer(B_FILE))
     a.encode_special_tokens = True
-    coders = A._coders(public_tokenizer(A_FILE), public_tokenizer(B_FILE))
+    coders = A._coders(public_tokenizer(A_FILE), public_tokenizer(B_FILE))  # for the bytes of ids only
     docs, held = [], Counter()
     for t in texts:
         whole = (" " + t).encode() if t else b""
