@@ -45,9 +45,13 @@ _PRINTED[0x21:0x7F] = True
 _PRINTED[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
 _PART_OF_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 _CODERS: dict[tuple[str, str], tuple] = {}
-CUT = "block long, code int, segment string, doc_id long, codes binary, segments int"
+CUT = "block long, run int, segments array<string>, doc_id long, codes binary, sizes binary"
+#: Different segments of a block that are aligned as one text.
+RUN = 64
 #: Bits of a token's number where it shares 31 of them with its length.
 ID_BITS = 20
+#: Stands for a token in segments that are not given back.
+NONE = (1 << ID_BITS) - 1
 #: Segments whose tokens are counted at once when a block is put together.
 PIECE = 1 << 20
 
@@ -107,7 +111,7 @@ def _coders(a: str, b: str) -> tuple:
 
 
 def _split(texts: pa.Array, encode: Callable[[str], list[int]], table: list[bytes], sizes: np.ndarray, together: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """All tokens of some segments, id and length in one number, and where each segment's begin; one that they don't give back has none. Plain segments are encoded many at once, the others one by one."""
+    """All tokens of some segments, and where each segment's begin; one that they don't give back has none. Plain segments are encoded many at once, the others one by one."""
     data, bounds = text_bytes(texts)
     n = len(texts)
     second = np.minimum(bounds[:-1] + 1, len(data) - 1)
@@ -132,26 +136,41 @@ def _split(texts: pa.Array, encode: Callable[[str], list[int]], table: list[byte
     every[np.repeat(plain, counts)] = ids
     for i, own in zip(odd, out, strict=True):
         every[starts[i] : starts[i + 1]] = own
-    return (sizes[every] << ID_BITS | every).astype(np.int32), starts
+    return every, starts
 
 
-def tokens_of(segment: Column, a: str, b: str) -> Column:
-    """Both tokenizers' tokens of a segment, as one array of two: each token's id and, above ``ID_BITS``, its length in bytes; none where they don't give the segment's bytes back."""
+def tokens_of(run: Column, a: str, b: str) -> Column:
+    """Both tokenizers' tokens of a run of segments, as one array of two: each token's id and, above ``ID_BITS``, its length in bytes. A segment that either doesn't give back is ``NONE`` on both sides."""
 
     @F.arrow_udf("array<array<int>>")
-    def tokens(texts: pa.Array) -> pa.Array:
+    def tokens(runs: pa.Array) -> pa.Array:
         *coders, of_a, of_b = _coders(a, b)
-        sides = [_split(texts, encode, table, np.array(list(map(len, table)), np.int64)) for encode, table in zip(coders, (of_a, of_b), strict=True)]
-        n = len(texts)
-        lists = [pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(x, pa.int32())) for x, starts in sides]
+        texts = runs.flatten().cast(pa.large_string())
+        bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(runs).to_numpy(zero_copy_only=False))])
+        tables = [np.array(list(map(len, table)), np.int64) for table in (of_a, of_b)]
+        sides = [_split(texts, encode, table, sizes) for encode, table, sizes in zip(coders, (of_a, of_b), tables, strict=True)]
+        lost = np.flatnonzero(np.logical_or.reduce([np.diff(starts) == 0 for _, starts in sides]))
+        lengths = pc.binary_length(texts).to_numpy()
+        lists = []
+        for (ids, starts), sizes in zip(sides, tables, strict=True):
+            packed = (sizes[ids] << ID_BITS | ids).astype(np.int32)
+            if len(lost):
+                parts = [packed[x:y] for x, y in zip(starts[:-1], starts[1:], strict=True)]
+                for i in lost.tolist():
+                    most = (1 << 31 - ID_BITS) - 1
+                    steps = [min(most, lengths[i] - x) for x in range(0, lengths[i], most)]
+                    parts[i] = np.array([x << ID_BITS | NONE for x in steps], np.int32)
+                packed, starts = np.concatenate(parts), np.concatenate([[0], np.cumsum(list(map(len, parts)))])
+            lists.append(pa.ListArray.from_arrays(pa.array(starts[bounds], pa.int32()), pa.array(packed, pa.int32())))
+        n = len(runs)
         in_turn = pa.concat_arrays(lists).take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
         return pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n + 1, 2), pa.int32()), in_turn)
 
-    return tokens(segment)
+    return tokens(run)
 
 
 def aligned(tokens: DataFrame, *key: str) -> DataFrame:
-    """The key, n_a, n_b, n_groups, groups ('a1,a2|b1;...') and links (each of a and b, in one number) of rows with ``tokens`` (see ``tokens_of``); where these are dealt out by a part of the key, the plan has no exchange."""
+    """The key and its groups: end in bytes, n_a, n_b, ids ('a1,a2|b1') and links (each of a and b, in one number), in no order, of rows with ``tokens`` (see ``tokens_of``); where these are dealt out by a part of the key, the plan has no exchange."""
     in_order = Window.partitionBy(*key).orderBy("end")
 
     def placed(side: int) -> DataFrame:
@@ -176,10 +195,8 @@ def aligned(tokens: DataFrame, *key: str) -> DataFrame:
     def shown(side: str) -> Column:
         return F.array_join(F.transform(side, lambda x: x["id"].cast("string")), ",")
 
-    groups = groups.select(*key, "group", F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(shown("a"), F.lit("|"), shown("b")).alias("ids"), F.flatten(F.transform("a", linked)).alias("links"))
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("group", "ids"))), lambda x: x["ids"]), ";")
-    sums = F.sum("n_a").cast("int").alias("n_a"), F.sum("n_b").cast("int").alias("n_b"), F.count("*").cast("int").alias("n_groups")
-    return groups.groupBy(*key).agg(*sums, text.alias("groups"), F.flatten(F.collect_list("links")).alias("links"))
+    of_group = F.element_at("a", -1)["end"].cast("int").alias("end"), F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(shown("a"), F.lit("|"), shown("b")).alias("ids"), F.flatten(F.transform("a", linked)).alias("links")
+    return groups.groupBy(*key).agg(F.collect_list(F.struct(*of_group)).alias("groups"))
 
 
 def _cut(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -189,12 +206,15 @@ def _cut(docs: DataFrame, block_bytes: int) -> DataFrame:
         codes, starts, different = segments(part.column("text"))
         codes = codes.astype("<u2" if len(different) <= 1 << 16 else "<u4")
         own = [codes[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:], strict=True)]
-        n, m = part.num_rows, len(different)
+        n, cuts = part.num_rows, [*range(0, len(different), RUN), len(different)]
+        m = len(cuts) - 1
+        runs = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), different.cast(pa.utf8()))
+        sizes = pc.binary_length(different).to_numpy().astype("<u4").tobytes()
         columns = {
-            "block": pa.array(np.full(n + m, block)), "code": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(m), pa.int32())]),
-            "segment": pa.concat_arrays([pa.nulls(n, pa.utf8()), different.cast(pa.utf8())]),
+            "block": pa.array(np.full(n + m, block)), "run": pa.concat_arrays([pa.nulls(n, pa.int32()), pa.array(np.arange(m), pa.int32())]),
+            "segments": pa.concat_arrays([pa.nulls(n, runs.type), runs]),
             "doc_id": pa.concat_arrays([part.column("doc_id"), pa.nulls(m, pa.int64())]), "codes": pa.concat_arrays([pa.array(own, pa.binary()), pa.nulls(m, pa.binary())]),
-            "segments": pa.concat_arrays([pa.array(np.full(n, m), pa.int32()), pa.nulls(m, pa.int32())]),
+            "sizes": pa.concat_arrays([pa.array([sizes], pa.binary()), pa.nulls(n + m - 1, pa.binary())]),
         }
         return pa.RecordBatch.from_pydict(columns)
 
@@ -224,26 +244,32 @@ def _packed(x: np.ndarray) -> bytes:
 def _counted(key: tuple, docs: pa.Table, known: pa.Table) -> Iterator[pa.RecordBatch]:
     """A block's documents put together from their segments' alignments: a row for each, and one for each id pair of the block with its number of documents."""
     block, n = key[0].as_py(), docs.num_rows
-    m = max(docs.column("segments").to_pylist(), default=0)
-    at = known.column("code").to_numpy()
-    counts = {c: np.zeros(m, np.int32) for c in ("n_a", "n_b", "n_groups")}
-    for c, x in counts.items():
-        x[at] = known.column(c).to_numpy()
-    groups: list[str] = [""] * m
-    for i, g in zip(at.tolist(), known.column("groups").to_pylist(), strict=True):
-        groups[i] = g
-    links = pa.concat_arrays(known.column("links").chunks) if known.num_rows else pa.array([], pa.list_(pa.int64()))
+    sizes = np.frombuffer(next(x for x in docs.column("sizes").to_pylist() if x is not None), "<u4").astype(np.int64)
+    m, ends = len(sizes), np.cumsum(sizes)
+    # a group lies in the segment in which it ends; ends count from the beginning of a run
+    lists = known.column("groups")
+    lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
+    flat = lists.flatten()
+    first = RUN * np.repeat(known.column("run").to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    end = (ends - sizes)[first] + flat.field("end").to_numpy() if len(flat) else np.zeros(0, np.int64)
+    order = np.argsort(end, kind="stable")
+    of, flat = np.searchsorted(ends, end[order]), flat.take(pa.array(order))
+    counts = {c: np.bincount(of, flat.field(c).to_numpy(), minlength=m).astype(np.int32) for c in ("n_a", "n_b")} | {"n_groups": np.bincount(of, minlength=m).astype(np.int32)}
+    ids, places = flat.field("ids").to_pylist(), np.searchsorted(of, np.arange(m + 1)).tolist()
+    groups = [";".join(ids[x:y]) for x, y in zip(places[:-1], places[1:], strict=True)]
+    links = flat.field("links")
     pairs, local = np.unique(links.flatten().to_numpy(), return_inverse=True)
     local = local.astype(np.int32)
-    many, begin = np.zeros(m, np.int64), np.zeros(m, np.int64)
-    many[at] = pc.list_value_length(links).to_numpy(zero_copy_only=False)
-    begin[at] = np.cumsum(many[at]) - many[at]
+    per_group = np.concatenate([[0], np.cumsum(pc.list_value_length(links).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    begin = per_group[places[:-1]]
+    many = per_group[places[1:]] - begin
+    lost = np.array([str(NONE) in g and g.split("|")[0].split(",")[0] == str(NONE) for g in groups], bool)
+    counts["n_a"][lost] = 0
     whole, width, p = counts["n_a"] > 0, "<u2" if m <= 1 << 16 else "<u4", len(pairs)
-    held = np.zeros(p, np.int64)
+    held = np.zeros(p, np.int64)  # of pairs of segments that are given back; others have none in a document
     own = [np.frombuffer(x, width) for x in docs.column("codes").to_pylist()]
     cuts = np.searchsorted(np.cumsum([len(x) for x in own]) // PIECE, np.arange(sum(map(len, own)) // PIECE + 2)) if n else [0]
-    ids = docs.column("doc_id").combine_chunks() if n else pa.nulls(0, pa.int64())
-    ids = pa.concat_arrays(ids.chunks) if isinstance(ids, pa.ChunkedArray) else ids
+    numbers = pa.concat_arrays(docs.column("doc_id").chunks)
 
     def batch(rows: int, **columns: pa.Array) -> pa.RecordBatch:
         kinds = {f.split()[0]: {"long": pa.int64(), "int": pa.int32(), "string": pa.utf8(), "binary": pa.binary()}[f.split()[1]] for f in COUNTED.split(", ")}
@@ -268,7 +294,7 @@ def _counted(key: tuple, docs: pa.Table, known: pa.Table) -> Iterator[pa.RecordB
         spans = np.searchsorted(of, np.arange(y - x + 1)).tolist()
         steps = [_packed(np.diff(pair[i:j], prepend=0)) for i, j in zip(spans[:-1], spans[1:], strict=True)]
         times = [_packed(seen[i:j]) for i, j in zip(spans[:-1], spans[1:], strict=True)]
-        yield batch(y - x, doc_id=ids.slice(x, y - x), groups_sha256=pa.array(digests, pa.utf8()), pairs=pa.array(steps, pa.binary()), times=pa.array(times, pa.binary()), **{c: pa.array(v.astype(np.int64)) for c, v in sums.items()})
+        yield batch(y - x, doc_id=numbers.slice(x, y - x), groups_sha256=pa.array(digests, pa.utf8()), pairs=pa.array(steps, pa.binary()), times=pa.array(times, pa.binary()), **{c: pa.array(v.astype(np.int64)) for c, v in sums.items()})
     yield batch(p, pair=pa.array(np.arange(p), pa.int32()), a=pa.array(pairs >> 32), b=pa.array(pairs & 0xFFFFFFFF), docs=pa.array(held))
 
 
@@ -298,14 +324,14 @@ def _dealt_by_a_part_of_the_keys(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(_PART_OF_KEYS, before)
 
 
-def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 1 << 25) -> DataFrame:
+def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document; ``a`` is a byte-level tokenizer's file, ``b`` a sentence-piece model that puts a blank before a text."""
     spark = docs.sparkSession
     cut = written(_cut(docs, block_bytes), "segments")
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    used = cut.where("segment is not null").select(F.col("block").alias("place"), "code", "segment")
-    known = aligned(used.select("place", "code", tokens_of(F.col("segment"), a, b).alias("tokens")).repartition(tasks, "place"), "place", "code")
-    rows = cut.where("segment is null").select("block", "doc_id", "codes", "segments").groupBy("block")
+    used = cut.where("run is not null").select(F.col("block").alias("place"), "run", "segments")
+    known = aligned(used.select("place", "run", tokens_of(F.col("segments"), a, b).alias("tokens")).repartition(tasks, "place"), "place", "run")
+    rows = cut.where("run is null").select("block", "doc_id", "codes", "sizes").groupBy("block")
     with _dealt_by_a_part_of_the_keys(spark):
         counted = written(rows.cogroup(known.groupBy("place")).applyInArrow(_as_table, COUNTED), "counted")
     pairs = counted.where("pair is not null").select("block", "pair", "a", "b", "docs")
