@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.config import DEFAULTS, Config
@@ -91,7 +91,15 @@ def emptied(store: DataFrame) -> DataFrame:
 
 
 def located(offsets: DataFrame, chunked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """For each row (key, offset): the chunk that holds it, the earliest to start, else ''. Equal keys first, then the range."""
-    c = chunked.select(F.col(key).alias("k"), "vector_id", "start", "end")
-    joined = offsets.join(c, (F.col(key) == F.col("k")) & (F.col("start") <= F.col("offset")) & (F.col("offset") < F.col("end")), "left")
-    return joined.groupBy(key, "offset").agg(F.coalesce(F.min_by("vector_id", "start"), F.lit("")).alias("vector_id"))
+    """For each different row (key, offset): the chunk that holds it, the earliest to start, else ''.
+
+    Offsets and the chunks' last places are put in one order, from the end: of all
+    chunks that end behind an offset the one that starts first holds it, if any does.
+    No offset meets more than one row.
+    """
+    ends = chunked.where(F.col(key).isNotNull()).select(key, (F.col("end") - 1).cast("long").alias("at"), F.lit(0).alias("kind"), F.struct("start", "vector_id").alias("chunk"))
+    asked = offsets.select(key, F.col("offset").cast("long").alias("at"), F.lit(1).alias("kind"), F.lit(None).cast(ends.schema["chunk"].dataType).alias("chunk"))
+    first = F.min("chunk").over(Window.partitionBy(key).orderBy(F.desc("at"), "kind"))
+    rows = ends.unionByName(asked).withColumn("first", first).where("kind = 1")
+    held = F.when((F.col("first.start") <= F.col("at")) & F.col(key).isNotNull(), F.col("first.vector_id")).otherwise("")
+    return rows.groupBy(key, F.col("at").cast(offsets.schema["offset"].dataType).alias("offset")).agg(F.first(held).alias("vector_id"))

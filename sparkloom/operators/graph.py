@@ -169,6 +169,41 @@ def neighbours(edges: DataFrame, ids: DataFrame, depth: int = 1, limit: int | No
     return seen, ranked.withColumn("truncated", F.max("rank").over(Window.partitionBy()) > limit).where(F.col("rank") <= limit)
 
 
+def adjacency(edges: DataFrame, most: int = MOST_EDGES) -> DataFrame:
+    """id, place and the edge for both ends of each positive edge: of each entity the ``most`` most confident, written in the order of ids. No traversal with such a limit follows others."""
+    positive = edges.where("polarity = 'positive'")
+    ends = positive.withColumn("node", F.col("source_id")).union(positive.where("source_id <> target_id").withColumn("node", F.col("target_id")))
+    place = F.row_number().over(Window.partitionBy("node").orderBy(F.desc("confidence"), "id"))
+    return written(ends.withColumn("place", place).where(F.col("place") <= most).sortWithinPartitions("node"), "adjacency")
+
+
+def neighbours_of_each(adjacent: DataFrame, ids: DataFrame, depth: int = 1, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """``neighbours`` of many entities (id), each on its own, from an ``adjacency``: start, id, distance, and the edges with start, hop, rank and truncated.
+
+    Frontiers are keyed by the entity they started from; a hop is one join of all of
+    them, which meets ``limit`` edges of an entity at most.
+    """
+    limit = bounded(limit)
+    seen = written(ids.select(F.col("id").alias("start")).distinct().withColumns({"id": F.col("start"), "distance": F.lit(0)}), "seen")
+    near = adjacent.where(F.col("place") <= limit).drop("place")
+    names = [c for c in near.columns if c != "node"]
+    found = None
+    for hop in range(1, max(1, min(3, depth)) + 1):
+        front = seen.where(F.col("distance") == hop - 1).select("start", F.col("id").alias("node"))
+        if found is not None:  # starts that have enough edges stop
+            front = front.join(found.groupBy("start").count().where(F.col("count") >= limit), "start", "left_anti")
+        order = Window.partitionBy("start").orderBy(F.desc("confidence"), "id")
+        met = front.join(near, "node").select("start", *names).dropDuplicates(["start", "id"])
+        used = written(met.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).drop("n").withColumn("hop", F.lit(hop)), "hop")
+        reached = used.select("start", F.col("source_id").alias("id")).union(used.select("start", F.col("target_id").alias("id"))).distinct()
+        new = written(reached.join(seen.select("start", "id"), ["start", "id"], "left_anti").withColumn("distance", F.lit(hop)), "seen")
+        found = used if found is None else found.union(used.join(found.select("start", "id"), ["start", "id"], "left_anti").select(*used.columns))
+        seen = seen.union(new.select(*seen.columns))
+    order = Window.partitionBy("start").orderBy("hop", F.desc("confidence"), "id")
+    ranked = found.withColumn("rank", F.row_number().over(order)).withColumn("truncated", F.count("*").over(Window.partitionBy("start")) > limit)
+    return seen, ranked.where(F.col("rank") <= limit)
+
+
 def search(nodes: DataFrame, term: str, limit: int) -> DataFrame:
     """Entities whose name holds the term: equal names first, then by mentions."""
     equal = F.when((F.col("canonical_name") == term.lower()) | (F.lower("display_name") == term.lower()), 0).otherwise(1)
