@@ -328,8 +328,9 @@ def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 1 << 23) -> Da
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document; ``a`` is a byte-level tokenizer's file, ``b`` a sentence-piece model that puts a blank before a text."""
     spark = docs.sparkSession
     cut = written(_cut(docs, block_bytes), "segments")
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     used = cut.where("run is not null").select(F.col("block").alias("place"), "run", "segments")
+    # a task sorts one block's tokens, seldom two
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cut.select("block").distinct().count())
     known = aligned(used.select("place", "run", tokens_of(F.col("segments"), a, b).alias("tokens")).repartition(tasks, "place"), "place", "run")
     rows = cut.where("run is null").select("block", "doc_id", "codes", "sizes").groupBy("block")
     with _dealt_by_a_part_of_the_keys(spark):
