@@ -1,9 +1,10 @@
 """Operator 11: alignment of two tokenizers' tokens, by relational plans.
 
 Tokens are exploded with their positions; windowed sums of their lengths give the
-bytes where each ends; an equal join on those ends gives the cuts that both
-tokenizers make, running counts of cuts the groups, and a join by group with
-overlapping ranges the links.
+bytes where each ends; where both sides have a token with one end, matched by a window
+over text and end, both tokenizers cut; running counts of cuts give the groups, and
+tokens of a group with overlapping ranges the links. (An equal join in place of the
+window needs each side twice, sorted anew: see the README's figures.)
 
 Neither tokenizer ever joins characters across a blank between a character that is
 none and a printed one (``segments``), so a text's alignment is that of its segments, one
@@ -26,13 +27,12 @@ import json
 import os
 import zlib
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.llm.terms import text_bytes
@@ -43,7 +43,6 @@ from sparkloom.storage import written
 _PRINTED = np.zeros(256, bool)
 _PRINTED[0x21:0x7F] = True
 _PRINTED[[*range(0xC3, 0xE1), *range(0xE4, 0xF5)]] = True
-_PART_OF_KEYS = "spark.sql.requireAllClusterKeysForCoPartition"
 _CODERS: dict[tuple[str, str], tuple] = {}
 CUT = "block long, run int, segments array<string>, doc_id long, codes binary, sizes binary"
 #: Different segments of a block that are aligned as one text.
@@ -171,22 +170,20 @@ def tokens_of(run: Column, a: str, b: str) -> Column:
 
 def aligned(tokens: DataFrame, *key: str) -> DataFrame:
     """The key and its groups: end in bytes, n_a, n_b, ids ('a1,a2|b1') and links (each of a and b, in one number), in no order, of rows with ``tokens`` (see ``tokens_of``); where these are dealt out by a part of the key, the plan has no exchange."""
-    in_order = Window.partitionBy(*key).orderBy("end")
+    sides = tokens.select(*key, F.posexplode("tokens").alias("side", "list"))
+    exploded = sides.select(*key, "side", F.posexplode("list").alias("pos", "t"))
+    size = F.shiftrightunsigned("t", ID_BITS).cast("int")
+    placed = exploded.withColumn("end", F.sum(size).over(Window.partitionBy(*key, "side").orderBy("pos")).cast("int"))
+    placed = placed.select(*key, "side", "end", F.col("t").bitwiseAND((1 << ID_BITS) - 1).alias("id"), (F.col("end") - size).alias("start"))
+    # tokens of both sides with one end are a cut; a side has one token at an end at most
+    cut = (F.count("*").over(Window.partitionBy(*key, "end")) == 2).cast("int")
+    before = F.sum("cut").over(Window.partitionBy(*key).orderBy("end")) / 2 - F.col("cut")
+    numbered = placed.withColumn("cut", cut).withColumn("group", before.cast("int"))
 
-    def placed(side: int) -> DataFrame:
-        exploded = tokens.select(*key, F.posexplode_outer(F.col("tokens")[side]).alias("pos", "t")).where("pos is not null")
-        size = F.shiftrightunsigned("t", ID_BITS).cast("long")
-        ends = exploded.withColumn("size", size).withColumn("end", F.sum("size").over(Window.partitionBy(*key).orderBy("pos")))
-        return ends.select(*key, "end", F.col("t").bitwiseAND((1 << ID_BITS) - 1).alias("id"), (F.col("end") - F.col("size")).alias("start"))
+    def listed(side: int) -> Column:
+        return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("start", "end", "id"))))
 
-    def grouped(side: int, name: str) -> DataFrame:
-        """A row for each group of one side: its tokens in order. A group's number is how many cuts, ends of both sides, lie before it."""
-        cuts = placed(1 - side).select(*key, "end", F.lit(1).alias("cut"))
-        flagged = placed(side).join(cuts.hint("merge"), [*key, "end"], "left").withColumn("cut", F.coalesce("cut", F.lit(0)))
-        numbered = flagged.withColumn("group", F.sum("cut").over(in_order) - F.col("cut"))
-        return numbered.groupBy(*key, "group").agg(F.array_sort(F.collect_list(F.struct("start", "end", "id"))).alias(name))
-
-    groups = grouped(0, "a").join(grouped(1, "b").hint("merge"), [*key, "group"])
+    groups = numbered.groupBy(*key, "group").agg(listed(0).alias("a"), listed(1).alias("b"))
 
     def linked(x: Column) -> Column:
         touched = F.filter("b", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
@@ -313,17 +310,6 @@ def _summed(key: tuple, docs: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({f.split()[0]: out[f.split()[0]] for f in RESULT.split(", ")})
 
 
-@contextmanager
-def _dealt_by_a_part_of_the_keys(spark: SparkSession) -> Iterator[None]:
-    """Within, Spark joins sides that are dealt out by some of the join's keys as they lie."""
-    before = spark.conf.get(_PART_OF_KEYS)
-    spark.conf.set(_PART_OF_KEYS, "false")
-    try:
-        yield
-    finally:
-        spark.conf.set(_PART_OF_KEYS, before)
-
-
 def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document; ``a`` is a byte-level tokenizer's file, ``b`` a sentence-piece model that puts a blank before a text."""
     spark = docs.sparkSession
@@ -333,8 +319,7 @@ def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 1 << 23) -> Da
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cut.select("block").distinct().count())
     known = aligned(used.select("place", "run", tokens_of(F.col("segments"), a, b).alias("tokens")).repartition(tasks, "place"), "place", "run")
     rows = cut.where("run is null").select("block", "doc_id", "codes", "sizes").groupBy("block")
-    with _dealt_by_a_part_of_the_keys(spark):
-        counted = written(rows.cogroup(known.groupBy("place")).applyInArrow(_as_table, COUNTED), "counted")
+    counted = written(rows.cogroup(known.groupBy("place")).applyInArrow(_as_table, COUNTED), "counted")
     pairs = counted.where("pair is not null").select("block", "pair", "a", "b", "docs")
     counts = pairs.groupBy("a", "b").agg(F.sum("docs").alias("count"))
     counts = counts.withColumn("best", (F.col("count") == F.max("count").over(Window.partitionBy("a"))).cast("long"))
