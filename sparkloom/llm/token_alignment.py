@@ -47,6 +47,8 @@ _CODERS: dict[tuple[str, str], tuple] = {}
 CUT = "block long, run int, segments array<string>, doc_id long, codes binary, sizes binary"
 #: Different segments of a block that are aligned as one text.
 RUN = 64
+#: Runs that a task encodes at once.
+TOGETHER = 256
 #: Bits of a token's number where it shares 31 of them with its length.
 ID_BITS = 20
 #: Stands for a token in segments that are not given back.
@@ -141,8 +143,7 @@ def _split(texts: pa.Array, encode: Callable[[str], list[int]], table: list[byte
 def tokens_of(run: Column, a: str, b: str) -> Column:
     """Both tokenizers' tokens of a run of segments, as one array of two: each token's id and, above ``ID_BITS``, its length in bytes. A segment that either doesn't give back is ``NONE`` on both sides."""
 
-    @F.arrow_udf("array<array<int>>")
-    def tokens(runs: pa.Array) -> pa.Array:
+    def of_some(runs: pa.Array) -> pa.Array:
         *coders, of_a, of_b = _coders(a, b)
         texts = runs.flatten().cast(pa.large_string())
         bounds = np.concatenate([[0], np.cumsum(pc.list_value_length(runs).to_numpy(zero_copy_only=False))])
@@ -165,12 +166,16 @@ def tokens_of(run: Column, a: str, b: str) -> Column:
         in_turn = pa.concat_arrays(lists).take(pa.array(np.arange(2 * n).reshape(2, n).T.ravel()))
         return pa.ListArray.from_arrays(pa.array(np.arange(0, 2 * n + 1, 2), pa.int32()), in_turn)
 
+    @F.arrow_udf("array<array<int>>")
+    def tokens(runs: pa.Array) -> pa.Array:
+        return pa.concat_arrays([of_some(runs.slice(i, TOGETHER)) for i in range(0, max(len(runs), 1), TOGETHER)])
+
     return tokens(run)
 
 
 def aligned(tokens: DataFrame, *key: str) -> DataFrame:
     """The key and its groups: end in bytes, n_a, n_b, ids ('a1,a2|b1') and links (each of a and b, in one number), in no order, of rows with ``tokens`` (see ``tokens_of``); where these are dealt out by a part of the key, the plan has no exchange."""
-    sides = tokens.select(*key, F.posexplode("tokens").alias("side", "list"))
+    sides = tokens.select(*key, F.posexplode_outer("tokens").alias("side", "list"))
     exploded = sides.select(*key, "side", F.posexplode("list").alias("pos", "t"))
     size = F.shiftrightunsigned("t", ID_BITS).cast("int")
     placed = exploded.withColumn("end", F.sum(size).over(Window.partitionBy(*key, "side").orderBy("pos")).cast("int"))
