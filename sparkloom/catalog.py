@@ -162,9 +162,13 @@ sw AS (SELECT doc_id, section_id, title, start, i, substr(content, i + 1, 600) A
 sk AS (SELECT doc_id, section_id, title, start, i, regexp_replace(raw, '^\\s+|\\s+$', '', 'g') AS text FROM sw),
 sn AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY section_id, i) - 1 AS chunk_id FROM sk WHERE length(text) > 0)
 SELECT doc_id || '_' || chunk_id AS vector_id, CAST(doc_id AS VARCHAR) AS document_id, CAST(chunk_id AS INTEGER) AS chunk_id, section_id, title AS section_title,
-  array_to_string(list_sort(list_distinct(list_filter({_sql_phrases('text')}, lambda p: length(p) >= 2))), ', ') AS entities FROM sn""")
+  array_to_string(list_sort(list_distinct(list_filter({_sql_phrases('text')}, lambda p: length(p) >= 2))), ', ') AS entities,
+  coalesce(source, '') || '.txt' AS filename, 'txt' AS file_type, '2024-01-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') AS indexed_at FROM sn JOIN (SELECT DISTINCT doc_id, source FROM documents) USING (doc_id)""")
 def section_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return D.flat_metadata(D.chunks(documents(spark, sf_dir)))
+    """The metadata of each chunk, with what is known of its document's file."""
+    day = F.concat(F.lit("2024-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    docs = documents(spark, sf_dir).withColumns({"filename": F.concat(F.coalesce("source", F.lit("")), F.lit(".txt")), "file_type": F.lit("txt"), "indexed_at": day})
+    return D.flat_metadata(D.chunks(docs, keep=("filename", "file_type", "indexed_at")))
 
 
 @query(f"WITH {_CHUNKS} SELECT vector_id, array_to_string(list_sort(list_distinct(list_filter({_sql_phrases('text')}, lambda p: length(p) >= 2))), ', ') AS entities FROM c")
@@ -350,7 +354,7 @@ def query_rewrite(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"{_ASKED}, {_CONTEXT}, {_sql_understood('q')}, bs AS (SELECT query_id, greatest(least(score, 1.0), 0.0) AS best FROM cx WHERE citation_id = 1) "
+    f"{_ASKED}, {_CONTEXT}, {_sql_understood('q')}, bs AS (SELECT query_id, round(greatest(least(score, 1.0), 0.0), 3) AS best FROM cx WHERE citation_id = 1) "
     "SELECT us.query_id, CASE WHEN best IS NULL THEN 'local_llm' WHEN best >= 0.9 AND intent IN ('lookup', 'question_answering') THEN 'direct' WHEN complexity >= 0.7 THEN 'online_llm' ELSE 'local_llm' END AS route, round(coalesce(best, 0), 6) AS confidence FROM us LEFT JOIN bs USING (query_id)"
 )
 def route_decision(spark: SparkSession, sf_dir: str) -> DataFrame:

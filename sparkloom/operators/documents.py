@@ -61,8 +61,10 @@ def chunks(docs: DataFrame, key: str = "doc_id", config: Config = DEFAULTS, stru
 
 
 def flat_metadata(chunked: DataFrame, key: str = "doc_id") -> DataFrame:
-    """A chunk's scalar metadata, with -1 and '' where there is none."""
-    return chunked.select("vector_id", F.col(key).cast("string").alias("document_id"), "chunk_id", F.coalesce("section_id", F.lit(-1)).alias("section_id"), F.coalesce("section_title", F.lit("")).alias("section_title"), F.array_join("entities", ", ").alias("entities"))
+    """A chunk's scalar metadata, with -1 and '' where there is none; filename, file_type and indexed_at are its document's, so that a store of chunks can name and list what it holds."""
+    of_file = [(F.coalesce(F.col(c).cast("string"), F.lit("")) if c in chunked.columns else F.lit("")).alias(c) for c in ("filename", "file_type", "indexed_at")]
+    own = F.coalesce("section_id", F.lit(-1)).alias("section_id"), F.coalesce("section_title", F.lit("")).alias("section_title"), F.array_join("entities", ", ").alias("entities")
+    return chunked.select("vector_id", F.coalesce(F.col(key).cast("string"), F.lit("")).alias("document_id"), "chunk_id", *own, *of_file)
 
 
 def listing(indexed: DataFrame) -> DataFrame:

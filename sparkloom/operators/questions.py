@@ -91,9 +91,9 @@ def context_text(selected: DataFrame) -> DataFrame:
 
 
 def routed(understanding: DataFrame, selected: DataFrame, config: Config = DEFAULTS) -> DataFrame:
-    """query_id, route, reason, confidence: the best chunk's score, clamped, and the query's intent and complexity decide."""
+    """query_id, route, reason, confidence: the best chunk's score, clamped and rounded to three digits, and the query's intent and complexity decide."""
     best = selected.where("citation_id = 1").select("query_id", F.greatest(F.least(F.col("score"), F.lit(1.0)), F.lit(0.0)).alias("best"))
-    rows = understanding.join(best, "query_id", "left").withColumn("confidence", F.coalesce("best", F.lit(0.0)))
+    rows = understanding.join(best, "query_id", "left").withColumn("confidence", F.round(F.coalesce("best", F.lit(0.0)), 3))
     direct = (F.col("confidence") >= config.route_confidence) & F.col("intent").isin("lookup", "question_answering")
     complicated = F.col("complexity") >= config.route_complexity
     empty = F.col("best").isNull()
