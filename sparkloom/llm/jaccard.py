@@ -88,8 +88,8 @@ def _signed(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, key binary, signature binary")
 
 
-def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
-    """The member classes (columns MEMBER and rep), each with the shingles of its representative's text."""
+def _sets(docs: DataFrame, members: DataFrame, repeated: bool) -> DataFrame:
+    """The member classes (columns MEMBER and rep), each with the shingles of its representative's text; ``repeated`` tells that a representative's row may be there several times."""
     names = [f.split()[0] for f in MEMBER.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +104,8 @@ def _sets(docs: DataFrame, members: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(kept.column(c) for c in names), pa.array(sets, pa.binary())], [*names, "shingles"])
 
     joined = docs.join(members.withColumnRenamed("rep", "doc_id"), "doc_id")
-    return joined.select("text", *names).mapInArrow(run, MEMBER + ", shingles binary")
+    sets = joined.select("text", *names).mapInArrow(run, MEMBER + ", shingles binary")
+    return sets.groupBy(*names).agg(F.any_value("shingles").alias("shingles")) if repeated else sets  # of a hot row each task sends one
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
@@ -199,19 +200,19 @@ def _totals(links: DataFrame) -> tuple[int, list[float]]:
     return pairs, weights
 
 
-def _pilot(docs: DataFrame, classes: DataFrame, threshold: float, recall: float, trees: int) -> int:
+def _pilot(docs: DataFrame, classes: DataFrame, threshold: float, recall: float, trees: int, repeated: bool) -> int:
     """The depth to begin with, from exact checks of a bounded sample of small leaves at full depth; it misses half of what it may, as a second run costs more than a deeper prefix saves."""
     leaves, several = _leaves(classes, DEPTH, trees, max(1, classes.count() * trees // SAMPLED))
     some = several.where(F.col("n") <= FEW).orderBy(F.xxhash64("prefix"), "prefix").limit(PILOT)
     chosen = leaves.join(F.broadcast(some.select("prefix", F.col("n").alias("size"))), "prefix")  # at most PILOT x FEW classes
     members = written(chosen.join(classes.select("key", "rep", "n", "signature"), "key").select("rep", F.col("prefix").cast("string").alias("part"), "size", "tree", "key", "n", "signature"), "pilot")
-    sets = _sets(docs, F.broadcast(members)).withColumn("two", F.lit(False)).withColumn("chunk", F.lit(0).cast("long"))
+    sets = _sets(docs, F.broadcast(members), repeated).withColumn("two", F.lit(False)).withColumn("chunk", F.lit(0).cast("long"))
     links = sets.groupBy(F.pmod(F.xxhash64("part"), F.lit(16))).applyInPandas(lambda rows: _check(rows, threshold, DEPTH, trees), LINKS)
     _, weights = _totals(links)
     return prefix_depth(weights if weights[0] else [1.0, *(chance(threshold, d, trees) for d in range(1, DEPTH + 1))], 1 - (1 - recall) / 2)
 
 
-def _links(docs: DataFrame, classes: DataFrame, depth: int, threshold: float, trees: int) -> DataFrame:
+def _links(docs: DataFrame, classes: DataFrame, depth: int, threshold: float, trees: int, repeated: bool) -> DataFrame:
     """The table LINKS: key, links (documents of linked classes), low (a linked class), pairs, weights; a row for each block of a class."""
     leaves, several = _leaves(classes, depth, trees)
     stars = leaves.join(several.select("prefix", "first"), "prefix").where("key <> first").select(F.col("key").alias("a"), F.col("first").alias("b"))
@@ -228,7 +229,7 @@ def _links(docs: DataFrame, classes: DataFrame, depth: int, threshold: float, tr
         by_leaf = leaves.join(of_leaf.join(fewer, "root", "left_semi").select("prefix", "root", F.col("n").alias("size")), "prefix")
         by_leaf = by_leaf.select("key", F.col("prefix").cast("string").alias("part"), "size", "tree", "root").join(classes.select("key", "rep", "n", "signature"), "key")
         members = members.join(fewer, "root", "left_anti").unionByName(by_leaf)
-    sets = _sets(docs, members.drop("root"))
+    sets = _sets(docs, members.drop("root"), repeated)
     chunks = F.ceil(F.col("size") / CHUNK)
     groups = max(1, -(-found.count() // TOGETHER))
     chunked = sets.withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("key", F.lit(1)), F.col("chunks")))
@@ -246,9 +247,10 @@ def jaccard_join(docs: DataFrame, threshold: float = THRESHOLD, recall: float =
     numbered = texts.where("doc_id is not null")
     signed = written(_signed(numbered), "signatures")
     classes = written(signed.groupBy("key").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.any_value("signature").alias("signature")), "classes")
-    depth = _pilot(numbered, classes, threshold, recall, trees)
+    repeated = not signed.groupBy("doc_id", "key").count().where("count > 1").isEmpty()
+    depth = _pilot(numbered, classes, threshold, recall, trees, repeated)
     while True:
-        links = written(_links(numbered, classes, depth, threshold, trees), "links")
+        links = written(_links(numbered, classes, depth, threshold, trees, repeated), "links")
         pairs, weights = _totals(links)
         if depth == 1 or pairs >= recall * weights[0]:
             break

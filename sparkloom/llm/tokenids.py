@@ -81,7 +81,9 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
         if position:
             yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([-1]), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([total.tobytes()], pa.binary())], names)
 
-    ordered = docs.selectExpr("cast(doc_id as long) doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # rows of one number, and equal rows, may be more than a task should hold
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("row"))
+    ordered = keyed.repartitionByRange("doc_id", "hash", "row").sortWithinPartitions("doc_id", "hash", "row").select("doc_id", "text")
     return ordered.mapInArrow(run, "shard long, position long, doc_id long, ids binary, counts binary")
 
 

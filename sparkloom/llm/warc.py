@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -103,21 +104,28 @@ def write_archives(pages: DataFrame, folder: str, least: int = 0, compress: bool
     return written(with_referrals(pages, least).mapInArrow(run, "path string, records long, bytes long"), "archives")
 
 
-def _member(data: memoryview, start: int) -> tuple[bytes, int] | None:
-    """The text of the gzip member at ``start`` and its end, unless it is damaged or doesn't begin with a record."""
-    unpacker, at, out = zlib.decompressobj(31), start, []
-    try:
-        while not unpacker.eof:
-            piece = data[at : at + 65_536]
-            if not piece:
-                return None
+def _member(data: memoryview, start: int) -> tuple[bytes, int, bool] | None:
+    """The text of the gzip member at ``start``, its end and whether it is whole, unless it doesn't begin with a record; of a damaged or short one, the text up to the damage and its place."""
+    unpacker, at, out, size = zlib.decompressobj(31), start, [], 65_536
+    while not unpacker.eof:
+        piece = data[at : at + size]
+        if not piece:  # cut short
+            out.append(unpacker.flush())
+            break
+        before = unpacker.copy()
+        try:
             out.append(unpacker.decompress(piece))
-            at += len(piece)
-            if len(out) == 1 and not out[0].startswith(VERSION[: len(out[0])]):
-                return None
-    except zlib.error:
-        return None
-    return b"".join(out), at - len(unpacker.unused_data)
+        except zlib.error:
+            if size == 1:
+                break
+            unpacker, size = before, 1 if size <= 256 else 256  # what comes before the damage, step by step
+            continue
+        at += len(piece)
+        head = b"".join(out[:64])[: len(VERSION)]
+        if not VERSION.startswith(head):
+            return None
+    text = b"".join(out)
+    return (text, at - len(unpacker.unused_data), unpacker.eof) if text.startswith(VERSION) else None
 
 
 def _fields(head: bytes) -> dict[str, str] | None:
@@ -168,39 +176,57 @@ def _record(text: bytes | memoryview, start: int) -> tuple[dict[str, str], bytes
     return fields, block, stop
 
 
-def _found(view: memoryview, at: int) -> tuple[list[tuple[dict[str, str], bytes] | None], int] | None:
-    """The records that begin at ``at``, plain or as a gzip member of one or more, and their end; None stands for damage between a member's records."""
+#: Marks a record out of a damaged member.
+DAMAGED = {"in a damaged member": "yes"}
+
+
+def _sound(fields: dict[str, str], block: bytes) -> bool:
+    """Whether a record of a damaged member has digests, and all of them hold as far as they can be compared."""
+    said = fields.get("warc-block-digest"), fields.get("warc-payload-digest")
+    if said[0] != f"sha1:{digest(block)}" or not fields.get("warc-record-id", "").startswith("<"):
+        return False
+    if fields.get("warc-type") == "revisit":
+        return said[1] is None or re.fullmatch("sha1:[A-Z2-7]{32}", said[1]) is not None
+    return said[1] in (None, f"sha1:{digest(block.partition(b"\r\n\r\n")[2])}")
+
+
+def _found(view: memoryview, at: int) -> tuple[list[tuple[dict[str, str], bytes] | None], int, bool] | None:
+    """The records that begin at ``at``, plain or as a gzip member of one or more, their end, and whether they are whole; None stands for damage between a member's records."""
     if bytes(view[at : at + len(MAGIC)]) != MAGIC:
         got = _record(view, at)
-        return got and ([got[:2]], got[2])
+        return got and ([got[:2]], got[2], True)
     if not (member := _member(view, at)):
         return None
-    inner = [None if kind == "gap" else (fields, block) for kind, _, _, fields, block in salvage(member[0])]
-    return (inner, member[1]) if any(inner) else None
+    text, end, whole = member
+    inner = [None if kind == "gap" or not (whole or _sound(fields, block)) else (fields if whole else fields | DAMAGED, block) for kind, _, _, fields, block in salvage(text)]
+    return (inner, end, whole) if any(inner) else None
 
 
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, dict[str, str], bytes]]:
     """("record" or "gap", start, end, fields, block) for all bytes of an archive, in order.
 
-    Records and gaps of one gzip member all have the member's place.
+    Records and gaps of one gzip member all have the member's place, of a damaged one
+    up to the damage; behind that is a gap, an empty one where nothing is left of it.
     """
     view = memoryview(data)
     ahead = dict.fromkeys((MAGIC, VERSION), -1)  # the next place of each, once it is looked for
     at = bad = 0
+    whole = True
     while at < len(data):
         if found := _found(view, at):
-            if bad < at:
+            if bad < at or not whole:
                 yield "gap", bad, at, {}, b""
             for got in found[0]:
                 yield ("record", at, found[1], *got) if got else ("gap", at, found[1], {}, b"")
             at = bad = found[1]
+            whole = found[2]
             continue
         for sign, place in ahead.items():
             if place <= at:
                 place = data.find(sign, at + 1)
                 ahead[sign] = place if place >= 0 else len(data)
         at = min(ahead.values())
-    if bad < len(data):
+    if bad < len(data) or not whole:
         yield "gap", bad, len(data), {}, b""
 
 
@@ -220,6 +246,8 @@ def _rows(path: str, data: bytes) -> Iterator[tuple]:
         said = fields.get("warc-payload-digest", "").removeprefix("sha1:") or None
         lengths = [int(v) for line in head.split(b"\r\n") if (v := line.lower().removeprefix(b"content-length: ")) != line.lower() and v.isdigit()]
         reason = None if revisit or said in (None, digest(payload)) else "the payload differs from its digest"
+        if fields.keys() & DAMAGED.keys():
+            reason = "its member is damaged, its digests hold"
         yield "record", path, start, end - start, reason, _page(fields.get("warc-record-id")), fields.get("warc-target-uri"), (lengths or [None])[0] if revisit else len(payload), said if revisit else digest(payload), fields.get("warc-type"), _page(fields.get("warc-refers-to"))
 
 

@@ -227,3 +227,27 @@ def test_spark_reads_archives_itself(spark, tmp_path):
     rows = warc.read_binary(spark.read.format("binaryFile").load(str(name))).collect()
     assert [(r.kind, r.page_id, r.length) for r in rows if r.kind == "gap"] == [("gap", None, 4)]
     assert [(r.page_id, r.payload_bytes, r.url) for r in rows if r.kind == "record"] == [(3, 2, "urn:x-page:3")]
+
+
+def test_a_damaged_member_of_many_records_gives_those_before():
+    """A member of 100 records, damaged or cut at each tenth of its length."""
+    records = [warc.record(i, f"http://x/{i}", f"page {i} {hashlib.sha256(str(i).encode()).hexdigest()}".encode(), None, "2024-01-01T00:00:00Z") for i in range(100)]
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    member = packer.compress(b"".join(records)) + packer.flush()
+    after = zlib.compressobj(6, zlib.DEFLATED, 31)
+    after = after.compress(records[0]) + after.flush()
+    whole = list(warc.salvage(member))
+    assert [k for k, *_ in whole] == ["record"] * 100
+    for tenth in range(1, 10):
+        at = len(member) * tenth // 10
+        damaged = bytearray(member)
+        damaged[at : at + 8] = b"\xff" * 8
+        for data, next_there in ((bytes(damaged) + after, True), (member[:at], False)):
+            rows = list(warc.salvage(data))
+            got = [block for kind, _, _, _, block in rows if kind == "record"]
+            assert len(got) - next_there >= 100 * (tenth - 1) // 10 and any(kind == "gap" for kind, *_ in rows)
+            assert got[: len(got) - next_there] == [row[4] for row in whole[: len(got) - next_there]]
+            assert not next_there or got[-1] == whole[0][4]
+            # every byte is in a record's place or in a gap
+            places = sorted({(a, b) for _, a, b, _, _ in rows})
+            assert places[0][0] == 0 and places[-1][1] == len(data) and all(x[1] >= y[0] for x, y in zip(places[:-1], places[1:], strict=True))
