@@ -30,15 +30,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     from sparkloom.llm.jaccard import jaccard_join
 
-    # by text, so that rows that share a number or have none count too
-    rows = docs.withColumn("text_hash", F.xxhash64("text"))
-    texts = written(rows.select(F.col("text_hash").alias("doc_id"), "text").dropDuplicates(["doc_id"]), "texts")
-    classes = jaccard_join(texts).select(F.col("doc_id").alias("text_hash"), "class_id")
-    first = rows.groupBy("text_hash").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "text_hash")).alias("first"))
-    stays = first.join(classes, "text_hash").groupBy("class_id").agg(F.min("first").alias("first"))
-    stays = written(stays.select(F.col("first.doc_id").alias("own_id"), F.col("first.text_hash").alias("own_hash")), "stays")
-    kept = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_hash") == F.col("own_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text_hash"]).select(*docs.columns)
+    # by text, so that rows that share a number or have none count too; each different text has a number of its own
+    rows = docs.withColumn("text_key", F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)))
+    texts = written(rows.select("text_key", "text").dropDuplicates(["text_key"]).withColumn("doc_id", F.monotonically_increasing_id()), "texts")
+    classes = jaccard_join(texts.select("doc_id", "text")).join(texts.select("doc_id", "text_key"), "doc_id").select("text_key", "class_id")
+    first = rows.groupBy("text_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("unnumbered"), "doc_id", "text_key")).alias("first"))
+    stays = first.join(classes, "text_key").groupBy("class_id").agg(F.min("first").alias("first"))
+    stays = written(stays.select(F.col("first.doc_id").alias("own_id"), F.col("first.text_key").alias("own_key")), "stays")
+    kept = rows.join(stays, F.col("doc_id").eqNullSafe(F.col("own_id")) & (F.col("text_key") == F.col("own_key")), "left_semi")
+    # of rows with one number and text the least stays
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    least = kept.groupBy("doc_id", "text_key").agg(F.any_value("text").alias("text"), F.min(F.struct(F.lit(0), *others)).alias("others"))
+    return least.select("doc_id", "text", *[F.col(f"others.{c}").alias(c) for c in others]).select(*docs.columns)
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
