@@ -732,6 +732,33 @@ def canonical_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "supplier").select("s_suppkey", name.alias("canonical"), T.display_name(F.col("s_name")).alias("display"), T.entity_id(F.lit("ORG"), name).alias("id"))
 
 
+_DRESSES = (("", ""), ("The ", " Inc."), ("Dr. ", "\u2019s Holdings Group"), ("A ", "'s"), ("  the  Mr. ", ", Co. Ltd"), ("Group ", " & Sons-Labs LLC"))
+
+
+def _sql_dressed() -> str:
+    cases = " ".join(f"WHEN {i} THEN '{a}' || s_name || '{b.replace(chr(39), chr(39) * 2)}'" for i, (a, b) in enumerate(_DRESSES))
+    return f"SELECT s_suppkey, CASE s_suppkey % {len(_DRESSES)} {cases} END AS name, CASE WHEN s_suppkey % 4 = 3 THEN 'PERSON' WHEN s_suppkey % 4 = 2 THEN NULL ELSE 'ORG' END AS kind FROM supplier"
+
+
+_POSSESSIVE = "regexp_replace({x}, '(?i)(''s|\u2019s)([^\\p{{L}}\\p{{N}}_]|$)', '\\2', 'g')"
+_BARE = f"regexp_replace(regexp_replace({_CANON.format(x=_POSSESSIVE.format(x='name'))}, '\\s+', ' ', 'g'), '^(({'|'.join(T.LEADING_NOISE)})( |$))+', '')"
+_SHOWN_NAME = f"trim(regexp_replace({_POSSESSIVE.format(x="trim(regexp_replace(name, '\\s+', ' ', 'g'))")}, ' +', ' ', 'g'))"
+
+
+@query(
+    f"WITH d AS ({_sql_dressed()}), b AS (SELECT *, {_BARE} AS bare, {_SHOWN_NAME} AS tidy FROM d) SELECT s_suppkey, name, CASE WHEN kind = 'PERSON' THEN bare ELSE regexp_replace(bare, '( ({'|'.join(T.ORG_SUFFIXES)}))+$', '') END AS canonical, "
+    "CASE WHEN length(regexp_replace(tidy, '^(?i:(the|a|an)( |$))+', '')) > 0 THEN regexp_replace(tidy, '^(?i:(the|a|an)( |$))+', '') ELSE tidy END AS display FROM b"
+)
+def dressed_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names with titles, articles, possessives and legal suffixes, of several kinds."""
+    rows = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name")
+    name, kind = F.lit(None).cast("string"), F.when(F.col("s_suppkey") % 4 == 3, "PERSON").when(F.col("s_suppkey") % 4 == 2, F.lit(None)).otherwise("ORG")
+    for i, (before, after) in enumerate(_DRESSES):
+        name = F.when(F.col("s_suppkey") % len(_DRESSES) == i, F.concat(F.lit(before), F.col("s_name"), F.lit(after))).otherwise(name)
+    rows = rows.select("s_suppkey", name.alias("name"), kind.alias("kind"))
+    return rows.select("s_suppkey", "name", T.canonical_name(F.col("name"), F.col("kind")).alias("canonical"), T.display_name(F.col("name")).alias("display"))
+
+
 @query()
 def recursive_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.recursive_chunks(D.cleaned(documents(spark, sf_dir)).select("doc_id", "clean_text"), "doc_id", "clean_text")

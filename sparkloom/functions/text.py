@@ -93,10 +93,18 @@ def sections(text: Column) -> Column:
 def windows(content: Column, start: Column, size: int, overlap: int) -> Column:
     """Array of text, start, end: windows of ``size`` characters every ``size - overlap``, stripped, without blank ones."""
 
+    step = size - overlap
+
+    def raw(c: Column) -> Column:
+        if overlap > step:  # a window reaches over more than its neighbour
+            begins = F.when(F.length(c) > 0, F.sequence(F.lit(0), F.length(c) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+            return F.transform(begins, lambda i: F.struct(i.alias("i"), F.substring(c, i + 1, F.lit(size)).alias("raw")))
+        # cut once, since looking for a place walks a text from its start; a window is a piece and the beginning of the next
+        pieces = F.regexp_extract_all(c, F.lit(f"(?s).{{1,{step}}}"), F.lit(0))
+        return let(pieces, lambda p: F.transform(p, lambda x, n: F.struct((n * step).alias("i"), F.concat(x, F.coalesce(F.substring(F.get(p, n + 1), 1, overlap), F.lit(""))).alias("raw"))))
+
     def cut(c: Column) -> Column:
-        begins = F.when(F.length(c) > 0, F.sequence(F.lit(0), F.length(c) - 1, F.lit(size - overlap))).otherwise(F.array().cast("array<int>"))
-        raw = F.transform(begins, lambda i: F.struct(i.alias("i"), F.substring(c, i + 1, F.lit(size)).alias("raw")))
-        return F.transform(raw, lambda w: F.struct(strip(w["raw"]).alias("text"), (w["i"] + F.length(w["raw"]) - F.length(F.regexp_replace(w["raw"], rf"^{_SPACE}+", ""))).alias("at")))
+        return F.transform(raw(c), lambda w: F.struct(strip(w["raw"]).alias("text"), (w["i"] + F.length(w["raw"]) - F.length(F.regexp_replace(w["raw"], rf"^{_SPACE}+", ""))).alias("at")))
 
     kept = F.filter(let(content, cut), lambda w: F.length(w["text"]) > 0)
     return F.transform(kept, lambda w: F.struct(w["text"].alias("text"), (start + w["at"]).alias("start"), (start + w["at"] + F.length(w["text"])).alias("end")))
