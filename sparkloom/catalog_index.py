@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom import storage
-from sparkloom.catalog import _CHUNKS, _EDGE, _REL, SQL, _knn, _shown, documents, graph_logs, graph_tables, query, stated, table
+from sparkloom.catalog import _EDGE, _REL, _SEGMENTS, FILTERS, SQL, _knn, _shown, documents, graph_logs, graph_tables, index_of, query, segments, stated, table
 from sparkloom.functions import sentences as S
 from sparkloom.operators import documents as D
 from sparkloom.operators import graph as G
@@ -14,6 +14,7 @@ from sparkloom.operators import name_index as N
 from sparkloom.operators import postings as P
 from sparkloom.operators import vector_index as V
 from sparkloom.operators.graph_upkeep import GraphStore
+from sparkloom.plans import ask
 from sparkloom.sources.versioned import VersionedTable
 
 
@@ -45,6 +46,19 @@ def bm25_updated_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _shown(P.best(P.updated(index, chunks_of(changed), gone), stated(spark), 20))
 
 
+@query(SQL["bm25_filtered_topk"])
+def bm25_postings_filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best of the chunks that pass a filter, out of the blocks that can hold them."""
+    return _shown(ask.retrieve(index_of(spark, sf_dir), stated(spark), mode="keyword", limit=20, filters=FILTERS, keywords=postings_of(spark, sf_dir)))
+
+
+@query(SQL["hybrid_topk"])
+def hybrid_postings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of hybrid_topk with the keyword list from the postings."""
+    found = ask.retrieve(index_of(spark, sf_dir), stated(spark), mode="hybrid", limit=20, keywords=postings_of(spark, sf_dir))
+    return found.select("query_id", "vector_id", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"), "source")
+
+
 @query()  # approximate: tests/test_vector_index.py measures its recall against knn_embeddings
 def ann_embeddings_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
@@ -144,3 +158,13 @@ def graph_search_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "id", "canonical_name", "mentions_count", F.col("rank").cast("long").alias("rank"))
 
 
+
+
+@query(f"WITH {_REL}, {_SEGMENTS}, n AS (SELECT 'e_' || substr(sha1(type || '|' || canonical_name), 1, 16) AS id, canonical_name, document_id FROM e1) SELECT id, canonical_name, count(DISTINCT document_id) AS mentions_count FROM n WHERE id IN (SELECT id FROM n WHERE document_id = 'c1') GROUP BY ALL")
+def graph_document_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A slice of one document whose filters leave no edge shows the document's entities."""
+    _, edges, own, _ = graph_tables(spark, sf_dir)
+    log = own.unionByName(segments(spark, sf_dir))
+    nodes = G.entities(log)
+    none = G.sliced(nodes, edges, kind="ACQUIRED")[1]
+    return G.shown_nodes(nodes, none, log, 150, document="c1").select("id", "canonical_name", "mentions_count")

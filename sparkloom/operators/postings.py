@@ -160,13 +160,13 @@ def term_weights(index: KeywordIndex, queries: DataFrame, floor: float = 0.25) -
     return wanted.join(found, ["bucket", "term"]).select("query_id", "bucket", "term", weight.alias("weight"))
 
 
-def plan_blocks(index: KeywordIndex, weights: DataFrame, k: int) -> DataFrame:
-    """query_id, bucket, term, weight, segment, salt, block, read: all blocks of the queries' terms, and whether one must be read for the k best chunks."""
+def plan_blocks(index: KeywordIndex, weights: DataFrame, k: int, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, bucket, term, weight, segment, salt, block, read: all blocks of the queries' terms, and whether one must be read for the k best chunks (of those ``allowed``)."""
     buckets = [r[0] for r in weights.select("bucket").distinct().collect()]  # at most index.buckets
     lists = index.rows("postings").where(F.col("bucket").isin(buckets)).select("segment", "bucket", "salt", "term", "block", "top", "average")
     best = F.col("weight") * F.col("top") * F.greatest(F.lit(1.0), F.lit(index.average) / F.col("average"))
     blocks = written(lists.join(_few(weights), ["bucket", "term"]).withColumn("bound", F.greatest(best, F.lit(0.0))), "blocks")
-    first = _scores(index, blocks.where("block = 0"))
+    first = _scores(index, blocks.where("block = 0"), allowed)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"))
     least = first.withColumn("place", F.row_number().over(order)).where(F.col("place") == k).select("query_id", F.col("score").alias("least"))
     of_term = blocks.groupBy("query_id", "term").agg(F.max("bound").alias("best"), F.min("weight").alias("weight"))
@@ -177,22 +177,24 @@ def plan_blocks(index: KeywordIndex, weights: DataFrame, k: int) -> DataFrame:
     return blocks.join(floor, ["query_id", "term"]).withColumn("read", reaches)
 
 
-def _scores(index: KeywordIndex, blocks: DataFrame) -> DataFrame:
-    """query_id, vector_id, score: sums over what some blocks hold of the living chunks."""
+def _scores(index: KeywordIndex, blocks: DataFrame, allowed: DataFrame | None) -> DataFrame:
+    """query_id, vector_id, score: sums over what some blocks hold of the living chunks, or of those allowed."""
     keys = ["segment", "bucket", "salt", "term", "block"]
     buckets = [r[0] for r in blocks.select("bucket").distinct().collect()]  # at most index.buckets
     lists = index.rows("postings").where(F.col("bucket").isin(buckets)).select(*keys, "entries")
     entries = lists.join(_few(blocks.select("query_id", "weight", *keys)), keys).select("query_id", "weight", "segment", F.inline("entries"))
     if len(index.segments) > 1:
         entries = entries.join(index.dead(), ["segment", "vector_id"], "left_anti")
+    if allowed is not None:
+        entries = entries.join(allowed.select("vector_id"), "vector_id", "left_semi")
     return entries.groupBy("query_id", "vector_id").agg(F.round(F.sum(F.col("weight") * _impact(index.k1, index.b, index.average)), 9).alias("score"))
 
 
-def best(index: KeywordIndex, queries: DataFrame, k: int, floor: float = 0.25) -> DataFrame:
-    """query_id, vector_id, score, rank: the k chunks with the best BM25 scores above 0 of each query, ties by vector_id; the same rows as by ``retrieval.bm25_scores`` over all chunks."""
+def best(index: KeywordIndex, queries: DataFrame, k: int, floor: float = 0.25, allowed: DataFrame | None = None) -> DataFrame:
+    """query_id, vector_id, score, rank: the k chunks with the best BM25 scores above 0 of each query, ties by vector_id; the same rows as by ``retrieval.bm25_scores`` over all chunks. ``allowed`` (vector_id) bounds what is found, not the statistics."""
     if not index.chunks:
         return index.spark.createDataFrame([], f"query_id {queries.schema['query_id'].dataType.simpleString()}, vector_id string, score double, rank int")
-    plan = written(plan_blocks(index, written(term_weights(index, queries, floor), "weights"), k), "plan")
-    scored = _scores(index, plan.where("read")).where("score > 0")
+    plan = written(plan_blocks(index, written(term_weights(index, queries, floor), "weights"), k, allowed), "plan")
+    scored = _scores(index, plan.where("read"), allowed).where("score > 0")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vector_id")
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)

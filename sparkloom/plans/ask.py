@@ -11,16 +11,28 @@ from sparkloom.config import DEFAULTS, Config
 from sparkloom.functions.filters import predicate
 from sparkloom.operators import questions as Q
 from sparkloom.operators import retrieval as R
+from sparkloom.operators.postings import KeywordIndex, best
+from sparkloom.operators.vector_index import VectorIndex, nearest
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", limit: int = DEFAULTS.top_k, filters: dict[str, Any] | None = None, config: Config = DEFAULTS) -> DataFrame:
-    """query_id, vector_id, score, source, scores, rank: keyword, semantic, or both lists (each cut to ``limit``) fused. Blank queries find nothing."""
+def retrieve(chunks: DataFrame, queries: DataFrame, mode: str = "hybrid", limit: int = DEFAULTS.top_k, filters: dict[str, Any] | None = None, config: Config = DEFAULTS, keywords: KeywordIndex | None = None, vectors: VectorIndex | None = None) -> DataFrame:
+    """query_id, vector_id, score, source, scores, rank: keyword, semantic, or both lists (each cut to ``limit``) fused. Blank queries find nothing.
+
+    With an index of the same chunks a list comes from that: of ``keywords`` the same
+    rows, of ``vectors`` about the same; filtered semantic lists are always exact.
+    """
     asked = queries.where(F.length(F.trim("query")) > 0)
     lists = []
     if mode in ("semantic", "hybrid"):
         allowed = chunks.where(predicate(chunks, filters))  # pushed into the scan
-        lists.append(("semantic", R.dense_top(allowed, asked, limit)))
-    if mode in ("keyword", "hybrid"):
+        if vectors is not None and not filters:
+            own = asked.select("query_id", R.char_embedding(F.col("query")).alias("embedding"))
+            lists.append(("semantic", nearest(vectors, own, limit, query_key="query_id").withColumn("score", F.round("score", 9))))
+        else:
+            lists.append(("semantic", R.dense_top(allowed, asked, limit)))
+    if mode in ("keyword", "hybrid") and keywords is not None:
+        lists.append(("keyword", best(keywords, asked, limit, allowed=chunks.where(predicate(chunks, filters)) if filters else None)))
+    elif mode in ("keyword", "hybrid"):
         scores = R.bm25_scores(chunks, asked)
         lists.append(("keyword", R.top(R.filtered(scores, chunks, filters) if filters else scores, limit)))
     if not lists:
