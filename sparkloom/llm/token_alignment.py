@@ -54,7 +54,7 @@ ID_BITS = 20
 #: Stands for a token in segments that are not given back.
 NONE = (1 << ID_BITS) - 1
 #: Segments whose tokens are counted at once when a block is put together.
-PIECE = 1 << 20
+PIECE = 1 << 18
 
 
 def segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -73,10 +73,16 @@ def segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False), np.searchsorted(starts, bounds), coded.dictionary
 
 
-def _ranked(path: str, table: list[bytes]) -> Callable[[str], list[int]] | None:
+def _byte_level(path: str) -> Callable[[str], list[int]]:
+    from tokenizers import Tokenizer
+
+    own = Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    return lambda text: own.encode(text, add_special_tokens=False).ids
+
+
+def _ranked(head: dict, table: list[bytes]) -> Callable[[str], list[int]] | None:
     """The same tokenizer by the faster library of ranks, where its merges make its ids in order and nothing but its pattern precedes them."""
-    with open(path, encoding="utf-8") as f:
-        head = json.load(f)
     model, cut = head["model"], head["pre_tokenizer"] or {}
     merges = [m if isinstance(m, str) else " ".join(m) for m in model["merges"]]
     in_order = all(model["vocab"].get(m.replace(" ", "", 1)) == 256 + i for i, m in enumerate(merges)) and len(model["vocab"]) == 256 + len(merges)
@@ -94,19 +100,21 @@ def _coders(a: str, b: str) -> tuple:
     if (a, b) not in _CODERS:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        first, second = Tokenizer.from_file(a), SentencePieceProcessor(model_file=b)
-        first.encode_special_tokens = True
+        second = SentencePieceProcessor(model_file=b)
         # the byte-level alphabet: printed Latin-1 as itself, the other bytes from 256 on
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         byte_of = {chr(x): x for x in shown} | {chr(256 + i): x for i, x in enumerate(sorted(set(range(256)) - set(shown)))}
-        words = sorted(first.get_vocab().items(), key=lambda x: x[1])
-        of_a = [bytes(map(byte_of.get, t)) if all(c in byte_of for c in t) else t.encode() for t, _ in words]
+        with open(a, encoding="utf-8") as f:
+            head = json.load(f)
+        words = head["model"]["vocab"] | {t["content"]: t["id"] for t in head["added_tokens"]}
+        of_a = [b""] * (max(words.values()) + 1)
+        for t, i in words.items():
+            of_a[i] = bytes(map(byte_of.get, t)) if all(c in byte_of for c in t) else t.encode()
         of_b = [bytes([int(p[3:-1], 16)]) if second.is_byte(i) else p.replace("▁", " ").encode() for i in range(len(second)) for p in (second.id_to_piece(i),)]
         if max(len(of_a), len(of_b)) >= 1 << ID_BITS or max(map(len, of_a + of_b)) >= 1 << 31 - ID_BITS:
             raise ValueError("a token's number or length is too large for one whole number of 32 bits")
-        encode_a = _ranked(a, of_a) or (lambda text: first.encode(text, add_special_tokens=False).ids)
+        encode_a = _ranked(head, of_a) or _byte_level(a)
         _CODERS[a, b] = encode_a, lambda text: second.encode(text[1:]), of_a, of_b
     return _CODERS[a, b]
 
@@ -260,6 +268,7 @@ def _counted(key: tuple, docs: pa.Table, known: pa.Table) -> Iterator[pa.RecordB
     ids, places = flat.field("ids").to_pylist(), np.searchsorted(of, np.arange(m + 1)).tolist()
     groups = [";".join(ids[x:y]) for x, y in zip(places[:-1], places[1:], strict=True)]
     links = flat.field("links")
+    del ids, lists, flat, end, order, first
     pairs, local = np.unique(links.flatten().to_numpy(), return_inverse=True)
     local = local.astype(np.int32)
     per_group = np.concatenate([[0], np.cumsum(pc.list_value_length(links).to_numpy(zero_copy_only=False), dtype=np.int64)])
@@ -315,7 +324,7 @@ def _summed(key: tuple, docs: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({f.split()[0]: out[f.split()[0]] for f in RESULT.split(", ")})
 
 
-def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 1 << 23) -> DataFrame:
+def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 6 << 20) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document; ``a`` is a byte-level tokenizer's file, ``b`` a sentence-piece model that puts a blank before a text."""
     spark = docs.sparkSession
     cut = written(_cut(docs, block_bytes), "segments")
