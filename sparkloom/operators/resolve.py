@@ -36,6 +36,14 @@ def sorted_ratio(a: str, b: str) -> float:
     return 200 * common_length(a, b) / (len(a) + len(b)) if a or b else 100.0
 
 
+def _counts(text: str) -> int:
+    """How often the characters of each of 64 kinds occur, up to three times, as bits: names with so many different bits are at least so many insertions and deletions apart."""
+    many: dict[int, int] = {}
+    for x in text:
+        many[ord(x) % 64] = many.get(ord(x) % 64, 0) + 1
+    return sum(((1 << min(n, 3)) - 1) << 3 * kind for kind, n in many.items())
+
+
 class NearNames:
     """Names among which those similar to another are found without comparing all.
 
@@ -51,6 +59,8 @@ class NearNames:
         self.pieces: dict[tuple[int, int, str], list[str]] = {}
         self.lengths: set[int] = set()
         self.sorted: dict[str, str] = {}
+        self.counts: dict[str, int] = {}
+        self.least: dict[str, str] = {}  # of names with the same words
 
     def _apart(self, m: int, n: int) -> int:
         return int((1 - self.share) * (m + n) + 1e-9)
@@ -67,6 +77,8 @@ class NearNames:
         if name in self.sorted:
             return
         text = self.sorted[name] = " ".join(sorted(name.split()))
+        self.counts[name] = _counts(text)
+        self.least[text] = min(name, self.least.get(text, name))
         self.lengths.add(len(text))
         cuts = self._cuts(len(text))
         for i, (a, b) in enumerate(zip(cuts[:-1], cuts[1:], strict=True)):
@@ -91,9 +103,13 @@ class NearNames:
     def best(self, name: str) -> str | None:
         """The known name most similar to another, the least of equal ones, if it reaches the threshold."""
         text = " ".join(sorted(name.split()))
-        where, n, top, best = _places(text), len(text), self.threshold, None
+        if text in self.least:
+            return self.least[text]
+        where, n, top, best, counts = _places(text), len(text), self.threshold, None, _counts(text)
         for other in self.near(name):
             own = self.sorted[other]
+            if (counts ^ self.counts[other]).bit_count() > self._apart(n, len(own)):
+                continue
             score = 200 * _common(where, n, own) / (n + len(own)) if n or own else 100.0
             if score > top or score == top and (best is None or other < best):
                 top, best = score, other
