@@ -32,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,7 +180,7 @@ def _postings(group: pa.Table, number: int, documents: int, total: int, cluster_
     impact = 1_000_000_000 * times // (1000 * times + 8 * m[of])
     ids = np.array(group.column("doc_id").to_pylist(), object)[order]
     for a in range(0, n, cluster_docs):
-        cluster = number << 12 | a // cluster_docs
+        cluster = number << 24 | a // cluster_docs
         own = np.flatnonzero((place[of] >= a) & (place[of] < a + cluster_docs))
         own = own[np.lexsort([place[of[own]], codes[own]])]
         starts = np.flatnonzero(np.concatenate([[True], codes[own][1:] != codes[own][:-1]]))
@@ -243,7 +244,7 @@ def clustered_index(docs: DataFrame, sample: int = 4096, depth: int = 6, group_b
     parts = np.maximum(1, np.ceil(shares * max(1 << levels, volume / group_bytes))).astype(np.int64)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        turn = np.zeros(len(parts), np.int64)
+        turn = (TaskContext.get().partitionId() * 0x9E3779B1 + np.arange(len(parts)) * 40_503) % parts  # tasks begin at different groups
         for batch in batches:
             for part in slices(batch, "text"):
                 x = term_counts(part.column("text"))
