@@ -324,7 +324,7 @@ def _summed(key: tuple, docs: pa.Table, pairs: pa.Table) -> pa.Table:
     return pa.table({f.split()[0]: out[f.split()[0]] for f in RESULT.split(", ")})
 
 
-def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 6 << 20) -> DataFrame:
+def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 1 << 22) -> DataFrame:
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of every document; ``a`` is a byte-level tokenizer's file, ``b`` a sentence-piece model that puts a blank before a text."""
     spark = docs.sparkSession
     cut = written(_cut(docs, block_bytes), "segments")
