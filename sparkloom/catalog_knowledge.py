@@ -16,7 +16,7 @@ from sparkloom.operators import documents as D
 from sparkloom.operators import relations as K
 from sparkloom.operators import resolve
 from sparkloom.plans import knowledge
-from sparkloom.storage import written
+from sparkloom.storage import large, spread, written
 
 _S, _N, _R = ("{s}", "{s}", "PROPN"), ("{n}", "{n}", "PROPN"), ("{r}", "{r}", "PROPN")
 #: name: words (text, lemma, pos, tag, dep, head, label, entity) and relations (source, kind, type, target, kind, predicate, confidence, polarity).
@@ -112,7 +112,7 @@ def tokens(spark: SparkSession, sf_dir: str, together: bool = False) -> DataFram
     """The token table of all sentences about all suppliers: a document for each sentence, or for each supplier."""
     words = [(name, i, *word[:6], word[6], word[7]) for name, (sentence, _) in SENTENCES.items() for i, word in enumerate(sentence)]
     stated = spark.createDataFrame(words, f"name string, {_TOKEN}")
-    rows = suppliers(spark, sf_dir).crossJoin(F.broadcast(stated))  # a stated set of some two hundred words
+    rows = spread(suppliers(spark, sf_dir)).crossJoin(F.broadcast(stated))  # a stated set of some two hundred words
     order = {name: i for i, name in enumerate(SENTENCES)}
     number = F.create_map(*[F.lit(x) for pair in order.items() for x in pair])[F.col("name")]
     text = _filled(F.col("text"))
@@ -173,7 +173,7 @@ def entity_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the parser marked, typed; the sentence that is too long is left out first."""
     t = K.with_extents(tokens(spark, sf_dir))
     kept = K.sentences(t)
-    return K.mentions(t.join(kept.select(*K.S), [*K.S], "left_semi")).select("document_id", "token", "name", "kind", "canonical")
+    return K.mentions(t.join(large(kept.select(*K.S)), [*K.S], "left_semi")).select("document_id", "token", "name", "kind", "canonical")
 
 
 def _sql_sentences() -> str:
@@ -235,7 +235,7 @@ def document_graph_size(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nodes and positive edges of each document's own graph."""
     nodes, edges = knowledge.projection(*(written(x, "log") for x in document_graphs(spark, sf_dir)))
     counts = nodes.groupBy("document_id").agg(F.count("*").alias("nodes"))
-    return counts.join(edges.groupBy("document_id").agg(F.count("*").alias("edges")), "document_id")
+    return counts.join(large(edges.groupBy("document_id").agg(F.count("*").alias("edges"))), "document_id")
 
 
 #: Names in the order of a document, and what each is resolved to; % stands for the supplier's number.

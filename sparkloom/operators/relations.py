@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from sparkloom.config import DEFAULTS
 from sparkloom.functions import text as T
 from sparkloom.functions.text import canonical_name, display_name
-from sparkloom.storage import written
+from sparkloom.storage import large, written
 
 # Entity labels of the parser, and head nouns of enterprise types.
 LABELS = {
@@ -118,10 +118,10 @@ def mentions(tokens: DataFrame) -> DataFrame:
     """document_id, sent_id, token (its first), name, canonical, kind of every entity that the parser marked; dates and money are none."""
     entity = tokens.where("ent_id is not null")
     bounds = entity.groupBy(*S, "ent_id").agg(F.min("i").alias("first"), F.max("i").alias("last"))
-    roots = entity.join(bounds, [*S, "ent_id"]).where((F.col("head") == F.col("i")) | (F.col("head") < F.col("first")) | (F.col("head") > F.col("last")))
-    spans = bounds.join(roots.groupBy(*S, "ent_id").agg(F.min("i").alias("root")), [*S, "ent_id"])
+    roots = entity.join(large(bounds), [*S, "ent_id"]).where((F.col("head") == F.col("i")) | (F.col("head") < F.col("first")) | (F.col("head") > F.col("last")))
+    spans = bounds.join(large(roots.groupBy(*S, "ent_id").agg(F.min("i").alias("root"))), [*S, "ent_id"])
     named = _named(spans, tokens, ["ent_id"]).where(~F.col("kind").isin(*UNLINKED))
-    return named.join(bounds.select(*S, "ent_id", F.col("first").alias("token")), [*S, "ent_id"]).select(*S, "token", "name", "canonical", "kind")
+    return named.join(large(bounds.select(*S, "ent_id", F.col("first").alias("token"))), [*S, "ent_id"]).select(*S, "token", "name", "canonical", "kind")
 
 
 def _children(tokens: DataFrame, prefix: str, parent: str) -> DataFrame:
@@ -137,7 +137,7 @@ def predicates(tokens: DataFrame) -> DataFrame:
     grand = _children(tokens, "g", "c_i").groupBy(*S, "c_i").agg(
         F.min(F.when(F.col("g_dep") == "prep", F.struct("g_i", "g_lower")))["g_lower"].alias("c_prep"), F.max(F.col("g_lower").isin("no", "neither")).alias("c_no")
     )
-    both = below.join(grand, [*S, "c_i"], "left")
+    both = below.join(large(grand), [*S, "c_i"], "left")
     subject = F.col("c_dep").isin("nsubj", "nsubjpass") & (F.col("c_lower").isin(*QUANTIFIERS) | F.coalesce("c_no", F.lit(False)))
     facts = both.groupBy(*S, "verb").agg(
         F.max(F.col("c_dep").isin("auxpass", "nsubjpass")).alias("passive"),
@@ -145,7 +145,7 @@ def predicates(tokens: DataFrame) -> DataFrame:
         F.min(F.when(F.col("c_dep") == "prep", F.struct("c_i", "c_lower")))["c_lower"].alias("prep"),
         F.min(F.when(F.col("c_dep").isin("acomp", "attr", "oprd") & F.col("c_lower").isin(*COMPLEMENTS), F.struct("c_i", F.concat_ws(" ", "c_lower", "c_prep").alias("words"))))["words"].alias("complement"),
     )
-    rows = verbs.join(facts, [*S, "verb"], "left")
+    rows = verbs.join(large(facts), [*S, "verb"], "left")
     said = F.concat_ws(" ", "lemma", F.coalesce("complement", "prep"))
     kind = F.coalesce(_map(PREDICATES, said), _map(PREDICATES, F.col("lemma")))
     passive = F.coalesce("passive", F.lit(False))
@@ -156,31 +156,31 @@ def predicates(tokens: DataFrame) -> DataFrame:
 def subjects(tokens: DataFrame, verbs: DataFrame) -> DataFrame:
     """document_id, sent_id, verb, subject, relative: subjects and their conjuncts, antecedents of relatives, the noun before a conjoined verb."""
     key = [*S, "verb"]
-    own = verbs.join(_children(tokens, "c", "verb").where(F.col("c_dep").isin(*SUBJECTS)), key)
+    own = verbs.join(large(_children(tokens, "c", "verb").where(F.col("c_dep").isin(*SUBJECTS))), key)
     relative = (F.col("c_tag") == "WP") | F.col("c_lower").isin("who", "which", "that")
     head = F.col("verb_head") != F.col("verb")
     named = own.where(~relative).select(*key, F.col("c_i").alias("subject"), F.lit(False).alias("relative"))
-    more = named.join(_children(tokens, "g", "subject").where("g_dep = 'conj'"), [*S, "subject"]).select(*key, F.col("g_i").alias("subject"), "relative")
+    more = named.join(large(_children(tokens, "g", "subject").where("g_dep = 'conj'")), [*S, "subject"]).select(*key, F.col("g_i").alias("subject"), "relative")
     found = named.union(more).union(own.where(relative & head).select(*key, "verb_head", F.lit(True)))
-    without = verbs.join(found.select(*key), key, "left_anti")
+    without = verbs.join(large(found.select(*key)), key, "left_anti")
     clause = without.where((F.col("verb_dep") == "relcl") & head).select(*key, "verb_head", F.lit(True))
     before = tokens.where(F.col("pos").isin("NOUN", "PROPN", "VERB")).select(*S, "i", "pos")
-    nearest = without.where("verb_dep = 'conj'").join(before, [*S]).where(F.col("i") < F.col("verb")).groupBy(*key).agg(F.max_by(F.struct("i", "pos"), "i").alias("n"))
+    nearest = without.where("verb_dep = 'conj'").join(large(before), [*S]).where(F.col("i") < F.col("verb")).groupBy(*key).agg(F.max_by(F.struct("i", "pos"), "i").alias("n"))
     return found.union(clause).union(nearest.where("n.pos <> 'VERB'").select(*key, "n.i", F.lit(True))).distinct()
 
 
 def objects(tokens: DataFrame, verbs: DataFrame) -> DataFrame:
     """document_id, sent_id, verb, object: objects and their conjuncts, prepositions' objects, a passive's agent."""
     key = [*S, "verb"]
-    below = verbs.select(*key, "passive").join(_children(tokens, "c", "verb"), key)
+    below = verbs.select(*key, "passive").join(large(_children(tokens, "c", "verb")), key)
     agent = F.col("passive") & (F.col("c_dep") == "agent")
     complement = F.col("c_dep").isin(*OBJECTS) & F.col("c_lower").isin(*COMPLEMENTS)
     direct = below.where(F.col("c_dep").isin(*OBJECTS) & ~complement & ~agent).select(*key, F.col("c_i").alias("object"))
     of_child = _children(tokens, "g", "c_i")
-    pobj = below.where(agent | (F.col("c_dep") == "prep")).join(of_child, [*S, "c_i"]).where("g_dep = 'pobj'").select(*key, "c_dep", F.col("g_i").alias("object"))
-    deeper = below.where(complement).join(of_child, [*S, "c_i"]).where("g_dep = 'prep'").select(*key, "g_i").join(_children(tokens, "p", "g_i"), [*S, "g_i"]).where("p_dep = 'pobj'").select(*key, F.col("p_i").alias("object"))
+    pobj = below.where(agent | (F.col("c_dep") == "prep")).join(large(of_child), [*S, "c_i"]).where("g_dep = 'pobj'").select(*key, "c_dep", F.col("g_i").alias("object"))
+    deeper = below.where(complement).join(large(of_child), [*S, "c_i"]).where("g_dep = 'prep'").select(*key, "g_i").join(large(_children(tokens, "p", "g_i")), [*S, "g_i"]).where("p_dep = 'pobj'").select(*key, F.col("p_i").alias("object"))
     joined = direct.union(pobj.where("c_dep = 'prep'").select(*key, "object"))
-    more = joined.join(_children(tokens, "k", "object").where("k_dep = 'conj'"), [*S, "object"]).select(*key, F.col("k_i").alias("object"))
+    more = joined.join(large(_children(tokens, "k", "object").where("k_dep = 'conj'")), [*S, "object"]).select(*key, F.col("k_i").alias("object"))
     return reduce(DataFrame.union, [joined, more, pobj.where("c_dep <> 'prep'").select(*key, "object"), deeper]).distinct()
 
 
@@ -199,7 +199,7 @@ def _typed(first: Column, root: Column, label: Column, pos: Column) -> Column:
 def _named(spans: DataFrame, tokens: DataFrame, keys: list[str]) -> DataFrame:
     """keys, name, canonical, kind of spans (document_id, sent_id, first, last, root): leading determiners go; null kinds and names of one letter too."""
     inside = tokens.select(*S, "i", "text", "lower", "pos", "ent_label")
-    rows = spans.join(inside, [*S]).where((F.col("i") >= F.col("first")) & (F.col("i") <= F.col("last")))
+    rows = spans.join(large(inside), [*S]).where((F.col("i") >= F.col("first")) & (F.col("i") <= F.col("last")))
     start = F.coalesce(F.min(F.when(F.col("pos") != "DET", F.col("i"))).over(Window.partitionBy(*S, *keys)), F.col("last"))
     rows = rows.withColumn("start", start).where("i >= start")
     words = F.array_sort(F.collect_list(F.struct("i", "text", "lower", "pos")))
@@ -217,7 +217,7 @@ def arguments(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     own = wanted.select(*S, "token").distinct()
     # left and right are of the children here
     near = tokens.where("head <> i").select(*S, F.col("head").alias("token"), F.col("dep").alias("c_dep"), F.col("lower").alias("c_lower"), "left", "right")
-    rows = own.join(tokens.select(*S, F.col("i").alias("token"), "lower"), [*S, "token"]).join(near, [*S, "token"], "left")
+    rows = own.join(large(tokens.select(*S, F.col("i").alias("token"), "lower")), [*S, "token"]).join(large(near), [*S, "token"], "left")
     part = F.col("c_dep").isin(*WITHIN)
     of = F.col("lower").isin(*OF_HEADS) & (F.col("c_dep") == "prep") & (F.col("c_lower") == "of")
     spans = rows.groupBy(*S, "token").agg(F.least("token", F.min(F.when(part, F.col("left")))).alias("first"), F.greatest("token", F.max(F.when(part | of, F.col("right")))).alias("last"))
@@ -225,22 +225,22 @@ def arguments(tokens: DataFrame, wanted: DataFrame) -> DataFrame:
     phrase = _named(spans, tokens, ["token"])
     entity = tokens.where("ent_id is not null")
     bounds = entity.groupBy(*S, "ent_id").agg(F.min("i").alias("first"), F.max("i").alias("last"))
-    roots = entity.join(bounds, [*S, "ent_id"]).where((F.col("head") == F.col("i")) | (F.col("head") < F.col("first")) | (F.col("head") > F.col("last")))
-    spanned = bounds.join(roots.groupBy(*S, "ent_id").agg(F.min("i").alias("root")), [*S, "ent_id"])
+    roots = entity.join(large(bounds), [*S, "ent_id"]).where((F.col("head") == F.col("i")) | (F.col("head") < F.col("first")) | (F.col("head") > F.col("last")))
+    spanned = bounds.join(large(roots.groupBy(*S, "ent_id").agg(F.min("i").alias("root"))), [*S, "ent_id"])
     of_entity = _named(spanned, tokens, ["ent_id"])
-    in_entity = own.join(entity.select(*S, F.col("i").alias("token"), "ent_id"), [*S, "token"]).join(of_entity, [*S, "ent_id"])
+    in_entity = own.join(large(entity.select(*S, F.col("i").alias("token"), "ent_id")), [*S, "token"]).join(large(of_entity), [*S, "ent_id"])
     p = phrase.select(*S, "token", F.struct("name", "canonical", "kind").alias("p"))
     e = in_entity.select(*S, "token", F.struct("name", "canonical", "kind").alias("e"))
     best = F.when(F.col("p.kind").isin(*ENTERPRISE), F.col("p")).otherwise(F.coalesce("e", "p"))
-    return own.join(p, [*S, "token"], "left").join(e, [*S, "token"], "left").select(*S, "token", best.alias("b")).where("b is not null").select(*S, "token", "b.*")
+    return own.join(large(p), [*S, "token"], "left").join(large(e), [*S, "token"], "left").select(*S, "token", best.alias("b")).where("b is not null").select(*S, "token", "b.*")
 
 
 def extracted(tokens: DataFrame, threshold: float = DEFAULTS.relation_threshold, most: int = DEFAULTS.sentence_chars) -> DataFrame:
     """Relations of all sentences of at most ``most`` characters: document_id, sent_id, verb, object, source, source_kind, source_canonical, target..., type, predicate, confidence, polarity."""
-    t = written(with_extents(tokens.join(sentences(tokens, most).select(*S), [*S], "left_semi")), "parse")  # many rules read it
+    t = written(with_extents(tokens.join(large(sentences(tokens, most).select(*S)), [*S], "left_semi")), "parse")  # many rules read it
     verbs = written(predicates(t), "verbs")
     key = [*S, "verb"]
-    pairs = verbs.join(subjects(t, verbs), key).join(objects(t, verbs), key)
+    pairs = verbs.join(large(subjects(t, verbs)), key).join(large(objects(t, verbs)), key)
     swap = F.col("passive") & (_map(PASSIVE, F.col("type")) == F.col("type"))
     swap = F.coalesce(swap, F.lit(False))
     pairs = pairs.withColumn("a", F.when(swap, F.col("object")).otherwise(F.col("subject"))).withColumn("b", F.when(swap, F.col("subject")).otherwise(F.col("object")))
@@ -250,7 +250,7 @@ def extracted(tokens: DataFrame, threshold: float = DEFAULTS.relation_threshold,
     for end, name in (("a", "source"), ("b", "target")):
         side = known.select(*S, F.col("token").alias(end), F.col("name").alias(name), F.col("kind").alias(f"{name}_kind"), F.col("canonical").alias(f"{name}_canonical"))
         heads = t.select(*S, F.col("i").alias(end), F.col("head").alias(f"{end}_head"))
-        rows = rows.join(side, [*S, end]).join(heads, [*S, end])
+        rows = rows.join(large(side), [*S, end]).join(large(heads), [*S, end])
     away = F.abs(F.col("a") - F.col("b"))
     # What each sign adds to the confidence.
     score = (

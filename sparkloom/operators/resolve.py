@@ -145,5 +145,7 @@ def resolved(mentions: DataFrame, threshold: float = DEFAULTS.merge_threshold) -
         rows = rows.sort_values(["seq", "kind", "canonical"])
         return rows.assign(resolved=resolve_names(list(zip(rows["kind"], rows["canonical"], strict=True)), threshold))
 
-    own = mentions.select("document_id", "seq", "kind", "canonical")
+    # by number, as few bytes of names may be much work
+    tasks = int(mentions.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = mentions.select("document_id", "seq", "kind", "canonical").repartition(tasks, "document_id")
     return own.groupBy("document_id").applyInPandas(of_document, "document_id string, seq int, kind string, canonical string, resolved string")

@@ -10,7 +10,7 @@ from sparkloom.operators import documents as D
 from sparkloom.operators import graph as G
 from sparkloom.operators import relations as K
 from sparkloom.operators import resolve
-from sparkloom.storage import written
+from sparkloom.storage import large, written
 
 S = K.S
 # The confidence of an entity of a known kind, and of any other.
@@ -28,7 +28,7 @@ def document_graph(tokens: DataFrame, chunked: DataFrame | None = None, config:
     sentence in a chunk.
     """
     kept = K.sentences(tokens, config.sentence_chars)
-    t = written(tokens.join(kept.select(*S), [*S], "left_semi"), "tokens")
+    t = written(tokens.join(large(kept.select(*S)), [*S], "left_semi"), "tokens")
     found = written(K.extracted(t, config.relation_threshold, config.sentence_chars), "relations")
     zero = F.lit(0).cast("long")
     marked = K.mentions(t).select(*S, zero.alias("later"), F.col("token").cast("long").alias("at"), zero.alias("end"), F.col("name"), F.col("canonical"), F.col("kind"))
@@ -40,23 +40,23 @@ def document_graph(tokens: DataFrame, chunked: DataFrame | None = None, config:
     named = written(marked.union(ends[0]).union(ends[1]).withColumn("seq", order), "names")
     first = named.groupBy("document_id", "kind", "canonical").agg(F.min("seq").alias("seq"))
     one = written(resolve.resolved(first, config.merge_threshold).select("document_id", "kind", "canonical", "resolved"), "resolved")
-    resolved = named.join(one, ["document_id", "kind", "canonical"])
+    resolved = named.join(large(one), ["document_id", "kind", "canonical"])
     best = resolved.groupBy("document_id", F.col("resolved").alias("canonical_name")).agg(F.min(F.struct("seq", F.col("kind").alias("type"), F.col("name").alias("display_name"))).alias("f"))
     entities = best.select("document_id", "f.seq", "f.type", "canonical_name", "f.display_name", F.when(F.col("f.type") == "OTHER", OTHER).otherwise(KNOWN).alias("confidence"))
 
     own = entities.select("document_id", "canonical_name", F.col("type").alias("own_type"))
-    rows = found.join(kept, [*S])
+    rows = found.join(large(kept), [*S])
     for end in ("source", "target"):
         key = one.select("document_id", F.col("kind").alias(f"{end}_kind"), F.col("canonical").alias(f"{end}_canonical"), F.col("resolved").alias(f"{end}_name"))
-        rows = rows.join(key, ["document_id", f"{end}_kind", f"{end}_canonical"])
-        rows = rows.join(own.withColumnsRenamed({"canonical_name": f"{end}_name", "own_type": f"{end}_type"}), ["document_id", f"{end}_name"])
+        rows = rows.join(large(key), ["document_id", f"{end}_kind", f"{end}_canonical"])
+        rows = rows.join(large(own.withColumnsRenamed({"canonical_name": f"{end}_name", "own_type": f"{end}_type"})), ["document_id", f"{end}_name"])
     rows = rows.where("source_name <> target_name")
     seq = F.row_number().over(Window.partitionBy("document_id").orderBy("sent_id", "verb", "object", "source_name", "target_name"))
     if chunked is None:
         placed = rows.withColumn("chunk_id", F.lit(""))
     else:
         places = D.located(kept.select("document_id", F.col("sentence_start").alias("offset")).distinct(), chunked, "document_id")
-        placed = rows.join(places.select("document_id", F.col("offset").alias("sentence_start"), F.col("vector_id").alias("chunk_id")), ["document_id", "sentence_start"])
+        placed = rows.join(large(places.select("document_id", F.col("offset").alias("sentence_start"), F.col("vector_id").alias("chunk_id"))), ["document_id", "sentence_start"])
     relations = placed.select(
         "document_id", seq.alias("seq"), "source_type", F.col("source_name").alias("source_canonical"), "type", "target_type", F.col("target_name").alias("target_canonical"),
         "predicate", "confidence", "polarity", "sentence", "chunk_id",
@@ -69,5 +69,5 @@ def projection(entities: DataFrame, relations: DataFrame) -> tuple[DataFrame, Da
     edges = relations.where("polarity = 'positive'").select("document_id", F.col("source_canonical").alias("source"), F.col("type").alias("relation"), F.col("target_canonical").alias("target"))
     nodes = entities.select("document_id", F.col("canonical_name").alias("text"), F.col("type").alias("label"))
     ends = edges.select("document_id", F.col("source").alias("text")).union(edges.select("document_id", F.col("target").alias("text"))).distinct()
-    more = ends.join(nodes, ["document_id", "text"], "left_anti").withColumn("label", F.lit("UNKNOWN"))
+    more = ends.join(large(nodes), ["document_id", "text"], "left_anti").withColumn("label", F.lit("UNKNOWN"))
     return nodes.unionByName(more), edges
