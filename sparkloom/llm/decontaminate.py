@@ -2,9 +2,10 @@
 
 Documents are cut into half windows of ``HALF`` words; a passage is two of them in a
 row, so passages overlap by half. Terms are hashed words, weighed by the square of their
-logarithmic inverse frequency over the half windows of all documents. A randomised SVD of the benchmark's
-passages and of a sample of the corpus's (about ``sample`` passages, by hash of
-the text, copies once; items weigh ``ITEM_WEIGHT`` times as much) spans the latent space. Every
+logarithmic inverse frequency over the half windows of all documents. A randomised SVD of the
+passages of all documents and items (items weigh ``ITEM_WEIGHT`` times as much) spans the latent
+space: a round of subspace iteration over all of them, which starts where the rounds over the items
+and about ``sample`` passages (by hash of the text, copies once) ended. Every
 passage's cosine with every item is computed in blocks; pairs of at least ``cosine``
 are candidates. So is, whatever its cosine, every pair that shares as many words as
 a leak must have (``Cover``), so that a leak is found however many the items and
@@ -98,6 +99,56 @@ def _rows(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[np.ndarray]:
         yield unit(out * idf).astype(np.float32) * weight[text[first]][:, None].astype(np.float32)
 
 
+def _runs_added(values: np.ndarray, index: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """The sum of the rows ``values[index]`` of each run that begins at ``edges``, eight rows at a time."""
+    while True:
+        counts = np.diff(np.append(edges, len(index)))
+        parts = -(-counts // 8)
+        first = np.cumsum(parts) - parts
+        padded = np.full(8 * parts.sum(), len(values))
+        padded[np.arange(len(index)) + np.repeat(8 * first - edges, counts)] = index
+        padded, known = padded.reshape(-1, 8), np.vstack([values, np.zeros((1, values.shape[1]), values.dtype)])
+        out = known[padded[:, 0]]
+        for k in range(1, 8):
+            out += known[padded[:, k]]
+        if (parts == 1).all():
+            return out
+        values, index, edges = out, np.arange(len(out)), first
+
+
+def _product(batch: pa.RecordBatch, q: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A'AQ of the rows A that ``_rows`` has, from sums over half windows, without these rows."""
+    out, weighed = np.zeros(q.shape, np.float32), (q * idf[:, None]).astype(np.float32)
+    for part in slices(batch, "text", SLICE):
+        words, bounds = hashed_words(part.column("text"))
+        starts, text = _halves(bounds)
+        if not len(starts):
+            continue
+        terms, sizes = _terms(words), np.diff(np.append(starts, len(words)))
+        first, n = _passages(starts, text)
+        pair = np.flatnonzero(n == 2)
+        halves = _sums(terms, starts, sizes, weighed)
+        rows = halves[first]
+        rows[pair] += halves[first[pair] + 1]
+        # a half window lies in the passage that begins with it and in the one that ends with it
+        half = np.repeat(np.arange(len(starts)), sizes)
+        begins, ends = np.full((2, len(starts)), -1)
+        begins[first], ends[first[pair] + 1] = np.arange(len(first)), pair
+        inside = [(x[half] * TERMS + terms)[x[half] >= 0] for x in (begins, ends)]
+        seen, times = np.unique(np.concatenate(inside), return_counts=True)
+        squares = np.bincount(seen // TERMS, (times * idf[seen % TERMS]) ** 2, minlength=len(first))
+        weight = part.column("weight").to_numpy()[text[first]]
+        rows *= (weight**2 / np.maximum(squares, 1e-24))[:, None].astype(np.float32)
+        back = np.zeros_like(halves)
+        back[first] = rows
+        back[first[pair] + 1] += rows[pair]
+        order = np.argsort(terms.astype(np.int16), kind="stable")
+        own = terms[order]
+        edges = np.flatnonzero(np.diff(own, prepend=-1))
+        out[own[edges]] += _runs_added(back, half[order], edges)
+    return (out * idf[:, None]).astype(np.float32).ravel()
+
+
 def lcs(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest common subsequence; a bit of an integer for each element of ``a``."""
     where: dict[int, int] = {}
@@ -290,7 +341,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, cosine: float = 0.65, alone: fl
     rate = max(1, int(counted[-1] // sample))
     some = texts.where(F.pmod(F.xxhash64("text"), F.lit(rate)) == 0).select("text").distinct().select("text", F.lit(1.0).alias("weight"))
     fit = written(some.union(items.select("text", F.lit(ITEM_WEIGHT).alias("weight"))), "passages")
-    v = basis(spread(fit, sample), lambda batch: _rows(batch, idf), TERMS, RANK)
+    begun = basis(spread(fit, sample), lambda batch: _rows(batch, idf), TERMS, RANK)
+    everything = texts.select("text", F.lit(1.0).alias("weight")).union(items.select("text", F.lit(ITEM_WEIGHT).alias("weight")))
+    turned = column_sum(everything, lambda batch: _product(batch, begun, idf), TERMS * RANK).reshape(TERMS, RANK)
+    v = np.ascontiguousarray(np.linalg.svd(turned, full_matrices=False)[0].astype(np.float32))
     number = items.count()
     out = None
     for block in range(-(-number // ITEMS)):
