@@ -10,11 +10,10 @@ from __future__ import annotations
 from typing import Any
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from sparkloom.functions import text as T
 from sparkloom.functions.filters import predicate
@@ -37,7 +36,7 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 def index_rows(chunks: DataFrame) -> DataFrame:
     """The chunks with their terms, how many there are, and their vector: what an index holds."""
-    rows = chunks.withColumn("terms", T.terms(F.col("text"))).withColumn("embedding", char_embedding(F.col("text")))
+    rows = chunks.withColumn("terms", T.terms(F.col("text"))).withColumn("embedding", _embedding(chunks))
     return rows.withColumn("dl", F.size("terms"))
 
 
@@ -65,8 +64,7 @@ def _hits(chunks: DataFrame, wanted: DataFrame) -> DataFrame:
     rows = chunks.select("vector_id", _terms(chunks).alias("terms"), _length(chunks).alias("dl"))
     few = [r.term for r in wanted.select("term").distinct().limit(FEW_TERMS + 1).collect()]
     if len(few) <= FEW_TERMS:
-        own = F.array(*map(F.lit, few)) if few else F.array().cast("array<string>")
-        rows = rows.withColumn("terms", F.filter("terms", lambda t: F.array_contains(own, t)))
+        rows = rows.withColumn("terms", F.filter("terms", lambda t: t.isin(few)))
         return rows.select("vector_id", "dl", F.explode("terms").alias("term")).groupBy("vector_id", "dl", "term").agg(F.count("*").alias("tf"))
     return rows.select("vector_id", "dl", F.explode("terms").alias("term")).groupBy("vector_id", "dl", "term").agg(F.count("*").alias("tf")).join(wanted.select("term").distinct(), "term", "left_semi")
 
@@ -104,13 +102,14 @@ def filtered(scored: DataFrame, chunks: DataFrame, filters: dict[str, Any] | Non
 def char_embedding(text: Column, size: int = 16) -> Column:
     """Counts of lowered characters by code point modulo ``size``, of length one."""
 
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def counts(texts: pd.Series) -> pd.Series:
-        own = texts.fillna("").tolist()
+    @F.arrow_udf("array<double>")
+    def counts(texts: pa.Array) -> pa.Array:
+        own = pc.fill_null(texts, "").to_pylist()
         rows = np.repeat(np.arange(len(own)), list(map(len, own)))
         codes = np.frombuffer("".join(own).encode("utf-32-le"), "<u4") % size
         v = np.bincount(rows * size + codes, minlength=len(own) * size).reshape(-1, size).astype(float)
-        return pd.Series(list(v / np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)))
+        v /= np.maximum(np.sqrt((v * v).sum(1, keepdims=True)), 1e-300)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * size, pa.int32()), pa.array(v.ravel()))
 
     return counts(F.lower(text))
 
@@ -158,7 +157,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int, block: int = 2048, k
                 found = []
                 for a in range(0, batch.num_rows, 4096):
                     part = batch.slice(a, 4096)
-                    x = np.array(part.column("embedding").to_pylist(), float).reshape(part.num_rows, -1)
+                    x = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(float).reshape(part.num_rows, -1)
                     if len(q) and len(x):
                         d = np.maximum((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - 2 * q @ x.T, 0)
                         if same:
