@@ -2,9 +2,10 @@
 
 Tokens are exploded with their positions; windowed sums of their lengths give the
 bytes where each ends; where both sides have a token with one end, matched by a window
-over text and end, both tokenizers cut; running counts of cuts give the groups, and
-tokens of a group with overlapping ranges the links. (An equal join in place of the
-window needs each side twice, sorted anew: see the README's figures.)
+over both sides' ends, both tokenizers cut; running counts of cuts give the groups. Between
+two neighbouring ends of either side the tokens that end next on each overlap: a link.
+(An equal join in place of the window needs each side twice, sorted anew: see the
+README's figures.)
 
 Neither tokenizer ever joins characters across a blank between a character that is
 none and a printed one (``segments``), so a text's alignment is that of its segments, one
@@ -182,31 +183,29 @@ def tokens_of(run: Column, a: str, b: str) -> Column:
 
 
 def aligned(tokens: DataFrame, *key: str) -> DataFrame:
-    """The key and its groups: end in bytes, n_a, n_b, ids ('a1,a2|b1') and links (each of a and b, in one number), in no order, of rows with ``tokens`` (see ``tokens_of``); where these are dealt out by a part of the key, the plan has no exchange."""
+    """The key and its links, in no order, of rows with ``tokens`` (see ``tokens_of``): ``end`` in bytes of the shared range, ``pair`` (ids of a and b in one number), whether each ends there (``of_a``, ``of_b``), and ``group``, counted from the last.
+
+    Between two neighbouring ends of either side lies one token of each: one link. Where the
+    key is dealt out by a part of it, the plan has no exchange; name first what differs most, as sorts compare that first.
+    """
     sides = tokens.select(*key, F.posexplode_outer("tokens").alias("side", "list"))
     exploded = sides.select(*key, "side", F.posexplode("list").alias("pos", "t"))
-    size = F.shiftrightunsigned("t", ID_BITS).cast("int")
-    placed = exploded.withColumn("end", F.sum(size).over(Window.partitionBy(*key, "side").orderBy("pos")).cast("int"))
-    placed = placed.select(*key, "side", "end", F.col("t").bitwiseAND((1 << ID_BITS) - 1).alias("id"), (F.col("end") - size).alias("start"))
-    # tokens of both sides with one end are a cut; a side has one token at an end at most
-    cut = (F.count("*").over(Window.partitionBy(*key, "end")) == 2).cast("int")
-    before = F.sum("cut").over(Window.partitionBy(*key).orderBy("end")) / 2 - F.col("cut")
-    numbered = placed.withColumn("cut", cut).withColumn("group", before.cast("int"))
-
-    def listed(side: int) -> Column:
-        return F.array_sort(F.collect_list(F.when(F.col("side") == side, F.struct("start", "end", "id"))))
-
-    groups = numbered.groupBy(*key, "group").agg(listed(0).alias("a"), listed(1).alias("b"))
+    size = F.shiftrightunsigned("t", ID_BITS)
+    so_far = Window.partitionBy(*key, "side").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = exploded.select(*key, "side", F.sum(size).over(so_far).alias("end"), F.col("t").bitwiseAND((1 << ID_BITS) - 1).alias("id"))
+    # from the last end on, so that the next token of a side is the latest seen; both tokens at one end see each other
+    from_last = Window.partitionBy(*key).orderBy(F.desc("end"))
 
-    def linked(x: Column) -> Column:
-        touched = F.filter("b", lambda y: (x["start"] < y["end"]) & (y["start"] < x["end"]))
-        return F.transform(touched, lambda y: F.shiftleft(x["id"].cast("long"), 32) + y["id"])
+    def following(side: int) -> Column:
+        return F.last(F.when(F.col("side") == side, F.shiftleft("end", ID_BITS) + F.col("id")), ignorenulls=True).over(from_last)
 
-    def shown(side: str) -> Column:
-        return F.array_join(F.transform(side, lambda x: x["id"].cast("string")), ",")
-
-    of_group = F.element_at("a", -1)["end"].cast("int").alias("end"), F.size("a").alias("n_a"), F.size("b").alias("n_b"), F.concat(shown("a"), F.lit("|"), shown("b")).alias("ids"), F.flatten(F.transform("a", linked)).alias("links")
-    return groups.groupBy(*key).agg(F.collect_list(F.struct(*of_group)).alias("groups"))
+    met = placed.select(*key, "side", "end", following(0).alias("a"), following(1).alias("b"))
+    of_a, of_b = (F.shiftright(c, ID_BITS) == F.col("end") for c in "ab")
+    # a cut's two tokens tell of the same link
+    links = met.select(*key, "side", "end", "a", "b", of_a.alias("of_a"), of_b.alias("of_b")).where("side = 0 or not of_a")
+    cuts = F.sum((F.col("of_a") & F.col("of_b")).cast("int")).over(from_last.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    a, b = (F.col(c).bitwiseAND((1 << ID_BITS) - 1) for c in "ab")
+    return links.select(*key, "end", (F.shiftleft(a, 32) + b).alias("pair"), "of_a", "of_b", cuts.alias("group"))
 
 
 def _cut(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -251,31 +250,34 @@ def _packed(x: np.ndarray) -> bytes:
     return zlib.compress(x.astype("<u4").tobytes(), 1)
 
 
+def _joined(values: pa.Array, bounds: np.ndarray, sign: str) -> pa.Array:
+    """The texts between each two bounds as one."""
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values), sign)
+
+
 def _counted(key: tuple, docs: pa.Table, known: pa.Table) -> Iterator[pa.RecordBatch]:
     """A block's documents put together from their segments' alignments: a row for each, and one for each id pair of the block with its number of documents."""
+    _CODERS.clear()  # a worker that has encoded before has no use for them here
     block, n = key[0].as_py(), docs.num_rows
     sizes = np.frombuffer(next(x for x in docs.column("sizes").to_pylist() if x is not None), "<u4").astype(np.int64)
     m, ends = len(sizes), np.cumsum(sizes)
-    # a group lies in the segment in which it ends; ends count from the beginning of a run
-    lists = known.column("groups")
-    lists = pa.concat_arrays(lists.chunks) if lists.num_chunks else pa.array([], lists.type)
-    flat = lists.flatten()
-    first = RUN * np.repeat(known.column("run").to_numpy().astype(np.int64), pc.list_value_length(lists).to_numpy(zero_copy_only=False))
-    end = (ends - sizes)[first] + flat.field("end").to_numpy() if len(flat) else np.zeros(0, np.int64)
-    order = np.argsort(end, kind="stable")
-    of, flat = np.searchsorted(ends, end[order]), flat.take(pa.array(order))
-    counts = {c: np.bincount(of, flat.field(c).to_numpy(), minlength=m).astype(np.int32) for c in ("n_a", "n_b")} | {"n_groups": np.bincount(of, minlength=m).astype(np.int32)}
-    ids, places = flat.field("ids").to_pylist(), np.searchsorted(of, np.arange(m + 1)).tolist()
-    groups = [";".join(ids[x:y]) for x, y in zip(places[:-1], places[1:], strict=True)]
-    links = flat.field("links")
-    del ids, lists, flat, end, order, first
-    pairs, local = np.unique(links.flatten().to_numpy(), return_inverse=True)
-    local = local.astype(np.int32)
-    per_group = np.concatenate([[0], np.cumsum(pc.list_value_length(links).to_numpy(zero_copy_only=False), dtype=np.int64)])
-    begin = per_group[places[:-1]]
-    many = per_group[places[1:]] - begin
-    lost = np.array([str(NONE) in g and g.split("|")[0].split(",")[0] == str(NONE) for g in groups], bool)
-    counts["n_a"][lost] = 0
+    # a link lies in the segment in which it ends; ends count from the beginning of a run
+    at, kind = (known.column(c).to_numpy() for c in ("at", "kind"))
+    order = np.argsort(at)
+    at, kind = at[order], kind[order]
+    of = np.searchsorted(ends, (ends - sizes)[RUN * (at >> 32)] + (at & 0xFFFFFFFF))
+    coded = pa.concat_arrays(known.column("pair").chunks or [pa.array([], pa.int64())]).dictionary_encode()
+    pairs, local = coded.dictionary.to_numpy(), coded.indices.to_numpy()[order]
+    in_group, ends_there = (at >> 32) << 32 | kind >> 2, [(kind & x) > 0 for x in (1, 2)]
+    begins = np.flatnonzero(np.diff(in_group, prepend=-1))
+    last = np.append(begins[1:], len(at))[: len(begins)] - 1
+    shown = [_joined(pc.take(pc.cast(pa.array(x), pa.utf8()), pa.array(local[y])), np.searchsorted(np.flatnonzero(y), np.append(begins, len(at))), ",") for x, y in zip((pairs >> 32, pairs & 0xFFFFFFFF), ends_there, strict=True)]
+    counts = {c: np.bincount(of[x], minlength=m).astype(np.int32) for c, x in zip(("n_a", "n_b", "n_groups"), (*ends_there, last), strict=True)}
+    groups = _joined(pc.binary_join_element_wise(*shown, "|"), np.searchsorted(of[last], np.arange(m + 1)), ";").cast(pa.binary()).to_pylist()
+    begin = np.searchsorted(of, np.arange(m + 1))
+    begin, many = begin[:-1], np.diff(begin)
+    counts["n_a"][of[pairs[local] >> 32 == NONE]] = 0
+    del at, kind, order, of, coded, in_group, ends_there, begins, last, shown
     whole, width, p = counts["n_a"] > 0, "<u2" if m <= 1 << 16 else "<u4", len(pairs)
     held = np.zeros(p, np.int64)  # of pairs of segments that are given back; others have none in a document
     own = [np.frombuffer(x, width) for x in docs.column("codes").to_pylist()]
@@ -294,7 +296,7 @@ def _counted(key: tuple, docs: pa.Table, known: pa.Table) -> Iterator[pa.RecordB
         lengths = np.array(list(map(len, part)))
         codes, owner = np.concatenate(part).astype(np.int64), np.repeat(np.arange(y - x), lengths)
         sums = {c: np.bincount(owner, v[codes], minlength=y - x) for c, v in (*counts.items(), ("n_links", many))}
-        digests = [hashlib.sha256(";".join(map(groups.__getitem__, c.tolist())).encode()).hexdigest() if len(c) else "" for c in part]
+        digests = [hashlib.sha256(b";".join(map(groups.__getitem__, c.tolist()))).hexdigest() if len(c) else "" for c in part]
         reps = many[codes]
         place = np.repeat(begin[codes] - (np.cumsum(reps) - reps), reps) + np.arange(reps.sum())
         cells = np.sort(np.repeat(owner, reps) * max(p, 1) + local[place])
@@ -331,7 +333,9 @@ def alignment(docs: DataFrame, a: str, b: str, block_bytes: int = 1 << 22) -> Da
     used = cut.where("run is not null").select(F.col("block").alias("place"), "run", "segments")
     # a task sorts one block's tokens, seldom two
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * cut.select("block").distinct().count())
-    known = aligned(used.select("place", "run", tokens_of(F.col("segments"), a, b).alias("tokens")).repartition(tasks, "place"), "place", "run")
+    links = aligned(used.select("place", "run", tokens_of(F.col("segments"), a, b).alias("tokens")).repartition(tasks, "place"), "run", "place")
+    kind = F.shiftleft("group", 2) + F.col("of_b").cast("int") * 2 + F.col("of_a").cast("int")
+    known = links.select("place", (F.shiftleft(F.col("run").cast("long"), 32) + F.col("end")).alias("at"), "pair", kind.alias("kind"))
     rows = cut.where("run is null").select("block", "doc_id", "codes", "sizes").groupBy("block")
     counted = written(rows.cogroup(known.groupBy("place")).applyInArrow(_as_table, COUNTED), "counted")
     pairs = counted.where("pair is not null").select("block", "pair", "a", "b", "docs")

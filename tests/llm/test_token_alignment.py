@@ -85,3 +85,15 @@ def test_segments_are_the_text():
     names = different.to_pylist()
     for i, t in enumerate(TEXTS):
         assert "".join(names[c] for c in codes[starts[i] : starts[i + 1]]) == (" " + t if t else "")
+
+
+def test_plan_sorts_narrow_rows_and_collects_none(spark):
+    rows = [(0, 7, [[2 << A.ID_BITS | 5, 1 << A.ID_BITS | 6, 3 << A.ID_BITS | 7], [1 << A.ID_BITS | 8, 2 << A.ID_BITS | 9, 3 << A.ID_BITS | 5]]), (1, 7, [[1 << A.ID_BITS | 5], [1 << A.ID_BITS | 5]])]
+    tokens = spark.createDataFrame(rows, "run int, place long, tokens array<array<int>>").repartition(2, "place")
+    links = A.aligned(tokens, "run", "place")
+    plan = links._jdf.queryExecution().executedPlan().toString()
+    # one exchange (that of the rows given), two sorts, and no lists that are put together row by row
+    assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("Sort [") == 2 and plan.count("Sort [run") == 2
+    got = sorted((r.run, r.end, r.pair >> 32, r.pair & 0xFFFFFFFF, r.of_a, r.of_b, r.group) for r in links.collect())
+    assert got == [(0, 1, 5, 8, False, True, 2), (0, 2, 5, 9, True, False, 2), (0, 3, 6, 9, True, True, 2), (0, 6, 7, 5, True, True, 1), (1, 1, 5, 5, True, True, 1)]
