@@ -55,7 +55,7 @@ ID_BITS = 20
 #: Stands for a token in segments that are not given back.
 NONE = (1 << ID_BITS) - 1
 #: Segments whose tokens are counted at once when a block is put together.
-PIECE = 1 << 18
+PIECE = 1 << 16
 
 
 def segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -208,13 +208,26 @@ def aligned(tokens: DataFrame, *key: str) -> DataFrame:
     return links.select(*key, "end", (F.shiftleft(a, 32) + b).alias("pair"), "of_a", "of_b", cuts.alias("group"))
 
 
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers below 2**32: all first bytes, then all second ones and so on, compressed."""
+    return zlib.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(data), np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
 def _cut(docs: DataFrame, block_bytes: int) -> DataFrame:
     """Blocks of documents: a row for each document with its segments' numbers, and one for each different segment of the block."""
 
     def cut(part: pa.RecordBatch, block: int) -> pa.RecordBatch:
         codes, starts, different = segments(part.column("text"))
-        codes = codes.astype("<u2" if len(different) <= 1 << 16 else "<u4")
-        own = [codes[x:y].tobytes() for x, y in zip(starts[:-1], starts[1:], strict=True)]
+        # the more frequent, the smaller its number
+        order = np.argsort(-np.bincount(codes, minlength=len(different)), kind="stable")
+        number = np.empty(len(order), np.uint32)
+        number[order] = np.arange(len(order))
+        codes, different = number[codes], different.take(pa.array(order))
+        own = [_packed(codes[x:y]) for x, y in zip(starts[:-1], starts[1:], strict=True)]
         n, cuts = part.num_rows, [*range(0, len(different), RUN), len(different)]
         m = len(cuts) - 1
         runs = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), different.cast(pa.utf8()))
@@ -246,10 +259,6 @@ def _cut(docs: DataFrame, block_bytes: int) -> DataFrame:
 COUNTED = "block long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs binary, times binary, pair int, a int, b int, docs long"
 
 
-def _packed(x: np.ndarray) -> bytes:
-    return zlib.compress(x.astype("<u4").tobytes(), 1)
-
-
 def _joined(values: pa.Array, bounds: np.ndarray, sign: str) -> pa.Array:
     """The texts between each two bounds as one."""
     return pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), values), sign)
@@ -278,9 +287,9 @@ def _counted(key: tuple, docs: pa.Table, known: pa.Table) -> Iterator[pa.RecordB
     begin, many = begin[:-1], np.diff(begin)
     counts["n_a"][of[pairs[local] >> 32 == NONE]] = 0
     del at, kind, order, of, coded, in_group, ends_there, begins, last, shown
-    whole, width, p = counts["n_a"] > 0, "<u2" if m <= 1 << 16 else "<u4", len(pairs)
+    whole, p = counts["n_a"] > 0, len(pairs)
     held = np.zeros(p, np.int64)  # of pairs of segments that are given back; others have none in a document
-    own = [np.frombuffer(x, width) for x in docs.column("codes").to_pylist()]
+    own = [_unpacked(x) for x in docs.column("codes").to_pylist()]
     cuts = np.searchsorted(np.cumsum([len(x) for x in own]) // PIECE, np.arange(sum(map(len, own)) // PIECE + 2)) if n else [0]
     numbers = pa.concat_arrays(docs.column("doc_id").chunks)
 
@@ -319,7 +328,7 @@ def _summed(key: tuple, docs: pa.Table, pairs: pa.Table) -> pa.Table:
     count, best = pairs.column("count").to_numpy().astype(np.int64), pairs.column("best").to_numpy().astype(np.int64)
     sums, bests = [], []
     for own, times in zip(docs.column("pairs").to_pylist(), docs.column("times").to_pylist(), strict=True):
-        at, n = np.cumsum(np.frombuffer(zlib.decompress(own), "<u4")), np.frombuffer(zlib.decompress(times), "<u4").astype(np.int64)
+        at, n = np.cumsum(_unpacked(own)), _unpacked(times).astype(np.int64)
         sums.append(int((n * count[at]).sum()))
         bests.append(int((n * best[at]).sum()))
     out = {c: docs.column(c) for c in ("doc_id", "n_a", "n_b", "n_groups", "n_links", "groups_sha256")} | {"n_best": pa.array(bests, pa.int64()), "count_sum": pa.array(sums, pa.int64())}

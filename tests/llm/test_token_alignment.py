@@ -97,3 +97,15 @@ def test_plan_sorts_narrow_rows_and_collects_none(spark):
     assert plan.count("Sort [") == 2 and plan.count("Sort [run") == 2
     got = sorted((r.run, r.end, r.pair >> 32, r.pair & 0xFFFFFFFF, r.of_a, r.of_b, r.group) for r in links.collect())
     assert got == [(0, 1, 5, 8, False, True, 2), (0, 2, 5, 9, True, False, 2), (0, 3, 6, 9, True, True, 2), (0, 6, 7, 5, True, True, 1), (1, 1, 5, 5, True, True, 1)]
+
+
+def test_documents_are_kept_in_few_bytes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    rows = A._cut(docs, 1 << 22).collect()
+    names = {(r.block, A.RUN * r.run + i): t for r in rows if r.run is not None for i, t in enumerate(r.segments)}
+    kept = {r.doc_id: [names[r.block, c] for c in A._unpacked(r.codes).tolist()] for r in rows if r.run is None}
+    assert {i: "".join(x) for i, x in kept.items()} == {r.doc_id: " " + r.text if r.text else "" for r in docs.collect()}
+    # less than two bytes for each segment
+    assert sum(len(r.codes) for r in rows if r.run is None) < 1.8 * sum(map(len, kept.values()))
+    numbers = np.array([0, 1, 255, 256, 70_000, 2**32 - 1], np.uint32)
+    assert A._unpacked(A._packed(numbers)).tolist() == numbers.tolist() and A._unpacked(A._packed(numbers[:0])).tolist() == []
