@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.storage import new_folder, written
+from sparkloom.storage import freed, new_folder, written
 
 SIZES = 1, 2, 3
 
@@ -40,17 +40,27 @@ class NameIndex:
         return self.rows("counts", "gram string, ids long, bucket int")
 
 
-def built(nodes: DataFrame, buckets: int = 64, salts: int = 4) -> NameIndex:
-    """An index of entities (id, canonical_name, display_name, mentions_count, ...); nodes are read again when a search verifies."""
+#: Names whose grams one task of a build sorts.
+TASK_NAMES = 50_000
+
+
+def built(nodes: DataFrame, buckets: int = 64) -> NameIndex:
+    """An index of entities (id, canonical_name, display_name, mentions_count, ...); nodes, which are a table, are read again when a search verifies.
+
+    Names are dealt over tasks before their grams are made, of which there are tens to a
+    name; each task sorts its own and writes them into the buckets' folders.
+    """
     spark, path = nodes.sparkSession, new_folder(nodes.sparkSession, "names")
+    tasks = -(-nodes.count() // TASK_NAMES) or 1
     names = F.array("canonical_name", F.lower("display_name"))
     own = F.array_distinct(F.flatten(F.transform(F.filter(names, lambda x: x.isNotNull()), lambda x: F.concat(*[grams(x, n) for n in SIZES]))))
-    rows = nodes.select("id", F.explode(own).alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # a bucket is dealt over some tasks, since one gram may be in most names
-    rows.repartition(tasks, "bucket", F.pmod(F.xxhash64("id"), F.lit(salts))).sortWithinPartitions("gram").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
+    dealt = nodes.select("id", "canonical_name", "display_name").repartition(tasks, "id")
+    rows = dealt.select("id", F.explode(own).alias("gram")).withColumn("bucket", F.pmod(F.xxhash64("gram"), F.lit(buckets)).cast("int"))
+    with freed(spark):
+        rows.sortWithinPartitions("bucket", "gram", "id").write.partitionBy("bucket").option("compression", "zstd").parquet(f"{path}/postings")
     index = NameIndex(spark, path, nodes, buckets)
-    index.postings().groupBy("bucket", "gram").agg(F.count("*").alias("ids")).repartition(tasks, "bucket").write.partitionBy("bucket").parquet(f"{path}/counts")
+    with freed(spark):
+        index.postings().groupBy("bucket", "gram").agg(F.count("*").alias("ids")).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket").write.partitionBy("bucket").parquet(f"{path}/counts")
     return index
 
 
