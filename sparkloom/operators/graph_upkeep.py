@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.text import entity_id
 from sparkloom.operators import graph as G
 from sparkloom.sources.versioned import VersionedTable
-from sparkloom.storage import written
+from sparkloom.storage import large, written, written_by
 
 HELD = 8
 _PLACE = ("document_id", "seq", "name", "unit")
@@ -27,16 +27,16 @@ _PLACE = ("document_id", "seq", "name", "unit")
 
 def entity_parts(log: DataFrame) -> DataFrame:
     """One row for each entity and document."""
-    rows = log.withColumn("type", G.safe(F.col("type"), G.ENTITY_TYPES)).withColumn("id", entity_id(F.col("type"), F.col("canonical_name")))
-    once = rows.groupBy("id", "type", "canonical_name", "document_id").agg(F.min(F.struct("seq", "display_name")).alias("f"), F.max("confidence").alias("confidence"))
-    return once.select("id", "type", "canonical_name", "document_id", "f.seq", F.col("f.display_name").alias("name"), F.lit("").alias("unit"), "confidence")
+    rows = log.withColumn("type", G.safe(F.col("type"), G.ENTITY_TYPES))
+    once = rows.groupBy("type", "canonical_name", "document_id").agg(F.min(F.struct("seq", "display_name")).alias("f"), F.max("confidence").alias("confidence"))
+    return once.select(entity_id(F.col("type"), F.col("canonical_name")).alias("id"), "type", "canonical_name", "document_id", "f.seq", F.col("f.display_name").alias("name"), F.lit("").alias("unit"), "confidence")
 
 
 def edge_parts(log: DataFrame) -> DataFrame:
     """One row for each edge, document and sentence."""
-    rows = G.endpoints(log.withColumn("type", G.safe(F.col("type"), G.RELATION_TYPES)))
-    once = rows.groupBy("id", "source_id", "target_id", "type", "polarity", "document_id", "sentence").agg(F.max(F.struct("seq", "predicate")).alias("f"), F.max("confidence").alias("confidence"))
-    return once.select("id", "source_id", "target_id", "type", "polarity", "document_id", "f.seq", F.col("f.predicate").alias("name"), F.col("sentence").alias("unit"), "confidence")
+    rows = G.packed_ends(log)
+    once = rows.groupBy("s", "t", "type", "polarity", "document_id", "sentence").agg(F.max(F.struct("seq", "predicate")).alias("f"), F.max("confidence").alias("confidence"))
+    return G.unpacked_ends(once, "document_id", "f.seq", F.col("f.predicate").alias("name"), F.col("sentence").alias("unit"), "confidence")
 
 
 @dataclass(frozen=True)
@@ -63,10 +63,18 @@ def _held_confidences(counts: DataFrame) -> DataFrame:
 
 
 def _aggregated(parts: DataFrame, keys: tuple[str, ...], last: bool) -> DataFrame:
-    """The states of all keys of some parts."""
-    total = parts.groupBy("id", *keys).agg(F.count("*").alias("n"))
-    counts = parts.groupBy("id", "confidence").agg(F.count("*").alias("n"))
-    return total.join(_held_names(parts.select("id", *_PLACE), last), "id").join(_held_confidences(counts), "id").select("id", *keys, "n", "names", "confidences")
+    """The states of all keys of some parts.
+
+    One aggregate is written after the other, so that the disks hold one's shuffle at a
+    time; they lie in buckets by id and are joined where they lie. Ids go as their 8 bytes.
+    """
+    prefix = {"id": "r_" if last else "e_"} | {k: "e_" for k in keys if k.endswith("_id")}
+    parts = parts.withColumns({c: F.unhex(F.substring(c, 3, 16)) for c in prefix})
+    total = written_by(parts.groupBy("id").agg(F.count("*").alias("n"), *[F.min(k).alias(k) for k in keys]), "total", "id")
+    names = written_by(_held_names(parts.select("id", *_PLACE), last), "names", "id")
+    confidences = written_by(_held_confidences(parts.groupBy("id", "confidence").agg(F.count("*").alias("n"))), "confidences", "id")
+    found = total.join(large(names), "id").join(large(confidences), "id")
+    return found.withColumns({c: F.concat(F.lit(p), F.lower(F.hex(c))) for c, p in prefix.items()}).select("id", *keys, "n", "names", "confidences")
 
 
 def _view(parts: DataFrame, keys: tuple[str, ...], last: bool) -> View:
@@ -76,7 +84,7 @@ def _view(parts: DataFrame, keys: tuple[str, ...], last: bool) -> View:
 
 def _changed(view: View, came: DataFrame, documents: DataFrame) -> int:
     """Brings a view up to date; tells how many keys had to be aggregated anew."""
-    went = written(view.parts.of(documents, "document_id"), "went")
+    went = written(view.parts.of(documents, "document_id").select("id", "document_id", "unit", "confidence"), "went")
     came = written(came, "came")
     view.parts.change(came, ((documents, "document_id"),))
     ids = written(came.select("id").union(went.select("id")).distinct(), "ids")
@@ -100,29 +108,30 @@ def _changed(view: View, came: DataFrame, documents: DataFrame) -> int:
     living = merged.where("n > 0")
     used_up = F.col("names").isNull() | F.col("confidences").isNull()
     anew = living.where(used_up).select("id")
-    again = _aggregated(view.parts.of(anew, "id"), view.keys, view.last)
-    rows = living.where(~used_up).select("id", *view.keys, "n", "names", "confidences").union(again)
+    rows = living.where(~used_up).select("id", *view.keys, "n", "names", "confidences")
+    if n := anew.count():
+        rows = rows.union(_aggregated(view.parts.of(anew, "id"), view.keys, view.last))
     view.states.change(written(rows, "states"), ((ids, "id"),))
-    return anew.count()
+    return n
 
 
 class GraphStore:
-    """The graph of contribution logs (see ``operators.graph``), changed document by document."""
+    """The graph of contribution logs (see ``operators.graph``), changed document by document; keeps the views that are given a log."""
 
-    def __init__(self, entities: DataFrame, relations: DataFrame):
-        self.nodes = _view(entity_parts(entities), ("type", "canonical_name"), last=False)
-        self.edges = _view(edge_parts(relations), ("source_id", "target_id", "type", "polarity"), last=True)
+    def __init__(self, entities: DataFrame | None = None, relations: DataFrame | None = None):
+        self.nodes = None if entities is None else _view(entity_parts(entities), ("type", "canonical_name"), last=False)
+        self.edges = None if relations is None else _view(edge_parts(relations), ("source_id", "target_id", "type", "polarity"), last=True)
 
     def replace(self, entities: DataFrame, relations: DataFrame, removed: DataFrame | None = None) -> int:
         """The contributions of some documents in place of all that these had, and none of the documents of ``removed``; tells how many keys were aggregated anew."""
         gone = entities.select("document_id").union(relations.select("document_id"))
         gone = written((gone if removed is None else gone.union(removed.select("document_id"))).distinct(), "documents")
-        return _changed(self.nodes, entity_parts(entities), gone) + _changed(self.edges, edge_parts(relations), gone)
+        return sum(_changed(v, parts(log), gone) for v, parts, log in ((self.nodes, entity_parts, entities), (self.edges, edge_parts, relations)) if v)
 
     def remove(self, documents: DataFrame) -> int:
         """Without some documents; what no other document supports is no more."""
         gone = written(documents.select("document_id").distinct(), "documents")
-        return sum(_changed(v, v.parts.read().limit(0), gone) for v in (self.nodes, self.edges))
+        return sum(_changed(v, v.parts.read().limit(0), gone) for v in (self.nodes, self.edges) if v)
 
     def entities(self) -> DataFrame:
         """As ``graph.entities`` of the log as it is now."""

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from sparkloom.storage import new_folder
+from sparkloom.storage import freed, new_folder
 
 #: Deleted keys that are sent to every task; more are joined by a shuffle.
 FEW_KEYS = 1_000_000
@@ -81,7 +81,8 @@ class VersionedTable:
     def _written(self, rows: DataFrame, version: int, by: str | None = None) -> Entry:
         folder = new_folder(self.spark, "change")
         blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in self.found_by if c in rows.columns}
-        rows.write.options(compression="zstd", **blooms).parquet(folder)
+        with freed(self.spark):
+            rows.write.options(compression="zstd", **blooms).parquet(folder)
         return Entry(folder, version, by, self.spark.read.schema(rows.schema).parquet(folder).count())
 
     def change(self, rows: DataFrame | None = None, gone: tuple[tuple[DataFrame, str], ...] = ()) -> int:

@@ -6,6 +6,8 @@ from sparkloom import catalog as C
 from sparkloom import catalog_index as I
 from sparkloom import storage
 from sparkloom.operators import graph as G
+from sparkloom.operators import graph_upkeep as U
+from sparkloom.operators import name_index as N
 from sparkloom.plans import star
 
 SF = "/root/testdata/sf0.001"
@@ -74,3 +76,51 @@ def test_searches_of_names_build_no_edges(spark, monkeypatch):
     tags = kept_of(monkeypatch)
     assert C.graph_search(spark, SF).count() and I.graph_search_batch(spark, SF).count() and C.graph_entities_of_type(spark, SF).count()
     assert not [t for t in tags if t.startswith("relationships")]
+
+
+def test_hops_copy_no_edges_and_move_none(spark, monkeypatch):
+    tags, made = [], G.written
+    monkeypatch.setattr(G, "written", lambda df, tag: tags.append(tag) or made(df, tag))
+    assert C.graph_neighbors_d2(spark, SF).count() and set(tags) == {"seen", "hop"}
+    edges, few = C.graph_edges(spark, SF), made(C.graph_nodes(spark, SF).where("type = 'LOCATION'").select("id"), "ids")
+    touched = G.touching(edges, few)
+    assert not [e for e in exchanges(touched) if "source_id" in e or "target_id" in e]
+    own = {r.id for r in few.collect()}
+    assert sorted(r.id for r in touched.collect()) == sorted(r.id for r in edges.collect() if r.source_id in own or r.target_id in own)
+
+
+def test_evidence_of_some_edges_is_chosen_where_it_lies(spark, monkeypatch):
+    tags = kept_of(monkeypatch)
+    found = C.graph_detail_evidence(spark, SF)
+    assert not [e for e in exchanges(found) if "document_id" in e] and not [t for t in tags if t.startswith("relationships")]
+
+
+def test_a_documents_entities_are_aggregated_alone(spark, monkeypatch):
+    tags = kept_of(monkeypatch)
+    found = plan(I.graph_document_fallback(spark, SF))
+    assert found.rindex("LeftSemi") > found.rindex("HashAggregate") and not [t for t in tags if t.startswith(("relationships", "entities"))]
+
+
+def test_names_are_dealt_before_their_grams_are_made(spark, monkeypatch):
+    nodes, terms = C.graph_nodes(spark, SF), spark.createDataFrame([(1, "an"), (2, "e"), (3, "supplier")], "query_id long, term string")
+    want = sorted(map(tuple, N.search(N.built(nodes), terms, 20).select("query_id", "rank", "id").collect()))
+    monkeypatch.setattr(N, "TASK_NAMES", 40)
+    index = N.built(nodes)
+    assert sorted(map(tuple, N.search(index, terms, 20).select("query_id", "rank", "id").collect())) == want
+    assert index.postings().count() == index.counts().groupBy().sum("ids").collect()[0][0]
+
+
+def test_parts_need_no_shuffle_and_states_are_joined_where_they_lie(spark):
+    own, relations = C.graph_logs(spark, SF)
+    parts = U.edge_parts(relations)
+    assert not exchanges(U.entity_parts(own)) and not exchanges(parts)
+    states = U._aggregated(storage.written(parts, "parts"), ("source_id", "target_id", "type", "polarity"), last=True)
+    assert not exchanges(states)
+    got = {(r.id, r.source_id, r.target_id, r.n, r.names[0].name, r.confidences[0].confidence) for r in states.collect()}
+    assert got == {(r.id, r.source_id, r.target_id, r.evidence_count, r.predicate, r.confidence) for r in G.relationships(relations).collect()}
+
+
+def test_a_store_keeps_the_views_it_is_given(spark):
+    _, relations = C.graph_logs(spark, SF)
+    store = U.GraphStore(relations=relations.where("document_id < 'o2'"))
+    assert store.nodes is None and store.relationships().count() == G.relationships(relations.where("document_id < 'o2'")).count()
